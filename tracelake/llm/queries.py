@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
+from .mixing import hash_threshold_mix
 from .ngram_join import ngram_jaccard_components
+from .quality import MEASURES, quality_rules
 from .substring_dedup import substring_dedup
+from .token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +24,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "kept", "n_left")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_threshold_mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op9_ngram_jaccard_join)}
+    found = [f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()]
+    return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
