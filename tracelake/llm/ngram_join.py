@@ -40,6 +40,10 @@ from .storage import bucket_count, keep, release
 U64 = np.uint64
 ORD_BITS = 12  # documents of a chunk; the other 52 bits of an entry are the shingle's hash
 CHUNK_WORDS = 2_000_000
+NARROWINGS = 2
+SMALL_GROUP = 32  # nodes of a signature's group up to which its pairs are looked at one by one
+BLOCK, SLICE = 256, 2048  # nodes of a block, elements of a matrix
+BLOCK_FIELDS = "cluster long, block int, low_n int, high_n int, data binary"
 MASK = U64((1 << ORD_BITS) - 1)
 
 
@@ -89,14 +93,34 @@ def _shingle_rows(n: int, buckets: int, owner_buckets: int):
                 first = np.zeros(len(nodes), bool)  # equal sets of the chunk are one node
                 first[np.unique(nodes, return_index=True)[1]] = True
                 e = np.sort(e[first[(e & MASK).astype(np.int64)]])
-                keys, ords = e >> U64(ORD_BITS), (e & MASK).astype(np.int64)
-                ask, done, seen = packed.local_split(keys, nodes[ords], later=False)
-                out += packed.send(packed.ASK, keys[ask] << U64(ORD_BITS), ords[ask], None, nodes, sizes, buckets)
-                out += packed.send(packed.DONE, keys[done] << U64(ORD_BITS), ords[done], None, nodes, sizes, owner_buckets, by_owner=True)
-                if len(seen):
-                    which, bounds = packed.cut(seen << U64(ORD_BITS), buckets)
-                    out += (packed.row(packed.SEEN, int(w), keys=seen[i:j] << U64(ORD_BITS)) for w, i, j in zip(which, bounds[:-1], bounds[1:]))
-                yield packed.batch(out)
+                yield packed.batch(out + _entries(e, nodes, sizes, buckets, owner_buckets))
+
+    return run
+
+
+def _entries(e: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int, owner_buckets: int) -> list[dict]:
+    """Packed rows for sorted entries hash << 12 | number of the node."""
+    keys, ords = e & ~MASK, (e & MASK).astype(np.int64)
+    ask, done, seen = packed.local_split(keys, nodes[ords], later=False)
+    out = list(packed.send(packed.ASK, keys[ask], ords[ask], None, nodes, sizes, buckets))
+    out += packed.send(packed.DONE, keys[done], ords[done], None, nodes, sizes, owner_buckets, by_owner=True)
+    if len(seen):
+        which, bounds = packed.cut(seen, buckets)
+        out += (packed.row(packed.SEEN, int(w), keys=seen[i:j]) for w, i, j in zip(which, bounds[:-1], bounds[1:]))
+    return out
+
+
+def _node_rows(buckets: int, owner_buckets: int):
+    """Entries of the shared parts of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << ORD_BITS):
+                part = batch.slice(a, 1 << ORD_BITS)
+                nodes, sizes, lists = np.asarray(part.column(0)).view(U64), np.asarray(part.column(1)), part.column(2)
+                times = np.diff(np.asarray(lists.offsets))
+                e = (np.asarray(lists.flatten()).astype(U64) << U64(ORD_BITS)) | np.repeat(np.arange(len(nodes)), times).astype(U64)
+                yield packed.batch(_entries(np.sort(e), nodes, sizes, buckets, owner_buckets))
 
     return run
 
@@ -185,14 +209,15 @@ def signatures(n: int, shared: np.ndarray, limits: list[int], percent: int) -> n
 
 
 def _signature_rows(limits: list[int], percent: int):
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("s", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for a in range(0, len(ids), 256):
-                own = ids[a : a + 256], sizes[a : a + 256]
-                sigs = [signatures(int(n), np.asarray(s.values), limits, percent) for n, s in zip(own[1], batch.column(2).slice(a, 256))]
+                sets = [np.asarray(x.values) for x in batch.column(2).slice(a, 256)]
+                own = ids[a : a + 256], sizes[a : a + 256], np.array([len(x) for x in sets], np.int32)
+                sigs = [signatures(int(n), x, limits, percent) for n, x in zip(own[1], sets)]
                 times = [len(x) for x in sigs]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(x, times)) for x in own)], schema=schema)
 
@@ -215,52 +240,128 @@ def similar_sets(nodes: DataFrame, percent: int, pivot_rounds: int = 2) -> DataF
     if most is None:
         return spark.createDataFrame([], "node long, label long")
     limits = band_limits(percent, most)
-    sigs = nodes.select("node", "n", "shared").mapInArrow(_signature_rows(limits, percent), "sig long, node long, n int")
+    sigs = nodes.select("node", "n", "shared").mapInArrow(_signature_rows(limits, percent), "sig long, node long, n int, s int")
     w = _by("sig")
-    groups = keep(sigs.withColumn("c", F.count("*").over(w)).withColumn("p", F.min(F.struct("node", "n")).over(w)).where("c > 1").drop("c"), "signature-groups")
+    groups = keep(sigs.withColumn("c", F.count("*").over(w)).withColumn("p", F.min(F.struct("node", "n", "s")).over(w)).where("c > 1").drop("c"), "signature-groups")
     known, labels = None, None
-    for at in range(pivot_rounds + 1):
+    for at in range(pivot_rounds):
         if known is None:
             rest = groups.withColumn("q", F.col("p")).where("node <> q.node")
-        else:  # only groups that still hold several components
-            rest = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            rest = rest.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)}).where("low <> high")
-        if at == pivot_rounds:
-            pairs = _remaining(rest, known, percent)
-        else:
-            if known is not None:  # the second component's smallest node against the others
-                rest = rest.where("label <> low").withColumn("q", F.min(F.struct("label", "node", "n")).over(w)).where("label <> q.label")
-            ratio = 100 * F.least("n", "q.n") >= percent * F.greatest("n", "q.n")
-            pairs = rest.where(ratio).select(F.least("node", "q.node").alias("a"), F.greatest("node", "q.node").alias("b")).distinct()
+        else:  # in groups that still hold several components, the second one's smallest node against the others
+            rest = _open(groups, labels).where("label <> low").withColumn("q", F.min(F.struct("label", "node", "n", "s")).over(w)).where("label <> q.label")
+        pairs = rest.where(_possible("", "q.", percent)).select(F.least("node", "q.node").alias("a"), F.greatest("node", "q.node").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = keep(verify(pairs, nodes, percent), "verified")
         known = found if known is None else known.unionByName(found)
-        if at < pivot_rounds or not found.where("linked").isEmpty():
-            labels = components(known.where("linked").select("a", "b"))
+        labels = components(known.where("linked").select("a", "b"))
         release(spark)
+    rest = keep(_open(groups, labels).withColumn("c", F.count("*").over(w)), "open-groups")
+    found = keep(verify(_remaining(rest.where(F.col("c") <= SMALL_GROUP), known, percent), nodes, percent).where("linked").select("a", "b"), "verified")
+    more = found.union(_in_blocks(rest.where(F.col("c") > SMALL_GROUP), nodes, percent))
+    if not (more := keep(more, "links")).isEmpty():
+        labels = components(known.where("linked").select("a", "b").union(more))
+    release(spark)
     return labels
 
 
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the groups that hold several components, with each row's and the group's first one."""
+    g = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return g.withColumns({"low": F.min("label").over(_by("sig")), "high": F.max("label").over(_by("sig"))}).where("low <> high")
+
+
+def _in_blocks(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share large groups.
+
+    Nodes that large groups connect are dealt into blocks of ``BLOCK`` by size, and blocks
+    whose sizes are compatible are compared as a whole: a table of common counts from
+    products of 0/1 matrices, in memory that does not depend on the number of nodes.  A pair
+    is then looked at once, however many signatures it shares.
+    """
+    label = groups.select("node", "label").distinct()
+    cluster = components(groups.select(F.col("p.node").alias("a"), F.col("node").alias("b")).where("a <> b")).select("node", F.col("label").alias("cluster"))
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "node")) - 1
+    placed = nodes.select("node", "n").join(cluster, "node").join(label, "node").withColumn("block", F.floor(rank / BLOCK).cast("int"))
+    placed = placed.join(nodes.select("node", "shared"), "node")
+    packs = keep(placed.groupBy("cluster", "block").applyInArrow(_pack_block, BLOCK_FIELDS), "blocks")
+    size = packs.select("cluster", "block", "low_n", "high_n")
+    left, right = size.alias("x"), size.alias("y")
+    tasks = left.join(right, "cluster").where("x.block <= y.block").where(f"{percent} * y.low_n <= 100 * x.high_n").select("cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    data = packs.drop("low_n", "high_n")
+    tasks = tasks.join(data.select(F.col("cluster"), F.col("block").alias("i"), F.col("data").alias("data_i")), ["cluster", "i"])
+    tasks = tasks.join(data.select(F.col("cluster"), F.col("block").alias("j"), F.col("data").alias("data_j")), ["cluster", "j"])
+    return tasks.select("data_i", "data_j").mapInArrow(_compare_blocks(percent), "a long, b long")
+
+
+def _pack_block(table: pa.Table) -> pa.Table:
+    lists = table["shared"].combine_chunks()
+    part = pa.table({"node": table["node"], "n": table["n"], "label": table["label"], "shared": lists})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write_table(part)
+    n = np.asarray(table["n"])
+    return pa.table({"cluster": table["cluster"][:1], "block": table["block"][:1], "low_n": [int(n.min())], "high_n": [int(n.max())], "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())}).cast(pa.schema([("cluster", pa.int64()), ("block", pa.int32()), ("low_n", pa.int32()), ("high_n", pa.int32()), ("data", pa.binary())]))
+
+
+def _compare_blocks(percent: int):
+    def read(data: bytes):
+        t = pa.ipc.open_stream(data).read_all().combine_chunks()
+        lists = t["shared"].combine_chunks()
+        row = np.repeat(np.arange(len(t)), np.diff(np.asarray(lists.offsets)))
+        return np.asarray(t["node"]), np.asarray(t["n"]).astype(np.int64), np.asarray(t["label"]), np.asarray(lists.flatten()), row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data_i, data_j in zip(batch.column(0), batch.column(1)):
+                x, y = read(data_i.as_py()), read(data_j.as_py())
+                both = np.intersect1d(x[3], y[3])
+                common = np.zeros((len(x[0]), len(y[0])), np.float64)
+                px, py = np.searchsorted(both, x[3]), np.searchsorted(both, y[3])
+                in_x, in_y = packed.among(both, x[3]), packed.among(both, y[3])
+                for a in range(0, len(both), SLICE):
+                    tables = []
+                    for part, inside, side in ((px, in_x, x), (py, in_y, y)):
+                        mine = inside & (part >= a) & (part < a + SLICE)
+                        m = np.zeros((len(side[0]), SLICE), np.float32)
+                        m[side[4][mine], part[mine] - a] = 1
+                        tables.append(m)
+                    common += tables[0] @ tables[1].T
+                union = x[1][:, None] + y[1][None, :] - common
+                linked = (100 * common >= percent * union) & (x[2][:, None] != y[2][None, :])
+                i, j = np.nonzero(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[0][i], y[0][j])), pa.array(np.maximum(x[0][i], y[0][j]))], names=["a", "b"])
+
+    return run
+
+
 def _by(*keys: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(*keys)
 
 
+def _possible(x: str, y: str, percent: int) -> str:
+    """Whether two nodes could link: they have at most the smaller shared part in common."""
+    common = f"least({x}s, {y}s)"
+    return f"100 * {common} >= {percent} * ({x}n + {y}n - {common})"
+
+
 def _remaining(groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in one group that neither size nor the distance to its pivot excludes."""
     near = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance").union(known.select(F.col("b"), F.col("a"), "distance"))
     g = groups.withColumn("pivot", F.col("p.node")).join(near, ["pivot", "node"], "left")
     own = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance"))
     by_size = 1 - F.least("n", "p.n") / F.greatest("n", "p.n")  # where it wasn't verified
-    g = g.select("sig", "node", "n", "label", F.coalesce(own, by_size).alias("low_d"), F.coalesce(own, F.lit(1.0)).alias("high_d"))
+    g = g.select("sig", "node", "n", "s", "label", F.coalesce(own, by_size).alias("low_d"), F.coalesce(own, F.lit(1.0)).alias("high_d"))
     x, y = g.alias("x"), g.alias("y")
     gap = F.greatest(F.col("x.low_d") - F.col("y.high_d"), F.col("y.low_d") - F.col("x.high_d"))
     return (
         x.join(y, "sig")
         .where("x.node < y.node and x.label <> y.label")
-        .where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+        .where(_possible("x.", "y.", percent))
         .where(gap <= 1 - percent / 100 + 1e-9)
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
@@ -289,6 +390,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     member = hits.where(f"kind = {packed.MEMBER}").select("keys", "extra", "sizes")
     members = keep(member.mapInArrow(_member_rows, "doc_id long, n_shingles long, node long"), "members")
     nodes = keep(packed.by_bucket(hits.where(f"kind = {packed.DONE}"), _nodes(percent), "node long, n int, shared array<bigint>"), "shared-nodes")
+    for _ in range(NARROWINGS):  # shingles whose other owners are gone aren't shared any more
+        entries = nodes.mapInArrow(_node_rows(buckets, owner_buckets), packed.DDL)
+        nodes = keep(packed.by_bucket(packed.by_bucket(entries, _shared(owner_buckets)), _nodes(percent), "node long, n int, shared array<bigint>"), "shared-nodes")
     labels = similar_sets(nodes, percent)
     named = members.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
