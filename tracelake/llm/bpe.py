@@ -331,8 +331,8 @@ def encoded(column: pa.Array, v: Vocabulary, step: int = 64) -> Iterator[bytes]:
         yield from v.encode_batch(column.slice(at, step).to_pylist())
 
 
-def _digest_rows(path: str, texts: bool):
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])]
+def _digest_rows(path: str, with_ids: bool, with_text: bool):
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -343,18 +343,18 @@ def _digest_rows(path: str, texts: bool):
                 n.append(len(x) // 4)
                 a.append(hashlib.sha256(x).hexdigest())
                 b.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
-                if texts:
+                if with_ids:
                     ids.append(np.frombuffer(x, "<u4").astype(np.int32))
+                if with_text:
                     decoded.append(back)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if texts:
-                cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            cols += [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(decoded, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def bpe_round_trip(docs: DataFrame, path: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """Encode whole texts and decode the ids again.
 
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, on request, ``ids`` and
@@ -364,5 +364,5 @@ def bpe_round_trip(docs: DataFrame, path: str = "word_bpe_49k.json", id_col: str
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return rows.mapInArrow(_digest_rows(path, with_ids), fields)
+    fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    return rows.mapInArrow(_digest_rows(path, with_ids, with_text), fields)

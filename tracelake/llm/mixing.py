@@ -60,7 +60,9 @@ def hash_threshold_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of its own, last; null ids share one hash and repeated ids theirs, so such rows go
     together.  An empty table gives none.  Other columns are ignored, whatever their names.
     """
-    return _mix(_sizes(docs, id_col, text_col, source_col), share, most, weights).drop("source")
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    out = sizes.join(mix_limits(sizes, share, most, weights), F.col("source").eqNullSafe(F.col("src")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("h"))).alias("taken"))
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -69,7 +71,8 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return keep(docs.select(doc.alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), document_hash(doc).alias("h")), "mix-sizes")
 
 
-def _mix(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
+def mix_limits(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``(source, size, h)`` rows -> ``(src, source_size, target, copies, threshold)``: a document is taken ``copies`` times, and once more if its hash is below ``threshold``."""
     targets = source_targets(sizes, share, most, weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     # of each source: budget left for a further copy, and the hash prefix found so far
@@ -91,7 +94,20 @@ def _mix(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...])
         left = F.col("budget") - F.coalesce(F.col("e.upto") - F.col("e.n"), F.lit(0))
         state = keep(joined.select("source", "source_size", "target", "copies", left.alias("budget"), F.coalesce("e.bucket", "prefix").alias("prefix"), F.coalesce("e.n", F.lit(0)).alias("n")), "mix-level")
     nearer = F.abs(F.col("n") - F.col("budget")) < F.abs(F.col("budget"))
-    limit = state.select(F.col("source").alias("src"), "source_size", "target", "copies", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
-    out = sizes.join(limit, F.col("source").eqNullSafe(F.col("src")))
-    again = F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("copies") + again)).alias("taken"))
+    return state.select(F.col("source").alias("src"), "source_size", "target", "copies", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
+
+
+def times(h: Column) -> Column:
+    """How often a document is taken, beside its source's limits."""
+    return F.col("copies") + F.when(h < F.col("threshold"), 1).otherwise(0)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` that a mix takes, each as often as it takes it; columns as they are.
+
+    Only the sources' limits meet the documents again, so their texts are not shuffled.
+    """
+    limits = mix_limits(_sizes(docs, id_col, text_col, source_col), share, most, weights)
+    h = document_hash(F.col(id_col).cast("long"))
+    found = docs.withColumn("_source", F.col(source_col).cast("string")).join(limits, F.col("_source").eqNullSafe(F.col("src")))
+    return found.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times(h).cast("int")))).select(docs.columns)

@@ -33,5 +33,56 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.doc_id = w.doc_id
 """
 
 
+OP4 = r"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p FROM d WHERE len(ws) >= 8),
+wins AS (SELECT s.doc_id, s.p, array_to_string(d.ws[s.p : s.p + 7], ' ') AS g FROM starts s JOIN d USING (doc_id)),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS i FROM rep) GROUP BY doc_id),
+raw AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d),
+ln AS (SELECT doc_id, host, t, l, trim(regexp_replace(lower(l), '[\x09-\x0D\x20]+', ' ', 'g')) AS k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
+often AS (SELECT s.host, s.k, s.first_id FROM (SELECT host, k, count(DISTINCT t) AS c, min(doc_id) AS first_id FROM ln GROUP BY host, k) s JOIN hosts h ON s.host IS NOT DISTINCT FROM h.host WHERE s.c > 20 AND s.c > 0.1 * h.n),
+cut AS (SELECT ln.doc_id, sum(ln.n) AS n FROM ln JOIN often o ON ln.host IS NOT DISTINCT FROM o.host AND ln.k = o.k WHERE ln.doc_id > o.first_id GROUP BY ln.doc_id),
+m AS (SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(d.ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+  CAST(len(d.ws) - coalesce(cut.n, 0) AS BIGINT) AS n_left
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN cut USING (doc_id)),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m)
+SELECT *, NOT (base_failed OR (n_words > n_left AND (n_left < 20 OR n_left < 0.3 * n_words))) AS kept FROM b
+"""
+
+OP8 = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP10 = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 9) AS BIGINT) AS h FROM documents),
+b AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
+w AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS w FROM b),
+l AS (SELECT *, 2.0 * s AS cap, 1.5 * sum(s) OVER () AS budget, sum(w) OVER () AS all_w,
+  coalesce(sum(2.0 * s) OVER (ORDER BY 2.0 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+  coalesce(sum(w) OVER (ORDER BY 2.0 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped_w FROM w),
+t AS (SELECT source, s, CAST(least(cap, w * max((budget - stopped) / (all_w - stopped_w)) OVER ()) AS DOUBLE) AS target FROM l),
+k AS (SELECT *, CASE WHEN s > 0 THEN CAST(floor(target / s) AS BIGINT) ELSE 0 END AS copies FROM t),
+leaf AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
+upto AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM leaf),
+e AS (SELECT k.source, k.s, k.target, k.copies, k.target - k.copies * k.s AS budget, u.h, u.n, u.upto FROM k JOIN upto u ON k.source IS NOT DISTINCT FROM u.source),
+edge AS (SELECT source, s, target, copies, budget, coalesce(min(h) FILTER (upto >= budget), max(h)) AS h FROM e GROUP BY ALL),
+lim AS (SELECT edge.*, e.n, edge.budget - (e.upto - e.n) AS rest FROM edge JOIN e ON edge.source IS NOT DISTINCT FROM e.source AND edge.h = e.h)
+SELECT d.doc_id, d.size, lim.s AS source_size, lim.target,
+  CAST(d.size * (lim.copies + CASE WHEN d.h < lim.h + CASE WHEN abs(lim.n - lim.rest) < abs(lim.rest) THEN 1 ELSE 0 END THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN lim ON d.source IS NOT DISTINCT FROM lim.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op9_ngram_jaccard_join": OP9}
+    return {"op1_substring_dedup": OP1, "op4_quality_rules": OP4, "op8_top_k_search": OP8, "op9_ngram_jaccard_join": OP9, "op10_mix_to_weights": OP10}

@@ -114,10 +114,9 @@ def examples(kind: str, n: int, seed: int) -> list[tuple[str, str, int]]:
             value = r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"0{d(3)} {d(3)} {d(4)}"]) if yes else r.choice([f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(3)}.{d(3)}.{d(2)}", f"{d(2)} {d(2)} {d(2)}", f"{d(3)} {d(3)} {d(3)} {d(3)}", f"{d(3)}-{d(3)}-{d(4)}"])
             before = r.choice(near["phone"]) if yes else r.choice([plain(), r.choice(other), r.choice(other)])
         elif kind == "card":
-            s, c = r.choice("./"), luhn(yes or r.random() < 0.1)
+            before = r.choice(near["card"]) if yes else r.choice([plain(), r.choice(other), r.choice(near["card"])])
+            s, c = r.choice("./"), luhn(yes or before not in near["card"] and r.random() < 0.3)
             value = s.join(c[i : i + 4] for i in range(0, 16, 4))
-            before = r.choice([r.choice(near["card"]), plain()]) if yes else r.choice([plain(), r.choice(other), r.choice(near["card"])])
-            yes = yes and before in near["card"]
         else:
             at, dot = r.choice([(" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" @ ", ".")])
             value = f"{w()}{at}{w()}{dot}{r.choice(['com', 'org', 'net', 'example'])}" if yes else f"{w()} at {w()}{r.choice(['.', ' dot '])}{w()}"
@@ -146,7 +145,6 @@ def models(spark: SparkSession) -> dict[str, tuple[list, float]]:
 
 def added_spans(text: Column, kind: str, fitted: list, least: float) -> Column:
     """Candidates of a kind that score at least ``least``."""
-    sql = trees.score_sql(fitted, [f"f.{f}" for f in FEATURES])
     candidates = native.spans(text, GENERATORS[kind])
 
     def scored(s: Column) -> Column:
@@ -156,24 +154,11 @@ def added_spans(text: Column, kind: str, fitted: list, least: float) -> Column:
         return F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), f.alias("f"))
 
     rows = F.transform(candidates, scored)
-    rows = F.transform(rows, lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), _score(fitted, s["f"]).alias("score")))
+    rows = F.transform(rows, lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), trees.score_column(fitted, s["f"], FEATURES).alias("score")))
     sign = {"email": r"(?i)[\[(]at[\])]|\sat\s\S+\sdot\s|\sat\s[A-Za-z0-9-]+\.[A-Za-z0-9]|\x20@\x20", "card": r"[0-9]{4}[./][0-9]{4}", "phone": r"[0-9]\)?[\x20./-][0-9]"}[kind]
     return F.when(text.rlike(sign), F.filter(rows, lambda s: s["score"] >= least)).otherwise(F.array().cast("array<struct<k:int,start:int,end:int,score:double>>"))
 
 
-def _score(fitted: list, f: Column) -> Column:
-    def one(tree) -> Column:
-        if not isinstance(tree, tuple):
-            return F.lit(float(tree))
-        j, cut, below, above = tree
-        return F.when(f[FEATURES[j]] <= cut, one(below)).otherwise(one(above))
-
-    total = F.lit(0.0)
-    for t in fitted:
-        total = total + one(t)
-    return total
-
-
 def _choose(both: Column) -> Column:
     """Spans by start: an added one goes if it meets a base span or a better added one."""
     def step(acc: Column, s: Column) -> Column:

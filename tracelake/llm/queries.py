@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .mixing import hash_threshold_mix
 from .ngram_join import ngram_jaccard_components
+from .pii import find_pii
 from .quality import MEASURES, quality_rules
+from .secret_scan import scan_secrets
+from .sharding import shard_index
+from .storage import new_path
 from .substring_dedup import substring_dedup
 from .token_files import token_files
+from .topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,18 +30,34 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_index(_table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(_table(spark, sf_dir, "documents"), with_ids=False)
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), with_ids=False, with_text=False)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "kept", "n_left")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"))
 
 
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 

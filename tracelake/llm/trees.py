@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def fit_tree(x: np.ndarray, y: np.ndarray, depth: int, least: int, rng: np.random.Generator | None = None, features: int | None = None):
@@ -70,16 +72,19 @@ def score(trees: list, x: np.ndarray) -> np.ndarray:
     return sum(apply_tree(t, x) for t in trees)
 
 
-def tree_sql(tree, names: list[str]) -> str:
-    if not isinstance(tree, tuple):
-        return f"{tree:.9g}D"
-    j, cut, below, above = tree
-    return f"IF({names[j]} <= {cut:.9g}D, {tree_sql(below, names)}, {tree_sql(above, names)})"
+def score_column(trees: list, row: Column, names: tuple[str, ...]) -> Column:
+    """The score as one expression over a struct of double features."""
 
+    def one(tree) -> Column:
+        if not isinstance(tree, tuple):
+            return F.lit(float(tree))
+        j, cut, below, above = tree
+        return F.when(row[names[j]] <= cut, one(below)).otherwise(one(above))
 
-def score_sql(trees: list, names: list[str]) -> str:
-    """The score as one SQL expression over feature columns ``names`` (doubles)."""
-    return " + ".join(tree_sql(t, names) for t in trees)
+    total = F.lit(0.0)
+    for t in trees:
+        total = total + one(t)
+    return total
 
 
 def threshold(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
