@@ -1,42 +1,14 @@
-"""Shared intermediate tables.
-
-A step that is read more than once, or that cuts a long lineage, is written as Parquet
-below the folder that the cluster names in ``spark.checkpoint.dir``.  Every executor sees
-that folder, so a lost executor costs a task retry and never an intermediate result.
-"""
+"""Shared intermediate tables (see ``sources.shared``) and sizes of packed exchanges."""
 
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, notebooks).
-FALLBACK = "/tmp/checkpoints/tracelake"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(FALLBACK)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
-
+from ..sources.shared import keep, new_path, shared_dir
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of what was written."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bucket_count", "keep", "new_path", "release", "shared_dir"]
 
 
 def release(spark: SparkSession) -> None:
