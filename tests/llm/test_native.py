@@ -1,0 +1,185 @@
+"""Quality rules, PII, secrets, mixing: against plain re-statements; no Python in their plans."""
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracelake.llm import mixing, pii, quality, secret_scan, trees
+from tracelake.llm.mixing import hash_threshold_mix, mixed_documents
+
+from . import helpers as h
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def measures(text):
+    t = text or ""
+    w = h.words(t)
+    lines = [x for x in t.split("\n") if h.words(x)]
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_measures(spark):
+    rows = h.corpus() + [(900, "a b c d e f g h " * 5 + "#*$ | <>", None, None, None), (901, "x " * 9, None, None, None)]
+    got = {r.doc_id: r for r in quality.quality_rules(h.documents(spark, rows, clashing=True)).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        r, m = got[i], measures(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
+        assert r.base_failed == (m[0] < 20 or 100 * m[4] > 30 * m[0])
+        assert not (r.base_failed and r.kept)
+
+
+def test_line_frequency(spark):
+    notice = "all rights reserved by the owners of this page and of all others"
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, f"{own(i, 30)}\n{notice}", None, "host", None) for i in range(30)]
+    rows += [(100 + i, f"{own(100 + i, 5)}\n{notice.upper()}\n{notice}  ", None, "host", None) for i in range(5)]
+    rows += [(200, f"{own(200, 12)}\n{notice}", None, "other", None), (None, f"{own(300, 12)}\n{notice}", None, "host", None)]
+    docs = h.documents(spark, rows)
+    verdicts = quality.quality_rules(docs)
+    got = {r.doc_id: r for r in verdicts.collect()}
+    assert all(got[i].kept and got[i].n_left == (43 if i == 0 else 30) for i in range(30))  # the first keeps its line
+    assert not any(got[100 + i].kept for i in range(5)) and got[200].kept and not got[None].kept
+    kept = {r.doc_id: r.text for r in quality.without_lines(docs, verdicts).collect()}
+    assert notice in kept[0] and notice not in kept[1] and kept[200].endswith(notice) and set(kept) == {*range(30), 200}
+    assert quality.quality_rules(h.documents(spark, [])).count() == 0
+
+
+def test_copies_leave_one(spark):
+    text = "\n".join(" ".join(f"l{i}w{k}" for k in range(10)) for i in range(4))
+    rows = [(i, f"{text}\nunique{i} {i}", None, None, None) for i in range(40)] + [(3, f"{text}\nunique3 3", None, None, None)]
+    got = [(r.doc_id, r.kept) for r in quality.quality_rules(h.documents(spark, rows)).collect()]
+    assert len(got) == 41 and (0, True) in got and sum(k for _, k in got) == 1
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub(r"\D", "", m[0])
+            luhn = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+AWKWARD = ["a@b.co_x@y.com 1.2.3.4.5.6.7.8 300.1.2.3 +1 (509) 555-6973 4111 1111 1111 1111 x@@y.z a@b a@b.c.d-", "é😀 me@x.org 😀 +49 30 1234567 001.02.3.255", None, "", "1 " * 500, "9" * 4000, "a" * 20000, "++++1.1.1.1@a.b" * 20,
+           "4111-1111-1111-1111 4111 1111 1111 1112 +123 +12345678 0.0.0.0 256.1.1.1 +1(2)3(4)5(6)7(8)9", "@", "a@b.c@d.e", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6"]
+
+
+def test_pii_base(spark):
+    rows = h.corpus() + [(1000 + i, t, None, None, None) for i, t in enumerate(AWKWARD)] + [(None, "x@y.zz", None, None, None)]
+    got = pii.find_pii(h.documents(spark, rows, clashing=True))
+    assert not re.search("Python|Arrow|Pandas", plan(got))
+    got = {r.doc_id: r for r in got.collect()}
+    for i, t, *_ in rows:
+        want, r = base(t), got[i]
+        assert r.base_sha256 == h.sha(",".join(want)), t
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
+        assert set(want) <= set(r.spans.split(",")) or not want
+
+
+def test_pii_added_and_redacted(spark):
+    text = "call me at 030-123-4567 or write to joe at example dot com. card number 4111.1111.1111.1111, order 2024-11-02 pages 12-14"
+    rows = [(1, text, None, None, 3), (2, None, None, None, 3), (3, "nothing here", None, None, 3), (4, "the meeting at noon on 12 March 2024, section 4.2.1 of version 1.2.3", None, None, 3)]
+    got = {r.doc_id: r for r in pii.find_pii(h.documents(spark, rows)).collect()}
+    kinds = [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in got[1].spans.split(","))]
+    assert "030-123-4567" in kinds and "4111.1111.1111.1111" in kinds and not any("2024" in k for k in kinds)
+    assert got[3].spans == "" and got[4].spans == "" and got[2].spans == ""
+    done = {r.doc_id: r.text for r in pii.redact_documents(h.documents(spark, rows)).collect()}
+    assert "4567" not in done[1] and "<PHONE>" in done[1] and done[2] is None and done[3] == "nothing here"
+
+
+def held_out(kind):
+    import numpy as np
+
+    return np, pii.examples(kind, 600, 99)
+
+
+@pytest.mark.parametrize("kind", sorted(pii.GENERATORS))
+def test_pii_held_out(spark, kind):
+    np, sample = held_out(kind)
+    fitted, least = pii.models(spark)[kind]
+    df = spark.createDataFrame(sample, "before string, value string, label int")
+    got = df.select("label", *(c.alias(k) for k, c in pii.features(F.col("value"), F.col("before")).items())).collect()
+    x, y = np.array([[r[f] for f in pii.FEATURES] for r in got]), np.array([r["label"] for r in got])
+    chosen = trees.score(fitted, x) >= least
+    assert y[chosen].mean() >= 0.97 and chosen[y == 1].mean() >= 0.6
+
+
+def test_secrets(spark):
+    import numpy as np
+
+    forest, least = secret_scan.model(spark)
+    df = spark.createDataFrame(secret_scan.findings(1000, 77), "before string, value string, after string, label int")
+    got = df.select("label", *(c.alias(k) for k, c in secret_scan.features(F.col("value"), F.col("before"), F.col("after")).items())).collect()
+    x, y = np.array([[r[f] for f in secret_scan.FEATURES] for r in got]), np.array([r["label"] for r in got])
+    chosen = trees.score(forest, x) >= least
+    assert y[chosen].mean() >= 0.93 and chosen[y == 1].mean() >= 0.85
+    key = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    texts = [f'é the token = "{key}" and', f"commit {key} of the build", None, "", "x" * 50000, "0123456789" * 3, "prose only, nothing else"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None)]
+    out = secret_scan.scan_secrets(h.documents(spark, rows, clashing=True))
+    assert not re.search("Python|Arrow|Pandas", plan(out))
+    found = {r.doc_id: r for r in out.collect()}
+    assert found[0].spans == f"15:{15 + len(key)}" == found[None].spans and found[1].n_secrets == 0 and found[1].n_candidates == 1 and found[5].n_secrets == 0
+    assert all(found[i].n_candidates == 0 for i in (2, 3, 6)) and secret_scan.scan_secrets(h.documents(spark, [])).count() == 0
+
+
+def targets(sizes):
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    left, open_, out = 1.5 * sum(sizes.values()), set(sizes), {}
+    while open_:
+        w = sum(weights[s] for s in open_)
+        over = [s for s in open_ if left * weights[s] / w > 2 * sizes[s]]
+        if not over:
+            return out | {s: left * weights[s] / w for s in open_}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+        left -= sum(out[s] for s in over)
+        open_ -= set(over)
+    return out
+
+
+def test_mixing(spark):
+    rows = h.corpus() + [(5000 + i, "w " * (i % 37), None, f"t{i % 5}", None) for i in range(2000)] + [(None, "null id", None, "t1", None)] * 2
+    docs = h.documents(spark, rows, clashing=True)
+    out = hash_threshold_mix(docs)
+    got = out.collect()
+    assert len(got) == len(rows)
+    size = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        size[s] += len(h.words(t))
+    want, source_of = targets(size), {r[0]: r[3] for r in rows}
+    taken = defaultdict(int)
+    for r in got:
+        s = source_of[r.doc_id]
+        taken[s] += r.taken
+        assert r.target == pytest.approx(want[s]) and r.source_size == size[s] and r.taken in (0, r["size"], 2 * r["size"])
+    largest = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        largest[s] = max(largest[s], len(h.words(t)))
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in size)
+    again = hash_threshold_mix(docs.repartition(7)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
+    assert not re.search("Python|Arrow|Pandas", plan(out))
+    assert sum(len(h.words(r.text)) for r in mixed_documents(docs).collect()) == sum(r.taken for r in got)
+    assert hash_threshold_mix(h.documents(spark, [])).count() == 0
+    assert [r.taken for r in hash_threshold_mix(h.documents(spark, [(1, "", None, "a", None), (2, None, None, None, None)])).collect()] == [0, 0]
+
+
+def test_nested_budgets(spark):
+    rows = [(i, "w " * 10, None, "ab"[i % 2], None) for i in range(400)]
+    small = {r.doc_id for r in hash_threshold_mix(h.documents(spark, rows), share=0.3).collect() if r.taken}
+    large = {r.doc_id for r in hash_threshold_mix(h.documents(spark, rows), share=0.6).collect() if r.taken}
+    assert small < large and mixing.WEIGHTS == (3, 1, 2)

@@ -108,6 +108,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only the sources' limits meet the documents again, so their texts are not shuffled.
     """
     limits = mix_limits(_sizes(docs, id_col, text_col, source_col), share, most, weights)
-    h = document_hash(F.col(id_col).cast("long"))
-    found = docs.withColumn("_source", F.col(source_col).cast("string")).join(limits, F.col("_source").eqNullSafe(F.col("src")))
-    return found.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times(h).cast("int")))).select(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row, F.col(source_col).cast("string").alias("source"), document_hash(F.col(id_col).cast("long")).alias("h"))
+    found = own.join(limits, F.col("source").eqNullSafe(F.col("src")))
+    return found.select("row", F.explode(F.array_repeat(F.lit(1), times(F.col("h")).cast("int")))).select("row.*")

@@ -214,5 +214,9 @@ def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with personal data in their texts replaced; a null text stays null."""
     fitted = models(docs.sparkSession)
     t = native.text_or_empty(F.col(text_col))
-    every = F.concat(*(base_spans(t, k) for k in KINDS), *(added_spans(t, k, *fitted[k]) for k in GENERATORS))
-    return docs.withColumn("_pii", every).withColumn("_pii", F.sort_array(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["k"].alias("k"))))).withColumn("_pii", _choose(F.col("_pii"))).withColumn(text_col, F.when(F.col(text_col).isNotNull(), redact(F.col(text_col).cast("string"), F.col("_pii")))).select(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    spans = F.concat(*(base_spans(F.col("t"), k) for k in KINDS), *(added_spans(F.col("t"), k, *fitted[k]) for k in GENERATORS))
+    d = docs.select(row, t.alias("t"), F.col(text_col).isNull().alias("null_text")).withColumn("spans", spans)
+    d = d.withColumn("spans", _choose(F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["k"].alias("k"))))))
+    clean = F.when(~F.col("null_text"), redact(F.col("t"), F.col("spans")))
+    return d.select(*(clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

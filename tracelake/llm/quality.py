@@ -96,8 +96,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def without_lines(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` that ``verdicts`` keeps, their removed lines taken out of the text."""
-    text = native.text_or_empty(F.col(text_col))
+    text = native.text_or_empty(docs[text_col])
     v = verdicts.where("kept").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "cut_lines").dropDuplicates(["_i", "_h"])
-    found = docs.join(v, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_h")))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("cut_lines", line_key(x)))
-    return found.withColumn(text_col, F.when(F.size("cut_lines") > 0, F.array_join(lines, "\n")).otherwise(F.col(text_col))).select(docs.columns)
+    found = docs.join(v, docs[id_col].eqNullSafe(v["_i"]) & (F.xxhash64(text) == v["_h"]))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(v["cut_lines"], line_key(x)))
+    clean = F.when(F.size(v["cut_lines"]) > 0, F.array_join(lines, "\n")).otherwise(docs[text_col])
+    return found.select(*(clean.alias(c) if c == text_col else docs[c] for c in docs.columns))
