@@ -17,7 +17,7 @@ from tracelake.llm.storage import keep
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, whole."""
     gone = quality_rules(docs).where("not kept").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(text_or_empty(F.col("text"))) == F.col("_h"))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_i"]) & (F.xxhash64(text_or_empty(docs["text"])) == gone["_h"])
     return docs.join(gone, same, "left_anti")
 
 
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = docs.join(gone, "doc_id", "left_anti")
     repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
-        out = out.withColumn("_h", F.xxhash64(text_or_empty(F.col("text")))).dropDuplicates(["doc_id", "_h"]).drop("_h")
+        out = out.dropDuplicates(["doc_id", "text"])
     return out.select(docs.columns)
 
 
