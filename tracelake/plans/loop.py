@@ -104,4 +104,8 @@ def regrouped(samples: DataFrame, n: int) -> DataFrame:
     """``n`` consecutive samples as one ordered array a problem."""
     item = F.struct("idx", "query", "logprob", "length")
     g = samples.groupBy(F.floor(F.col("idx") / n).cast("long").alias("problem_id")).agg(F.sort_array(F.collect_list(item)).alias("s"))
-    return g.select("problem_id", *(F.transform("s", lambda x, f=f: x[f]).alias(f) for f in ("query", "logprob", "length")))
+
+    def field(name: str):
+        return F.transform("s", lambda x: x[name]).alias(name)
+
+    return g.select("problem_id", *map(field, ("query", "logprob", "length")))
