@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def one_to_all(df: DataFrame, value) -> DataFrame:
-    """The same small value for every partition, as a broadcast variable's column-free handle."""
-    df.sparkSession.sparkContext.broadcast(value)
-    return df
+def one_to_all(df: DataFrame, **values) -> DataFrame:
+    """The same scalar values for every row of every partition, as literal columns."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})
 
 
 def sharded(df: DataFrame, ranks: int, key: str = "row_id") -> DataFrame:
