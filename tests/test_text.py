@@ -88,3 +88,30 @@ def test_blocks():
 
 def test_middle_cut():
     assert len(answers.middle_cut("x" * 900)) == 803 and answers.middle_cut("x" * 800) == "x" * 800
+
+
+def test_rewards():
+    from tracelake.functions import rewards
+
+    good = "<think>\n" + fence("python", "x") + fence("output", "3") + r"</think> so \boxed{0.5}"
+    assert rewards.tool_reward(good, ["1/2"]) == 1 and rewards.tool_reward(good, ["2"]) == 0 and rewards.tool_reward(good, None) == 0
+    assert rewards.tool_reward(r"\boxed{1}", ["1"]) == -0.1 and rewards.tool_reward(r"<think></think>\boxed{1}", ["1"]) == 0.9
+    assert rewards.tool_reward(good, ["1/2"], verdict=r"\boxed{2}", with_judge=True) == 1.1 and rewards.judge_shift(r"\boxed{x}") == 0 and rewards.judge_shift(None) == 0
+    assert rewards.competition_score(r"$\boxed 5$", "5") == 1 and rewards.competition_score(r"\boxed{1/2}", r"\frac12") == 1 and rewards.competition_score(r"\boxed{a/b}", "a/b") == 1 and rewards.competition_score("5", "5") == 0
+    t = rewards.PatternTokenizer()
+    text = "run it\n" + fence("output", "1 2") + "done"
+    ids = t.encode(text)
+    assert t.decode(ids) == text and sum(rewards.masked_outputs(text, [1] * len(ids), t.encode)) < len(ids)
+
+
+def test_raw_sets():
+    from tracelake.plans import prep
+
+    assert prep.ground_truth({"answer": "so #### 5"}, "gsm8k") == ("so", "5") and prep.ground_truth({"solution": r"\boxed{7}"}, "math") == (r"\boxed{7}", "7")
+    assert prep.ground_truth({"formula": "f", "answer": "5 (apples)"}, "asdiv") == ("f", "5") and prep.ground_truth({"gt_cot": "c", "gt": "1/2"}, "x") == ("c", r"\frac{1}{2}")
+    assert prep.ground_truth({"solution": "s", "answer": "50%", "ans_type": "decimal_number"}, "tabmwp") == ("s", "0.5")
+    assert prep.question({"Body": "b", "Question": "q"}, "svamp") == "b. q" and prep.question({"problem": " p "}, "any") == "p"
+    with pytest.raises(NotImplementedError):
+        prep.ground_truth({}, "unknown")
+    with pytest.raises(ValueError):
+        prep.question({}, "any")

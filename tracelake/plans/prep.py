@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,3 +83,53 @@ def routed(source: Column, table: dict[str, str], default: str | None) -> Column
 def question_text(df: DataFrame, columns: tuple[str, ...] = ("question", "problem", "Question", "input")) -> Column:
     """The first question column that a data set has."""
     return F.coalesce(*(F.col(c) for c in columns if c in df.columns))
+
+
+#: Where each kind of set keeps its reasoning and its answer.
+TRUTH_COLUMNS = {"gsm-hard": ("code", "target"), "svamp": ("Equation", "Answer"), "asdiv": ("formula", "answer"), "mawps": (None, "target"), "bbh": (None, "target"), "tabmwp": ("solution", "answer"), "math": ("solution", None), "ocw": ("solution", None)}
+
+
+def ground_truth(row: dict, kind: str) -> tuple[str, str]:
+    """``(reasoning, answer)`` of a raw row of a known kind of set."""
+    if "gt_cot" in row:
+        return row["gt_cot"], answers.plain_answer(row["gt"])
+    if kind == "gsm8k":
+        reasoning, answer = row["answer"].split("####")
+    elif kind in TRUTH_COLUMNS:
+        at, of = TRUTH_COLUMNS[kind]
+        reasoning = row[at] if at else None
+        answer = row[of] if of else answers.final_answer(reasoning)
+    else:
+        raise NotImplementedError(kind)
+    if kind == "asdiv":
+        answer = re.sub(r"\(.*?\)", "", answer)
+    if kind == "tabmwp" and row["ans_type"] in ("integer_number", "decimal_number"):
+        answer = _table_number(answer)
+    return str(reasoning).strip(), answers.plain_answer(answer)
+
+
+def _table_number(text: str) -> float:
+    if "/" in text:
+        a, b = text.split("/")[:2]
+        return int(a) / int(b)
+    if "," not in text and "%" in text:
+        return float(text.split("%")[0]) / 100
+    return float(text.replace(",", ""))
+
+
+def question(row: dict, kind: str) -> str:
+    """The question of a raw row of a known kind of set; an error if it has none."""
+    if kind == "asdiv":
+        out = f"{row['body'].strip()} {row['question'].strip()}"
+    elif kind == "svamp":
+        body = row["Body"].strip()
+        out = f"{body if body.endswith('.') else body + '.'} {row['Question'].strip()}"
+    elif kind == "tabmwp":
+        title = f'regarding "{row["table_title"]}" ' if row["table_title"] else ""
+        options = f" Please select from the following options: {row['choices']}" if row["choices"] else ""
+        out = f"Read the following table {title}and answer a question:\n{row['table']}\n{row['question']}{options}"
+    else:
+        out = next((row[k] for k in ("question", "problem", "Question", "input") if k in row), "")
+    if not out:
+        raise ValueError("no question")
+    return out.strip()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import answers, blocks, token_math
+from .functions import answers, blocks, rewards, token_math
 from .operators import advantage, balance, batch, evaluation
 from .plans import exchange, loop, prep
 from .plans.ship import ship_package
@@ -478,6 +478,22 @@ def graded_solutions(spark, sf):
     return o.select("o_orderkey", answers.apply(answers.grade_solution, "boolean")(F.concat(F.lit("<think>hm</think> \\boxed{"), shown, F.lit("}")), F.col("o_orderkey").cast("string")).alias("correct"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0::double ELSE 0.0::double END - CASE WHEN o_orderkey % 3 = 0 THEN 0.0::double ELSE 0.1::double END AS reward FROM orders""")
+def tool_rewards(spark, sf):
+    ship_package(spark)
+    shown = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 1).cast("string")
+    ran = F.when(F.col("o_orderkey") % 3 == 0, "7").otherwise("NameError: x")
+    text = F.concat(F.lit("<think>\n```python\nprint(x)\n```\n```output\n"), ran, F.lit("\n```\n</think> \\boxed{"), shown, F.lit("}"))
+    reward = answers.apply(lambda s, t: rewards.tool_reward(s, [t]), "double")
+    return read(spark, sf, "orders").select("o_orderkey", reward(text, F.col("o_orderkey").cast("string")).alias("reward"))
+
+
+@query("""SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 1.0::double ELSE 0.0::double END AS score FROM documents""")
+def scored_by_source(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("data_source"), F.lit("so \\boxed{1/2}").alias("solution"), F.lit("\\frac{1}{2}").alias("ground_truth"))
+    return rewards.scored(d, {"src1": rewards.competition_score, "src": lambda s, t: 0.0}).select("doc_id", "score")
+
+
 @query("""SELECT conv_id, turn, split_part('<think>plan</think>' || text || '</think>rest', '</think>', 2) AS shown FROM conversations""")
 def think_split(spark, sf):
     c = read(spark, sf, "conversations")
