@@ -186,3 +186,26 @@ def adaptive_kl_value(value: float, current: float, target: float, steps: float,
     """The next coefficient of the adaptive KL controller."""
     error = min(max(current / target - 1, -0.2), 0.2)
     return value * (1 + error * steps / horizon)
+
+
+def sft_sample(prompt: Column, response: Column, length: int, pad: int, truncation: str = "error") -> Column:
+    """Prompt and response as one padded or cut sample: ids, masks and positions of ``length``."""
+    both = F.concat(prompt, response)
+    ids = pad_to(truncated(both, length, truncation), length, pad)
+    valid = F.least(F.size(both), F.lit(length))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.when(i < valid, 1).otherwise(0))
+    loss = sft_loss_mask(F.size(prompt), F.size(both), F.lit(length))
+    places = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.least(i, valid - 1))
+    return F.struct(ids.alias("input_ids"), mask.alias("attention_mask"), places.alias("position_ids"), F.zip_with(loss, mask, lambda a, b: a * b).alias("loss_mask"))
+
+
+def stacked_pair(chosen: Column, rejected: Column, length: int, pad: int) -> Column:
+    """A preference pair as two rows of ids and masks, each row's mask its own."""
+    row = lambda x: pad_to(truncated(x, length), length, pad)
+    mask = lambda x: pad_to(F.transform(truncated(x, length), lambda t: F.lit(1)), length, 0)
+    return F.struct(F.array(row(chosen), row(rejected)).alias("input_ids"), F.array(mask(chosen), mask(rejected)).alias("attention_mask"))
+
+
+def causal_mask(mask: Column) -> Column:
+    """For each query place, which key places it sees: earlier or equal, and valid."""
+    return F.transform(mask, lambda q, i: F.transform(mask, lambda k, j: F.when(j <= i, k).otherwise(0)))

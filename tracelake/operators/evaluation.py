@@ -122,3 +122,20 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     scored = vectors.crossJoin(q).select("query_id", key, cosine(F.col(vector), F.col("_q")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def running_totals(turns: DataFrame, sequence: str, order: list[Column], values: list[str]) -> DataFrame:
+    """Each turn with the sums of ``values`` up to it."""
+    w = Window.partitionBy(sequence).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return turns.withColumns({f"{v}_so_far": F.sum(v).over(w) for v in values})
+
+
+def sharded_entropy(logits: DataFrame, key: str, logit: str) -> DataFrame:
+    """Softmax entropy of logits that lie in many rows: a maximum first, then sums shifted by it.
+
+    Both steps combine partial results before the shuffle, as vocabulary shards would.
+    """
+    top = logits.groupBy(key).agg(F.max(logit).alias("_top"))
+    shifted = logits.join(top, key).withColumn("_e", F.exp(F.col(logit) - F.col("_top")))
+    sums = shifted.groupBy(key).agg(F.max("_top").alias("_top"), F.sum("_e").alias("_z"), F.sum(F.col("_e") * F.col(logit)).alias("_x"))
+    return sums.select(key, (F.col("_top") + F.ln("_z") - F.col("_x") / F.col("_z")).alias("entropy"))

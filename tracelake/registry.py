@@ -578,3 +578,38 @@ def tool_loop(spark, sf):
     p = read(spark, sf, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("idx"), F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("query"))
     out = loop.generate_with_tools(p, scripted)
     return out.select("idx", "rounds", answers.apply(answers.boxed_answer)("query").alias("answer"), "logprob", "length")
+
+
+@query(f"""SELECT event_id, {g('sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)')} AS value_so_far FROM events""")
+def running_totals(spark, sf):
+    e = evaluation.running_totals(read(spark, sf, "events"), "user_id", [F.col("ts"), F.col("event_id")], ["value"])
+    return e.select("event_id", grid(F.col("value_so_far")).alias("value_so_far"))
+
+
+@query(f"""WITH z AS (SELECT vec_id, embedding::double[] AS e, ln(list_sum(list_transform(embedding::double[], lambda x: exp(x)))) AS z FROM embeddings) SELECT vec_id, {g('z - list_sum(list_transform(e, lambda x: exp(x - z) * x))')} AS entropy FROM z""")
+def sharded_entropy(spark, sf):
+    t = read(spark, sf, "embeddings").select("vec_id", F.explode(vector()).alias("logit"))
+    return evaluation.sharded_entropy(t, "vec_id", "logit").select("vec_id", grid(F.col("entropy")).alias("entropy"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CAST(o_custkey % 5 + 1 AS INT) AS p, CAST(o_orderkey % 7 + 1 AS INT) AS r FROM orders) SELECT o_orderkey, least(p + r, 10) AS tokens, CASE WHEN p + r <= 10 THEN r ELSE 10 - (p - 1) END - CASE WHEN p + r <= 10 THEN 0 ELSE 0 END AS trained FROM s""")
+def sft_samples(spark, sf):
+    p, r = (F.col("o_custkey") % 5 + 1).cast("int"), (F.col("o_orderkey") % 7 + 1).cast("int")
+    s = token_math.sft_sample(F.array_repeat(F.lit(5), p), F.array_repeat(F.lit(6), r), 10, 0, "right")
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    return read(spark, sf, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", total(F.col("s.attention_mask")).alias("tokens"), total(F.col("s.loss_mask")).alias("trained"))
+
+
+@query("""SELECT o_orderkey, CAST(least(o_custkey % 5 + 1, 4) AS INT) AS chosen, CAST(least(o_orderkey % 7 + 1, 4) AS INT) AS rejected FROM orders""")
+def preference_pairs(spark, sf):
+    p, r = (F.col("o_custkey") % 5 + 1).cast("int"), (F.col("o_orderkey") % 7 + 1).cast("int")
+    s = token_math.stacked_pair(F.array_repeat(F.lit(5), p), F.array_repeat(F.lit(6), r), 4, 0)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    return read(spark, sf, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", total(F.col("s.attention_mask")[0]).alias("chosen"), total(F.col("s.attention_mask")[1]).alias("rejected"))
+
+
+@query("""WITH t AS (SELECT vec_id, unnest(range(1, 65)) AS pos, unnest(embedding) AS x FROM embeddings) SELECT vec_id, CAST(sum((65 - pos) * CAST(x > 0 AS INT)) AS INT) AS seen FROM t GROUP BY 1""")
+def causal_attention(spark, sf):
+    m = token_math.causal_mask(F.transform("embedding", lambda x: (x > 0).cast("int")))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    return read(spark, sf, "embeddings").select("vec_id", total(F.transform(m, total)).alias("seen"))
