@@ -8,10 +8,10 @@ of the batch are tested at once with numpy, walking both tokens' merge trees alo
 common border.  Only words with a failing pair are merged exactly, step by step.
 
 Texts are normalised as the file says (NFC, white space to one space, lower case by
-character) and cut by its pattern; both work word by word, so a word's ids depend on nothing
-but the word and are cached per worker, in a table of bounded size.  Words with characters
-outside the blocks named in ``PLAIN`` are encoded by the library itself, so differences
-between Unicode versions can't show.
+character) and cut into pieces by its pattern.  A piece's ids depend on nothing but the
+piece and are cached per worker, in a table of bounded size.  Words with characters outside
+``PLAIN`` are encoded by the library itself, so differences between Unicode versions can't
+show; the pattern is then only needed for characters whose classes are listed once.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,10 +35,12 @@ from . import words
 
 #: White space as the vocabulary's pattern has it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters that every Unicode version treats alike: Latin blocks, general punctuation, currency.
-PLAIN = re.compile(r"[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
-ASCII_WORD = re.compile(r"[a-zA-Z]+\Z")
-CACHE_WORDS, CACHE_PIECES = 200_000, 600_000
+#: Characters that every Unicode version treats alike and that NFC leaves alone: Latin blocks, general punctuation, currency.
+PLAIN_RANGES = r"\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+PLAIN = re.compile(f"[{PLAIN_RANGES}]*")
+WHITE, OTHER = re.compile(f"[{SPACE}]"), re.compile(f"[^{SPACE}]+")
+CACHE_PIECES, CACHE_WORDS = 600_000, 100_000
+SEGMENT = 1 << 20  # characters of a long text that are cut at once
 NONE = np.iinfo(np.int64).max
 END = 0x1000  # added to a word's last letter: the letter with the end-of-word suffix
 
@@ -53,6 +54,16 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def piece_pattern(source: str) -> re.Pattern:
+    r"""The file's pattern with \s, \p{L} and \p{N} spelled out for the characters of PLAIN."""
+    every = [c for c in map(chr, range(0x2100)) if PLAIN.fullmatch(c)]
+    group = lambda kind: "".join(re.escape(c) for c in every if unicodedata.category(c)[0] == kind)
+    letters = group("L")
+    out = source.replace(r"\s", SPACE).replace(r"\p{N}", group("N")).replace(r"[\p{L}]", f"[{letters}]").replace(r"\p{L}", letters)
+    contractions, rest = out.split(f"[{letters}]+", 1)
+    return re.compile(f"[{letters}]+|{contractions.strip('|')}{rest}")  # letters first: nothing else starts with one
+
+
 class PairTable:
     """Merge orders and results of token pairs, looked up by numpy; a few small hash tables, each for what collided in the one before."""
 
@@ -91,7 +102,7 @@ class Vocabulary:
         model = file["model"]
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE))
+        self.pattern = piece_pattern(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         ids: dict[str, int] = model["vocab"]
         size = max([*ids.values(), *self.special.values()]) + 1
@@ -125,8 +136,8 @@ class Vocabulary:
             if key and self.merge(key) == [i]:  # tokens that no merging yields are never proposed
                 self.automaton.add_word(key, i)
         self.automaton.make_automaton()
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         """Exact merging of one word of letters: the lowest rank first, leftmost among equals."""
@@ -205,8 +216,15 @@ class Vocabulary:
             todo = todo[~done]
         return good
 
-    def add_pieces(self, new: list[str]) -> None:
-        """Encode pieces of letters, the last with END, into the piece cache."""
+    def spelled(self, piece: str) -> str:
+        """A piece in the vocabulary's letters, the last with END."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.bytes_to_letters)
+        return piece[:-1] + chr(ord(piece[-1]) + END)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces into the cache."""
+        new = list(map(self.spelled, pieces))
         got = list(self.automaton.iter_long("".join(new)))
         ends = np.fromiter((e for e, _ in got), np.int64, len(got))
         ids = np.fromiter((i for _, i in got), np.int64, len(got))
@@ -222,86 +240,79 @@ class Vocabulary:
         bad |= spelled != sizes  # a proposal must cover the whole piece
         starts = np.searchsorted(word_of, np.arange(len(new) + 1)).tolist()
         flat, put = ids.astype("<u4").tobytes(), self.parts
-        for w, b, i, j in zip(new, bad.tolist(), starts, starts[1:]):
+        for w, b, i, j in zip(pieces, bad.tolist(), starts, starts[1:]):
             if not b:
                 put[w] = flat[4 * i : 4 * j]
-        failed = [new[i] for i in np.flatnonzero(bad).tolist()]
+        failed = np.flatnonzero(bad).tolist()
         if failed:
-            ids, starts = self.merge_all(failed)
+            ids, starts = self.merge_all([new[i] for i in failed])
             flat, starts = ids.astype("<u4").tobytes(), starts.tolist()
             for w, i, j in zip(failed, starts, starts[1:]):
-                put[w] = flat[4 * i : 4 * j]
-
-    def pieces(self, word: str) -> list[str]:
-        """A plain white-space word as pieces of letters, ready for add_words."""
-        if "Σ" in word:
-            word = word.replace("Σ", "σ")  # lower case by character: no final sigma
-        low = unicodedata.normalize("NFC", word).lower() if not word.isascii() else word.lower()
-        parts = [low] if ASCII_WORD.match(low) else self.pattern.findall(low)
-        out = []
-        for p in parts:
-            p = p if p.isascii() and p.isprintable() else p.encode("utf-8").decode("latin-1").translate(self.bytes_to_letters)
-            out.append(p[:-1] + chr(ord(p[-1]) + END))
-        return out
-
-    def learn(self, new: set[str]) -> None:
-        """Cache the ids of white-space words."""
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_PIECES:
-            self.parts.clear()
-        plain, known, parts = [], self.parts, set()
-        for w in new:
-            if (w.isascii() or PLAIN.fullmatch(w)) and not ("<" in w and self.specials and self.specials.search(w)):
-                own = self.pieces(w)
-                plain.append((w, own))
-                parts.update(x for x in own if x not in known)
-            else:
+                put[pieces[w]] = flat[4 * i : 4 * j]
+
+    def segments(self, text: str | None) -> Iterator[list[str] | bytes]:
+        """A text as lists of pieces to look up, and ids of words that only the library may encode."""
+        if not text:
+            return
+        if len(text) > SEGMENT:  # cut at white space, memory stays bounded
+            at = 0
+            while at < len(text):
+                cut = WHITE.search(text, at + SEGMENT)
+                end = cut.start() if cut else len(text)
+                yield from self._segment(text[at:end])
+                at = end
+            return
+        yield from self._segment(text)
+
+    def _segment(self, text: str) -> Iterator[list[str] | bytes]:
+        if (text.isascii() or PLAIN.fullmatch(text)) and not ("<|" in text and self.specials and self.specials.search(text)):
+            yield self.pattern.findall(text.lower())
+            return
+        for w in OTHER.findall(text):
+            if PLAIN.fullmatch(w) and not (self.specials and self.specials.search(w)):
+                yield self.pattern.findall(w.lower())
+                continue
+            if w not in self.words:
+                if len(self.words) >= CACHE_WORDS:
+                    self.words.clear()
                 self.words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if parts:
-            self.add_pieces(list(parts))
-        get, put = known.__getitem__, self.words
-        for w, own in plain:
-            put[w] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for t in texts:
-            own = self.spaces(t)
-            try:
-                out.append(b"".join(map(self.words.__getitem__, own)))
-            except KeyError:
-                for at in range(0, len(own), CACHE_WORDS // 4):  # a long text may hold more words than the cache
-                    part = own[at : at + CACHE_WORDS // 4]
-                    new = {w for w in part if w not in self.words}
-                    if new:
-                        self.learn(new)
-                        if len(self.words) == len(new):  # the cache was emptied
-                            self.learn({w for w in part if w not in self.words})
-                    got = b"".join(map(self.words.__getitem__, part))
-                    out.append(got) if at == 0 else out.__setitem__(-1, out[-1] + got)
-        return out
-
-    @staticmethod
-    def spaces(t: str | None) -> list[str]:
-        if not t:
-            return []
-        if any(c in t for c in "\x1c\x1d\x1e\x1f"):  # space for str.split, not for the pattern
-            return regex.findall(f"[^{SPACE}]+", t)
-        return t.split()
+            yield self.words[w]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """As encode, with the unknown words of all texts learned together."""
-        new: set[str] = set()
-        known = self.words
+        """Ids of each text as little-endian unsigned 32-bit integers; unknown pieces of all texts are learned together."""
+        known, out = self.parts, []
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        held: list[list[list[str] | bytes]] = []
+        size = 0
         for t in texts:
-            new.update(w for w in self.spaces(t) if w not in known)
-            if len(new) > CACHE_WORDS // 2:
-                break
-        if new and len(new) <= CACHE_WORDS // 2:
-            self.learn(new)
-        return self.encode(texts)
+            held.append([])
+            for part in self.segments(t):
+                held[-1].append(part)
+                size += len(part)
+                if size > SEGMENT:  # a long text: put what is held into ids
+                    self._learn_held(held)
+                    size = 0
+        self._learn_held(held)
+        for own in held:
+            out.append(b"".join(own))
+        return out
+
+    def _learn_held(self, held: list[list[list[str] | bytes]]) -> None:
+        known, new = self.parts, set()
+        for own in held:
+            for part in own:
+                if type(part) is list:
+                    new.update(set(part).difference(known))
+        if new:
+            self.learn(list(new))
+        get = known.__getitem__
+        for own in held:
+            for i, part in enumerate(own):
+                if type(part) is list:
+                    own[i] = b"".join(map(get, part))
+        if len(known) > CACHE_PIECES:
+            known.clear()
 
     def decode(self, ids: bytes) -> str:
         """The library's decode without a decoder: the tokens' texts joined by a space."""
@@ -325,7 +336,7 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encoded(column: pa.Array, v: Vocabulary, step: int = 64) -> Iterator[bytes]:
+def encoded(column: pa.Array, v: Vocabulary, step: int = 256) -> Iterator[bytes]:
     """The ids of each text of a column, a few texts at a time."""
     for at in range(0, len(column), step):
         yield from v.encode_batch(column.slice(at, step).to_pylist())
