@@ -32,6 +32,8 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
 
 def split(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Flat words and the n+1 offsets of each text's words; a null text has none."""
+    if texts.offset:  # the kernels below misread slices
+        texts = pa.array(texts.to_pylist(), pa.large_string())
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
