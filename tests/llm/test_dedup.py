@@ -97,3 +97,13 @@ def test_signatures_are_shared_by_similar_sets():
 def test_planes_round_trip():
     a = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (packed.unplanes(packed.planes(a), np.uint64) == a).all() and len(packed.unplanes(b"", np.int32)) == 0
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    from tracelake.llm import words
+
+    texts = pa.array([f"w{i} x y\tz {'v ' * (i % 7)}" for i in range(3000)])
+    flat, offsets = words.split(texts.slice(1000, 500))
+    assert np.diff(offsets).tolist() == [len(t.split()) for t in texts.slice(1000, 500).to_pylist()] and flat[0].as_py() == "w1000"
