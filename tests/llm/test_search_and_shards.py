@@ -82,3 +82,23 @@ def test_shard_index(spark):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
     assert sum(r.text_bytes for r in got) == sum(len((t or "").encode()) for _, t, *_ in rows)
     assert shard_index(h.documents(spark, []), new_path(spark, "index")).count() == 0
+
+
+def test_splits_above_the_target_end_near_it(spark):
+    r, target = random.Random(3), 1 << 18
+    text = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(1500))
+    rows = [(i, text(), None, None, None) for i in range(2400)]
+    for parts in (2, 16):  # splits of about five targets, and of 0.6 of one: no two fit
+        docs = h.documents(spark, rows).repartition(parts)
+        path = new_path(spark, "large")
+        got = shard_index(docs, path, target_bytes=target).collect()
+        assert sorted(x.doc_id for x in got) == list(range(2400))
+        sizes = [s["bytes"] for s in ShardedTable(spark, path).manifest()["shards"]]
+        assert all(0.75 * target <= n <= 1.25 * target for n in sizes), (parts, sizes)
+
+
+def test_a_row_above_the_target_stays_alone(spark):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(n)), None, None, None) for i, n in enumerate([400000, 50, 60, 70])]
+    got = shard_index(h.documents(spark, rows).coalesce(1), new_path(spark, "row"), target_bytes=1 << 16).collect()
+    assert sorted(x.doc_id for x in got) == [0, 1, 2, 3]

@@ -3,8 +3,9 @@
 Method (size-tiered compaction).  An append writes its rows as small shards, a file a task,
 and never touches what is there.  Shards of similar size form a tier (powers of ``fanout``);
 when a tier holds ``fanout`` shards, runs of them are merged into one file each, of at most
-``target_bytes``; merged files enter a higher tier, so a byte is rewritten once a tier.  A
-state of the table is a numbered manifest, the list of its files.  It is written aside and
+``target_bytes``; merged files enter a higher tier, so a byte is rewritten once a tier.
+Arrivals above the target (an append's file is a whole split of its input), and shards too
+large for two to fit one file, are dealt row by row over files near the target.  A state of the table is a numbered manifest, the list of its files.  It is written aside and
 renamed to its number without overwriting, which the file system does as a whole or refuses:
 readers see the state before or after, and of two writers with the same number one must try
 again.  Files that no kept manifest lists are removed after the commit.
@@ -112,15 +113,37 @@ class ShardedTable:
             out.append(run)
         return [r for r in out if len(r) > 1]
 
+    def deals(self, shards: list[dict]) -> list[list[dict]]:
+        """Groups to deal anew over files near the target: arrivals above it, and ``fanout`` or more shards of which no two fit one file.
+
+        The latter lose at least one file a round.  What was merged or dealt is not cut
+        again: only a row larger than the target makes such a file.
+        """
+        over = [s for s in shards if s["level"] == 0 and s["bytes"] > self.target * 5 // 4]
+        single = [s for s in shards if self.target // 2 < s["bytes"] < self.target * 3 // 4]
+        out, size = [], 0
+        for s in over + (single if over or len(single) >= self.fanout else []):
+            if not out or size + s["bytes"] > RUNS_A_JOB * self.target:  # bounds what a job shuffles
+                out.append([])
+                size = 0
+            out[-1].append(s)
+            size += s["bytes"]
+        return [g for g in out if len(g) >= self.fanout or any(s["bytes"] > self.target for s in g)]
+
     def compact(self) -> dict:
-        """One round: merge the planned runs, a task a run, and commit."""
+        """One round: merge the planned runs, a task a run, deal what can't be merged, and commit."""
         base = self.manifest()
         runs = self.plan(base["shards"])
-        if not runs:
-            return base
         gone = {s["file"] for r in runs for s in r}
-        level = 1 + max(s["level"] for r in runs for s in r)
+        deals = self.deals([s for s in base["shards"] if s["file"] not in gone])
+        if not runs and not deals:
+            return base
+        gone |= {s["file"] for g in deals for s in g}
+        level = 1 + max(s["level"] for r in runs + deals for s in r)
         new = []
+        for g in deals:
+            files = -(-sum(s["bytes"] for s in g) // self.target)
+            new += self._written(self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in g)).repartition(files), level)
         for at in range(0, len(runs), RUNS_A_JOB):  # a job writes many runs, a task each; plans stay small
             parts = [self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in r)).coalesce(1) for r in runs[at : at + RUNS_A_JOB]]
             new += self._written(reduce(DataFrame.unionByName, parts), level)
