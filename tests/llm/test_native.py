@@ -52,6 +52,17 @@ def test_line_frequency(spark):
     assert quality.quality_rules(h.documents(spark, [])).count() == 0
 
 
+def test_line_frequency_of_a_large_host(spark):
+    """A repeated line goes whatever share of its host's texts it stands in."""
+    notice = "all rights reserved by the owners of this page and of all others"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"{own(i)}\n{notice}" if i % 20 == 0 else own(i), None, "host", None) for i in range(600)]
+    rows += [(1000 + i, f"{own(1000 + i)}\n{notice}", None, "small", None) for i in range(20)]
+    got = {r.doc_id: r for r in quality.quality_rules(h.documents(spark, rows)).collect()}
+    assert all(got[i].n_left == 30 and len(got[i].cut_lines) == (1 if i % 20 == 0 and i else 0) for i in range(1, 600))
+    assert got[0].n_left == 43 and all(got[1000 + i].n_left == 43 for i in range(20))
+
+
 def test_copies_leave_one(spark):
     text = "\n".join(" ".join(f"l{i}w{k}" for k in range(10)) for i in range(4))
     rows = [(i, f"{text}\nunique{i} {i}", None, None, None) for i in range(40)] + [(3, f"{text}\nunique3 3", None, None, None)]

@@ -2,9 +2,9 @@
 
 Method (cross-document line frequency).  Each document's distinct normalised lines are
 hashed, once a document; distinct texts are counted by host and line, partially before the
-shuffle.  A line in more texts of its host than both ``min_docs`` and ``max_share`` of the
-host's distinct texts is boilerplate; it is removed everywhere but in the host's document of
-smallest id that holds it, so that of a group of copies one stays whole.  A document is
+shuffle.  A line in more than ``min_docs`` distinct texts of its host is boilerplate, however
+large the host is; it is removed everywhere but in the host's document of smallest id that
+holds it, so that of a group of copies one stays whole.  A document is
 rejected when it fails the rules within its text, or when boilerplate was removed and fewer
 than ``min_words`` words, or less than ``min_left`` of them, are left.
 """
@@ -66,7 +66,7 @@ def text_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.1, min_words: int = 20, min_left: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, min_words: int = 20, min_left: float = 0.3) -> DataFrame:
     """Verdicts on whole documents: ``doc_id, text_hash``, the measures, ``n_left, cut_lines, kept``.
 
     A row for each row of ``docs``.  ``n_left`` counts the words outside removed lines and
@@ -76,11 +76,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     verdicts.  An empty table gives none.  Other columns are ignored, whatever their names.
     """
     base = keep(text_rules(docs, id_col, text_col, host_col), "quality-base")
-    hosts = base.groupBy("host").agg(F.countDistinct("text_hash").alias("host_texts"))
     lines = base.select(*KEYS, F.explode("lines").alias("x")).select(*KEYS, "x.line", "x.n")
-    stats = lines.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("texts"), F.min("doc_id").alias("first_id")).where(F.col("texts") > min_docs)
-    hosts = hosts.select(F.col("host").alias("h"), "host_texts")
-    often = stats.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("texts") > max_share * F.col("host_texts")).select(F.col("host").alias("h"), F.col("line").alias("l"), "first_id")
+    often = lines.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("texts"), F.min("doc_id").alias("first_id")).where(F.col("texts") > min_docs).select(F.col("host").alias("h"), F.col("line").alias("l"), "first_id")
     later = F.coalesce(F.col("doc_id") > F.col("first_id"), F.col("doc_id").isNull() & F.col("first_id").isNotNull())
     cut = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where(later)
     cut = cut.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("th"), F.col("host").alias("h")).agg(F.sum("n").alias("n_cut"), F.count("*").alias("c"), F.collect_set("line").alias("cut_lines"))
