@@ -1,5 +1,6 @@
 """Quality rules, PII, secrets, mixing: against plain re-statements; no Python in their plans."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -147,6 +148,21 @@ def test_secrets(spark):
     assert all(found[i].n_candidates == 0 for i in (2, 3, 6)) and secret_scan.scan_secrets(h.documents(spark, [])).count() == 0
 
 
+def test_secret_candidates_are_whole(spark):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pick = lambda n, a=letters + "0123456789": "".join(r.choice(a) for _ in range(n))
+    long, value, jwt, dotted = pick(1600), pick(40), f"eyJ{pick(17)}.eyJ{pick(60)}.{pick(43)}", f"SG.{pick(22)}.{pick(43)}"
+    plain, lower = "AbcDefGhiJklMnoPqrStuVwx", pick(30, letters[:26])
+    keys = [("the private key ", long), ("set API_KEY=", value), ("export AWS_SECRET_KEY=", value + "=="), ("mail by ", dotted), ("cookie ", jwt), ('token = "', plain), ("password: ", lower)]
+    texts = [(before + v + " and more", f"{len(before)}:{len(before) + len(v)}") for before, v in keys]
+    texts += [(f"x = a.{value} b", None)]
+    rows = [(i, t, None, None, None) for i, (t, _) in enumerate(texts)] + [(90, f"the {'internationalisation'} of plain words", None, None, None)]
+    got = {x.doc_id: x for x in secret_scan.scan_secrets(h.documents(spark, rows)).collect()}
+    assert [got[i].n_candidates for i in range(len(texts))] == [1] * len(texts) and got[90].n_candidates == 0
+    assert [got[i].spans for i in range(len(keys))] == [want for _, want in texts[: len(keys)]]
+
+
 def targets(sizes):
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
     left, open_, out = 1.5 * sum(sizes.values()), set(sizes), {}

@@ -1,7 +1,8 @@
 """Secret scans of whole texts: credential-like strings, false positives removed by a random forest.
 
-Method.  Candidates are unbroken runs of 16 to 200 key characters that hold a digit, or a
-capital inside, and known key prefixes.  The forest looks at the candidate's length, its
+Method.  Candidates are unbroken runs of 16 or more key characters, of any length, that hold
+a digit, or a capital inside, or follow a key word; and dotted keys of known prefixes.  "="
+belongs to a run as padding at its end only, so that a value starts after its name.  The forest looks at the candidate's length, its
 transitions between lower case, capitals, digits and signs, how much of it dictionary
 syllables cover, whether it stands in a path or URL, and the words next to it.  It is fitted
 on ``TRAINING`` generated labelled findings (a fixed bound, a fixed seed) whose features
@@ -19,14 +20,20 @@ from pyspark.sql import functions as F
 
 from . import native, trees
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,200}+(?![A-Za-z0-9+/_=-])"
-#: A cheap test of whether a text can hold a candidate: a key-like run with a digit.
-SIGN = r"[0-9][A-Za-z+/_=-]*[A-Za-z0-9+/_=-]{7}|[A-Za-z0-9+/_=-]{7}[0-9]"
+KEY = r"A-Za-z0-9+/_-"
+KEY_WORD = r"token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|private|credential|client[_ -]?secret"
+#: Dotted keys: SendGrid's, and web tokens of two or three parts.
+DOTTED = r"SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{13,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?"
+MIXED = rf"(?=[A-Za-z+/_-]*+[0-9]|[{KEY}][a-z0-9+/_-]*+[A-Z])"
+AFTER_KEY = rf"(?<=(?i:{KEY_WORD})[A-Za-z0-9_\x20\"'=:-]{{0,12}})"
+CANDIDATE = rf"(?<![{KEY}])(?:{DOTTED}|(?=[{KEY}]{{16}})(?:{MIXED}|{AFTER_KEY})[{KEY}]++(?:={{1,2}}+(?![={KEY}]))?)"
+#: A cheap test of whether a text can hold a candidate: the run that each of them has.
+SIGN = rf"(?<![{KEY}])[{KEY}]{{16}}|SG\."
 CONTEXT, TRAINING, PRECISION = 32, 3000, 0.95
 FEATURES = ("length", "digits", "capitals", "signs", "transitions", "hex", "covered", "vowels", "distinct", "in_path", "after_key", "after_other", "assigned", "quoted", "prefixed", "dashes")
 #: Common syllables and words whose share marks prose and identifiers.
 DICTIONARY = r"(?i)(tion|ing|the|and|ent|ment|able|version|config|class|file|image|data|name|user|test|value|index|http|www|page|content|style|script|node|module|build|release|commit|sha|uuid|model|order|part|item)"
-NEAR_KEY = r"(?i)(token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|private|credential|client[_ -]?secret)"
+NEAR_KEY = rf"(?i)({KEY_WORD})"
 NEAR_OTHER = r"(?i)(commit|sha1|sha256|md5|checksum|digest|revision|hash|uuid|guid|build|version|isbn|order|invoice|serial|etag|integrity|card|number)"
 PREFIXED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|rk_live_|AIza|eyJ|SG\.|npm_|pypi-)"
 
@@ -54,20 +61,22 @@ def findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     pick = lambda a, k: "".join(r.choice(a) for _ in range(k))
     word = lambda: "".join(r.choice(["the", "tion", "an", "er", "in", "re", "ou", "at", "le", "que", "ment", "sch"]) for _ in range(r.randint(1, 4)))
     prose = lambda: " ".join(word() for _ in range(4)) + " "
-    keys = ["token = \"", "api_key: ", "password=", "secret = '", "Authorization: Bearer ", "access_key=\"", "client_secret: \"", "auth token ", "TOKEN = \""]
+    keys = ["token = \"", "api_key: ", "password=", "secret = '", "Authorization: Bearer ", "access_key=\"", "client_secret: \"", "auth token ", "TOKEN = \"", "API_KEY=", "export AUTH_TOKEN="]
     other = ["commit ", "sha1 ", "md5: ", "checksum = ", "uuid ", "build ", "order number ", "serial ", "etag \"", "invoice ", "card number "]
     out = []
     for _ in range(n):
         yes = r.random() < 0.5
         if yes:
-            value = r.choice([pick(digits + "abcdef", 40), pick(digits + "ABCDEF", 40), pick(digits + "abcdef", 32), pick(lower + upper + digits, r.randint(20, 64)), pick(lower + upper + digits + "+/", 40), "AKIA" + pick(upper + digits, 16), "ghp_" + pick(lower + upper + digits, 36), "sk_live_" + pick(lower + upper + digits, 24)])
-            known = value[:4] in ("AKIA", "ghp_", "sk_l")
+            value = r.choice([pick(digits + "abcdef", 40), pick(digits + "ABCDEF", 40), pick(digits + "abcdef", 32), pick(lower + upper + digits, r.randint(20, 64)), pick(lower + upper + digits + "+/", 40), "AKIA" + pick(upper + digits, 16), "ghp_" + pick(lower + upper + digits, 36), "sk_live_" + pick(lower + upper + digits, 24),
+                pick(lower + upper, r.randint(20, 40)), pick(lower, r.randint(20, 40)), pick(lower + upper + digits + "+/", r.randint(200, 2000)), "SG." + pick(lower + upper + digits, 22) + "." + pick(lower + upper + digits, 43), ".".join("eyJ" * (i < 2) + pick(lower + upper + digits + "-_", r.randint(17, 43)) for i in range(3))])
+            known = value[:4] in ("AKIA", "ghp_", "sk_l") or value[:3] in ("SG.", "eyJ")
             before = prose() + (r.choice(["", *keys]) if known else r.choice(keys))
             after = r.choice(['" ', "' ", " ", "\n", ","])
         else:
-            value = r.choice([pick(digits, r.randint(16, 20)), pick(digits + "abcdef", 40), pick(digits + "abcdef", 32), "-".join(pick(digits + "abcdef", k) for k in (8, 4, 4, 4, 12)), f"{word()}-{word()}-{pick(digits, 4)}-version", f"{word()}_{word()}_{word()}{pick(digits, 2)}", f"{word()}{word()}{pick(digits, 3)}{word()}", pick(lower + upper + digits + "+/", r.randint(60, 120))])
+            value = r.choice([pick(digits, r.randint(16, 20)), pick(digits + "abcdef", 40), pick(digits + "abcdef", 32), "-".join(pick(digits + "abcdef", k) for k in (8, 4, 4, 4, 12)), f"{word()}-{word()}-{pick(digits, 4)}-version", f"{word()}_{word()}_{word()}{pick(digits, 2)}", f"{word()}{word()}{pick(digits, 3)}{word()}", pick(lower + upper + digits + "+/", r.randint(60, 120)), pick(lower + upper + digits + "+/", r.randint(200, 2000)),
+                "".join(word().capitalize() for _ in range(r.randint(3, 6))), "_".join(word().upper() for _ in range(r.randint(3, 6))), "-".join(word() for _ in range(r.randint(3, 6))), "".join(word() for _ in range(5))])
             before = prose() + r.choice(["", "", *other, "https://example.org/a/", "src/lib/", "<img src=\"data:image/png;base64,"])
-            if value.isdigit() or "-" in value[6:10] or "_" in value:
+            if value.isdigit() or "-" in value[6:10] or "_" in value or value.isalpha():
                 before = prose() + r.choice(["", *other, *keys])
             after = r.choice([" ", "/index.html", ".js", ".", "\n"])
         out.append((before[-CONTEXT:], value, after, int(yes)))
