@@ -160,3 +160,26 @@ def test_native_text_columns(spark):
     d = spark.createDataFrame([("x" * 900, "aBC d", "print(input())", r"\boxed{2}")], "t string, c string, p string, v string")
     r = d.select(F.length(answers.middle_cut_column(F.col("t"))), answers.capitalised(F.col("c")), answers.blocked_code(F.col("p")), answers.judge_score(F.col("v")), answers.is_error_output(F.lit("A Traceback"))).first()
     assert list(r) == [803, "Abc d", True, 0.1, True]
+
+
+def test_cosine_blocks_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "QUERY_BLOCK", 8)
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(0, 1, 16).tolist()) for i in range(400)]
+    rows += [(1000 + i, list(v)) for i, (_, v) in enumerate(rows[:50])]  # ties
+    odd = [(2000, None), (2020, [0.0] * 16), (2040, [1.0, None]), (2060, [float("nan")] * 16), (2080, [float("inf")] * 16), (2100, [1.0, 2.0]), (2101, [2.0, 4.0]), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((x.query_id, x["rank"], x.vec_id) for x in evaluation.cosine_top_k_blocks(df, df.where("vec_id % 20 = 0"), 5).collect())
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    s = np.round((v @ v.T) / np.outer(*[np.linalg.norm(v, axis=1)] * 2), 12)
+    want = [(int(q), n + 1, int(ids[c])) for at, q in enumerate(ids) if q % 20 == 0 for n, c in enumerate(np.lexsort((ids, -s[at]))[:5])]
+    assert got == sorted([*want, (2100, 1, 2100), (2100, 2, 2101)])
+    assert evaluation.cosine_top_k_blocks(df.limit(0), df.limit(0), 5).count() == 0
+
+
+def test_every_twentieth_vector_is_searched(spark):
+    from tracelake import registry
+
+    got = registry.queries()["cosine_topk_blocks"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().collect()
+    n = registry.read(spark, "/root/testdata/sf0.001", "embeddings").where("vec_id % 20 = 0").count()
+    assert len(got) == n and all(x["count"] == 5 for x in got)

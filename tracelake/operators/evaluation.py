@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship_package
+from ..sources.shared import keep
+
 MISSING = -1.0
+QUERY_BLOCK, TILE, CANDIDATES = 4096, 128, 4096
 
 
 def pass_and_average(attempts: DataFrame, source: str = "source", problem: str = "problem", correct: str = "correct") -> DataFrame:
@@ -124,6 +132,80 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _unit_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and rows of length one, by vector length; vectors without a direction are left out."""
+    keys, lists = np.asarray(batch.column(0)), batch.column(1)
+    starts = np.asarray(lists.offsets)
+    lengths, flat, starts = np.diff(starts), np.asarray(lists.values), starts[:-1]
+    for d in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == d)
+        rows = flat[starts[at][:, None] + np.arange(d)]
+        norm = np.sqrt((rows * rows).sum(axis=1))
+        fine = np.isfinite(norm) & (norm > 0)
+        if fine.any():
+            yield keys[at][fine], rows[fine] / norm[fine][:, None]
+
+
+def _nearest(sent, k: int):
+    """Each task's ``k`` best candidates of each sent query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {d: (np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)) for d, (_, q) in sent.value.items()}
+        for batch in batches:
+            for own, rows in _unit_rows(batch):
+                if rows.shape[1] not in best:
+                    continue
+                q, (score, key) = sent.value[rows.shape[1]][1], best[rows.shape[1]]
+                for c in range(0, len(own), CANDIDATES):
+                    for a in range(0, len(q), TILE):
+                        tile, near = slice(a, a + TILE), slice(c, c + CANDIDATES)
+                        s = np.einsum("qd,vd->qv", q[tile], rows[near])  # a pair's sum doesn't depend on its place
+                        i, j = np.nonzero(s >= score[tile, -1:])
+                        old = np.nonzero(score[tile] > -np.inf)
+                        x, y = np.concatenate((score[tile][old], s[i, j])), np.concatenate((key[tile][old], own[near][j]))
+                        i = np.concatenate((old[0], i))
+                        order = np.lexsort((y, -x, i))
+                        i, x, y = i[order], x[order], y[order]
+                        place = np.arange(len(i)) - np.searchsorted(i, i)
+                        top = place < k
+                        score[a + i[top], place[top]], key[a + i[top], place[top]] = x[top], y[top]
+        for d, (score, key) in best.items():
+            at, place = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[d][0][at]), pa.array(key[at, place]), pa.array(score[at, place])], names=["query_id", "key", "score"])
+
+    return run
+
+
+def cosine_top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``cosine_top_k`` for any number of queries: ``query_id``, key, ``score``, ``rank``.
+
+    A block of at most ``QUERY_BLOCK`` queries is sent to every task, which reads each vector
+    once for it and keeps ``k`` a query.  A query is a candidate of its own.  Rows with a
+    null key or vector, a null or non-finite component or no direction take no part; vectors
+    of another length are no candidates.
+    """
+    spark = vectors.sparkSession
+    ship_package(spark)
+    x = F.col(vector).cast("array<double>")
+    fine = F.col(key).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e))
+    put = lambda df: df.where(fine).select(F.col(key).cast("long").alias("key"), x.alias("v"))
+    data, asked = put(vectors), put(queries)
+    blocks = max(1, -(-asked.count() // (QUERY_BLOCK * 7 // 8)))  # hashed blocks differ in size
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b) if blocks > 1 else asked
+        held: dict[int, list] = {}
+        for batch in part.toArrow().to_batches():
+            for own, rows in _unit_rows(batch):
+                held.setdefault(rows.shape[1], []).append((own, rows))
+        sent = spark.sparkContext.broadcast({d: tuple(map(np.concatenate, zip(*parts))) for d, parts in held.items()})
+        got = data.mapInArrow(_nearest(sent, k), "query_id long, key long, score double")
+        got = keep(got, "cosine-top-k") if blocks > 1 else got
+        found = got if found is None else found.unionByName(got)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("key", key)
+
+
 def running_totals(turns: DataFrame, sequence: str, order: list[Column], values: list[str]) -> DataFrame:
     """Each turn with the sums of ``values`` up to it."""
     w = Window.partitionBy(sequence).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

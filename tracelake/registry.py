@@ -434,6 +434,12 @@ def cosine_topk(spark, sf):
     return evaluation.cosine_top_k(e, e.where("vec_id < 10"), 5).withColumn("score", grid(F.col("score")))
 
 
+@query()
+def cosine_topk_blocks(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return evaluation.cosine_top_k_blocks(e, e.where("vec_id % 20 = 0"), 5).withColumn("score", grid(F.col("score")))
+
+
 # --- text ---
 
 TRUTH = "format('{:t,}', o_orderkey * 37)"
