@@ -112,6 +112,15 @@ def test_pii_added_and_redacted(spark):
     assert "4567" not in done[1] and "<PHONE>" in done[1] and done[2] is None and done[3] == "nothing here"
 
 
+def test_pii_spans_do_not_depend_on_the_rest(spark):
+    """A span is found alone as it is beside an address that the cheap test knows."""
+    texts = [f"{before}joe{at}example{dot}com" for before in ("contact ", "mail ", "write to ", "reach me: ") for at in (" at ", " AT ", "[at]", " (at) ", " @ ") for dot in ("[dot]", " (dot) ", " [DOT] ", " dot ", ".")]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(1000 + i, f"{t}, {'z' * 40} tom [at] home [dot] org", None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.found] for r in pii.find_pii(h.documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == [[s for s in got[1000 + i] if s[1] <= len(t)] for i, t in enumerate(texts)]
+    assert sum(map(len, (got[i] for i in range(len(texts))))) > len(texts) // 2
+
+
 def held_out(kind):
     import numpy as np
 

@@ -30,8 +30,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: The end of every spelled-out address: the at-part, a name, and the first dot-part.
+MAIL_TAIL = r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20@\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,63})"
 GENERATORS = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20@\x20)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]{2,63}){1,4}",
+    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{MAIL_TAIL}{{1,4}}",
     "card": r"(?<![0-9./])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])",
     "phone": r"(?<![0-9A-Za-z.+,/-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9./-]*[0-9])",
 }
@@ -155,7 +157,7 @@ def added_spans(text: Column, kind: str, fitted: list, least: float) -> Column:
 
     rows = F.transform(candidates, scored)
     rows = F.transform(rows, lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), trees.score_column(fitted, s["f"], FEATURES).alias("score")))
-    sign = {"email": r"(?i)[\[(]at[\])]|\sat\s\S+\sdot\s|\sat\s[A-Za-z0-9-]+\.[A-Za-z0-9]|\x20@\x20", "card": r"[0-9]{4}[./][0-9]{4}", "phone": r"[0-9]\)?[\x20./-][0-9]"}[kind]
+    sign = {"email": rf"(?i){MAIL_TAIL}", "card": r"[0-9]{4}[./][0-9]{4}", "phone": r"[0-9]\)?[\x20./-][0-9]"}[kind]
     return F.when(text.rlike(sign), F.filter(rows, lambda s: s["score"] >= least)).otherwise(F.array().cast("array<struct<k:int,start:int,end:int,score:double>>"))
 
 
