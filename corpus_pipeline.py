@@ -22,13 +22,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class; of equal rows one."""
-    classes = keep(ngram_jaccard_components(docs), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti")
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate class, that of smallest id, null ids last; of equal rows one.
+
+    Rows are told apart by id and text, as rows that share an id are separate documents.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    classes = keep(ngram_jaccard_components(keyed, "_key"), "classes").select(F.col("doc_id").alias("_key"), "component_id")
+    crowded = classes.where("_key <> component_id").select("component_id").distinct()
+    ids = keyed.select("_key", F.col("doc_id").cast("long").alias("id"))
+    linked = classes.join(crowded, "component_id", "left_semi").distinct().join(ids, "_key")
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_key"))["_key"].alias("first"))
+    gone = linked.join(first, "component_id").where("_key <> first").select("_key").distinct()
+    out = keyed.join(gone, "_key", "left_anti")
+    if not classes.groupBy("_key").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["_key"])
     return out.select(docs.columns)
 
 

@@ -28,6 +28,15 @@ def test_stages(spark):
     assert sorted(map(str, ids(names[4]))) == sorted(map(str, ids(names[3]))) and all(r.n_tokens == len(r.ids) for r in kept[names[4]])
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    words = lambda n, at: [f"{n}{k}" for k in range(at, at + 60)]
+    text = lambda n, last="end": " ".join([*words(n, 0), last])
+    rows = [(3, text("a")), (7, text("b")), (7, text("a")), (8, text("c")), (8, text("c", "other")), (None, text("d")), (None, text("d", "other")), (None, text("a")), (9, text("e")), (9, text("e")), (None, text("f")), (4, None), (5, None)]
+    out = corpus_pipeline.near_duplicates(spark, h.documents(spark, [(i, t, None, None, None) for i, t in rows]), "").collect()
+    got = sorted(((r.doc_id, (r.text or "-")[0]) for r in out), key=str)
+    assert got == sorted([(3, "a"), (7, "b"), (8, "c"), (None, "d"), (9, "e"), (None, "f"), (4, "-"), (5, "-")], key=str)
+
+
 def test_empty(spark):
     docs = h.documents(spark, [])
     for name, stage in corpus_pipeline.STAGES:
