@@ -1,23 +1,24 @@
 """BPE encoding and decoding with a word-level vocabulary file, exactly as its library does.
 
-Method (speculate and verify).  The words of a batch that are not yet known are joined into
-one string; one pass of an Aho-Corasick automaton proposes greedy longest tokens for all of
-them.  A token sequence is the BPE result exactly if every adjacent pair is compatible,
-that is, if encoding the pair's joint text gives the pair back.  All distinct adjacent pairs
-of the batch are tested at once with numpy, walking both tokens' merge trees along their
+Method (speculate and verify).  The distinct words of a batch that are not yet known are
+joined into one string; one pass of an Aho-Corasick automaton proposes greedy longest tokens
+for all of them.  A token sequence is the BPE result exactly if every adjacent pair is
+compatible, that is, if encoding the pair's joint text gives the pair back.  All distinct
+adjacent pairs are tested at once with numpy, walking both tokens' merge trees along their
 common border.  Only words with a failing pair are merged exactly, step by step.
 
-Texts are normalised as the file says (NFC, white space to one space, lower case by
-character) and cut into pieces by its pattern.  A piece's ids depend on nothing but the
-piece and are cached per worker, in a table of bounded size.  Words with characters outside
-``PLAIN`` are encoded by the library itself, so differences between Unicode versions can't
-show; the pattern is then only needed for characters whose classes are listed once.
+A batch's words are dictionary-encoded by Arrow, so a word costs one look-up a batch and its
+ids are gathered by numpy.  A task keeps its first words in a table of bounded bytes and
+empties it when it ends.  Words are normalised as the file says (NFC, white space to one space,
+lower case by character) and cut into pieces by its pattern; none of this looks across white
+space.  Only words with a character that Python's Unicode tables don't assign are left to
+the library: the two may know different versions of Unicode.
 """
 
 from __future__ import annotations
 
-import array
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -26,6 +27,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,9 +41,9 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that every Unicode version treats alike and that NFC leaves alone: Latin blocks, general punctuation, currency.
 PLAIN_RANGES = r"\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
 PLAIN = re.compile(f"[{PLAIN_RANGES}]*")
-WHITE, OTHER = re.compile(f"[{SPACE}]"), re.compile(f"[^{SPACE}]+")
-CACHE_PIECES, CACHE_WORDS = 600_000, 100_000
-SEGMENT = 1 << 20  # characters of a long text that are cut at once
+WHITE = re.compile(f"[{SPACE}]")
+KNOWN_BYTES = 40 << 20  # up to which a task keeps words from batch to batch; the frequent ones come first
+BATCH_BYTES = 8 << 20  # of text that is encoded at once; longer texts are cut at white space
 NONE = np.iinfo(np.int64).max
 END = 0x1000  # added to a word's last letter: the letter with the end-of-word suffix
 
@@ -61,7 +64,7 @@ def piece_pattern(source: str) -> re.Pattern:
     letters = group("L")
     out = source.replace(r"\s", SPACE).replace(r"\p{N}", group("N")).replace(r"[\p{L}]", f"[{letters}]").replace(r"\p{L}", letters)
     contractions, rest = out.split(f"[{letters}]+", 1)
-    return re.compile(f"[{letters}]+|{contractions.strip('|')}{rest}")  # letters first: nothing else starts with one
+    return re.compile(f"[{letters}]+|{contractions.strip('|')}{rest}|\\n")  # letters first: nothing else starts with one
 
 
 class PairTable:
@@ -97,12 +100,13 @@ class Vocabulary:
     """Tables of one vocabulary file."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
         file = json.load(open(path, encoding="utf-8"))
         model = file["model"]
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.pattern = piece_pattern(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.wide = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE) + r"|\n")
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         ids: dict[str, int] = model["vocab"]
         size = max([*ids.values(), *self.special.values()]) + 1
@@ -110,7 +114,7 @@ class Vocabulary:
         for t, i in [*ids.items(), *self.special.items()]:
             self.text_of[i] = t
         letters = byte_letters()
-        self.bytes_to_letters = {b: ord(c) for b, c in enumerate(letters)}
+        self.letters = np.array(list(map(ord, letters)), np.uint32)
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         left, right = np.full(size, -1), np.full(size, -1)
         order = np.zeros(size, np.int64)  # 0 for letters, 1 + rank for merged tokens
@@ -129,15 +133,33 @@ class Vocabulary:
         self.size = size
         self.pairs = PairTable(np.array([x * size + y for x, y in self.rank]), np.array([1 + r for r, _ in self.rank.values()]), np.array([z for _, z in self.rank.values()]))
         self.lengths = np.array([len(t) - len(self.suffix) * t.endswith(self.suffix) for t in self.text_of])
-        self.automaton = ahocorasick.Automaton()
+        self.texts = pa.array(self.text_of, pa.large_string())
+        self.automaton, keys, own = ahocorasick.Automaton(), [], []
         for t, i in ids.items():
             core, ends = (t[: -len(self.suffix)], True) if t.endswith(self.suffix) else (t, False)
-            key = core[:-1] + chr(ord(core[-1]) + END) if ends else core
-            if key and self.merge(key) == [i]:  # tokens that no merging yields are never proposed
+            if core:
+                keys.append(core[:-1] + chr(ord(core[-1]) + END) if ends else core)
+                own.append(i)
+        merged, bounds = self.merge_all(keys)
+        single = np.diff(bounds) == 1  # tokens that no merging yields are never proposed
+        single[single] = merged[bounds[:-1][single]] == np.array(own)[single]
+        for key, i, good in zip(keys, own, single.tolist()):
+            if good:
                 self.automaton.add_word(key, i)
         self.automaton.make_automaton()
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.forget()
+
+    @property
+    def library(self) -> Tokenizer:
+        if self.loaded is None:
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
+    def forget(self) -> None:
+        """Empty the table of known words."""
+        self.known: dict[str, int] = {}
+        self.known_bytes = 0
+        self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def merge(self, word: str) -> list[int]:
         """Exact merging of one word of letters: the lowest rank first, leftmost among equals."""
@@ -216,109 +238,118 @@ class Vocabulary:
             todo = todo[~done]
         return good
 
-    def spelled(self, piece: str) -> str:
-        """A piece in the vocabulary's letters, the last with END."""
-        if not (piece.isascii() and piece.isprintable()):
-            piece = piece.encode("utf-8").decode("latin-1").translate(self.bytes_to_letters)
-        return piece[:-1] + chr(ord(piece[-1]) + END)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces into the cache."""
-        new = list(map(self.spelled, pieces))
-        got = list(self.automaton.iter_long("".join(new)))
-        ends = np.fromiter((e for e, _ in got), np.int64, len(got))
-        ids = np.fromiter((i for _, i in got), np.int64, len(got))
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        bounds = np.cumsum(sizes)
-        word_of = np.searchsorted(bounds, ends, side="right")
-        inner = word_of[1:] == word_of[:-1]
+    def normal_pieces(self, new: list[str]) -> list[str]:
+        """Pieces of words without special tokens, a newline after each word but the last; white space in them is skipped."""
+        text = "\n".join(new)
+        if PLAIN.fullmatch(text):
+            return self.pattern.findall(text.lower())
+        return self.wide.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))
+
+    def encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        coded = pa.array(self.normal_pieces(new), pa.large_string()).dictionary_encode()
+        which, distinct = np.asarray(coded.indices), coded.dictionary
+        between = np.flatnonzero(np.asarray(pc.equal(distinct, "\n")))
+        inside = which != between[0] if len(between) else np.ones(len(which), bool)
+        word_of, which = np.cumsum(~inside)[inside], which[inside]
+        ids, counts = self.encode_pieces(distinct)
+        starts = (np.cumsum(counts) - counts)[which]
+        counts = counts[which]
+        return ids[gather(starts, counts)], np.bincount(word_of, weights=counts, minlength=len(new)).astype(np.int64)
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct pieces, and how many each has."""
+        at = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
+        sizes, bounds = np.diff(at), at[1:]
+        if not len(pieces):
+            return np.zeros(0, np.uint32), sizes
+        spelled = self.letters[np.frombuffer(pieces.buffers()[2], np.uint8)[: at[-1]]]
+        spelled[bounds - 1] += END
+        text = spelled.tobytes().decode("utf-32-le")
+        got = np.fromiter(itertools.chain.from_iterable(self.automaton.iter_long(text)), np.int64).reshape(-1, 2)
+        ends, ids = got[:, 0], got[:, 1]
+        piece_of = np.searchsorted(bounds, ends, side="right")
+        inner = piece_of[1:] == piece_of[:-1]
         keys, where = np.unique(ids[:-1][inner] * self.size + ids[1:][inner], return_inverse=True)
         good = self.compatible(keys // self.size, keys % self.size)
-        bad = np.zeros(len(new), bool)
-        bad[word_of[1:][inner][~good[where]]] = True
-        spelled = np.bincount(word_of, weights=self.lengths[ids], minlength=len(new)).astype(np.int64)
-        bad |= spelled != sizes  # a proposal must cover the whole piece
-        starts = np.searchsorted(word_of, np.arange(len(new) + 1)).tolist()
-        flat, put = ids.astype("<u4").tobytes(), self.parts
-        for w, b, i, j in zip(pieces, bad.tolist(), starts, starts[1:]):
-            if not b:
-                put[w] = flat[4 * i : 4 * j]
-        failed = np.flatnonzero(bad).tolist()
-        if failed:
-            ids, starts = self.merge_all([new[i] for i in failed])
-            flat, starts = ids.astype("<u4").tobytes(), starts.tolist()
-            for w, i, j in zip(failed, starts, starts[1:]):
-                put[pieces[w]] = flat[4 * i : 4 * j]
-
-    def segments(self, text: str | None) -> Iterator[list[str] | bytes]:
-        """A text as lists of pieces to look up, and ids of words that only the library may encode."""
-        if not text:
-            return
-        if len(text) > SEGMENT:  # cut at white space, memory stays bounded
-            at = 0
-            while at < len(text):
-                cut = WHITE.search(text, at + SEGMENT)
-                end = cut.start() if cut else len(text)
-                yield from self._segment(text[at:end])
-                at = end
-            return
-        yield from self._segment(text)
-
-    def _segment(self, text: str) -> Iterator[list[str] | bytes]:
-        if (text.isascii() or PLAIN.fullmatch(text)) and not ("<|" in text and self.specials and self.specials.search(text)):
-            yield self.pattern.findall(text.lower())
-            return
-        for w in OTHER.findall(text):
-            if PLAIN.fullmatch(w) and not (self.specials and self.specials.search(w)):
-                yield self.pattern.findall(w.lower())
-                continue
-            if w not in self.words:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            yield self.words[w]
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; unknown pieces of all texts are learned together."""
-        known, out = self.parts, []
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        held: list[list[list[str] | bytes]] = []
-        size = 0
-        for t in texts:
-            held.append([])
-            for part in self.segments(t):
-                held[-1].append(part)
-                size += len(part)
-                if size > SEGMENT:  # a long text: put what is held into ids
-                    self._learn_held(held)
-                    size = 0
-        self._learn_held(held)
-        for own in held:
-            out.append(b"".join(own))
-        return out
-
-    def _learn_held(self, held: list[list[list[str] | bytes]]) -> None:
-        known, new = self.parts, set()
-        for own in held:
-            for part in own:
-                if type(part) is list:
-                    new.update(set(part).difference(known))
-        if new:
-            self.learn(list(new))
-        get = known.__getitem__
-        for own in held:
-            for i, part in enumerate(own):
-                if type(part) is list:
-                    own[i] = b"".join(map(get, part))
-        if len(known) > CACHE_PIECES:
-            known.clear()
-
-    def decode(self, ids: bytes) -> str:
+        bad = np.zeros(len(sizes), bool)
+        bad[piece_of[1:][inner][~good[where]]] = True
+        bad |= np.bincount(piece_of, weights=self.lengths[ids], minlength=len(sizes)).astype(np.int64) != sizes  # a proposal must cover the whole piece
+        counts = np.bincount(piece_of, minlength=len(sizes))
+        failed = np.flatnonzero(bad)
+        if len(failed):
+            starts = np.cumsum(counts) - counts
+            merged, own = self.merge_all([text[i:j] for i, j in zip((bounds - sizes)[failed].tolist(), bounds[failed].tolist())])
+            starts[failed], counts[failed] = len(ids) + own[:-1], np.diff(own)
+            ids = np.concatenate((ids, merged))[gather(starts, counts)]
+        return ids.astype(np.uint32), counts
+
+    def _apart(self, word: str) -> np.ndarray:
+        """Ids of a word with special tokens or unassigned characters."""
+        out = []
+        for part in self.specials.split(word) if self.specials else [word]:
+            if part in self.special:
+                out.append(np.array([self.special[part]]))
+            elif any(unicodedata.category(c) == "Cn" for c in part):
+                out.append(np.array(self.library.encode(part, add_special_tokens=False).ids))
+            elif part:
+                out.append(self.encode_words([part])[0])
+        return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
+
+    def learn(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, all their ids, and how many each has."""
+        plain, wide, apart = [], [], []
+        for w in new:
+            if "<|" in w and self.specials and self.specials.search(w):
+                apart.append(w)
+            elif w.isascii() or PLAIN.fullmatch(w):
+                plain.append(w)
+            else:
+                (apart if any(unicodedata.category(c) == "Cn" for c in w) else wide).append(w)
+        parts = [self.encode_words(x) for x in (plain, wide) if x]
+        odd = list(map(self._apart, apart))
+        ids = np.concatenate([*(x for x, _ in parts), *odd]).astype(np.uint32)
+        return plain + wide + apart, ids, np.concatenate([*(x for _, x in parts), np.array(list(map(len, odd)), np.int64)])
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a batch, and the n+1 bounds of each text's."""
+        flat, offsets = words.split(texts)
+        coded = flat.dictionary_encode()
+        distinct, where = coded.dictionary, np.asarray(coded.indices)
+        plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, "<|")))
+        lower = pc.if_else(plain, pc.ascii_lower(distinct), distinct).dictionary_encode()
+        own = lower.dictionary.to_pylist()
+        codes = np.fromiter(map(self.known.get, own, itertools.repeat(-1)), np.int64, len(own))
+        ids, starts, counts = self.ids, self.starts, self.counts
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            new, more, times = self.learn([own[i] for i in missing.tolist()])
+            starts = np.concatenate((starts, len(ids) + np.cumsum(times) - times))
+            base, ids, counts = len(counts), np.concatenate((ids, more)), np.concatenate((counts, times))
+            at = dict(zip(new, range(base, base + len(new))))
+            codes[missing] = np.fromiter((at[own[i]] for i in missing.tolist()), np.int64, len(missing))
+            if self.known_bytes < KNOWN_BYTES:
+                self.ids, self.starts, self.counts = ids, starts, counts
+                self.known |= at
+                self.known_bytes += 4 * len(more) + 150 * len(new) + sum(map(len, new))
+        code = codes[np.asarray(lower.indices)][where] if len(flat) else np.zeros(0, np.int64)
+        counts = counts[code]
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        return ids[gather(starts[code], counts)], bounds[offsets]
+
+    def decode(self, ids: np.ndarray) -> str:
         """The library's decode without a decoder: the tokens' texts joined by a space."""
-        a = array.array("I")
-        a.frombytes(ids)
-        return " ".join(map(self.text_of.__getitem__, a))
+        return self.decode_all(np.asarray(ids), np.array([0, len(ids)]))[0].as_py()
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """decode of each of several texts."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), self.texts.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+
+
+def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of all runs of ``counts`` from ``starts``."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -336,31 +367,55 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def encoded(column: pa.Array, v: Vocabulary, step: int = 256) -> Iterator[bytes]:
-    """The ids of each text of a column, a few texts at a time."""
-    for at in range(0, len(column), step):
-        yield from v.encode_batch(column.slice(at, step).to_pylist())
+def _cut(text: str) -> Iterator[str]:
+    """A long text in parts, cut at white space."""
+    at = 0
+    while at < len(text):
+        cut = WHITE.search(text, at + BATCH_BYTES // 4)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def encoded(column: pa.Array, v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of the texts of a column and their bounds, some texts at a time; a null text is empty."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    at = 0
+    while at < len(column):
+        before = np.cumsum(sizes[at:])
+        n = int(np.searchsorted(before, BATCH_BYTES, side="right"))
+        if n:
+            yield v.encode_texts(column.slice(at, n))
+        else:  # one long text; its parts' memory is bounded, its ids are held whole
+            n, parts = 1, [v.encode_texts(pa.array([x]))[0] for x in _cut(column[at].as_py())]
+            ids = np.concatenate(parts)
+            yield ids, np.array([0, len(ids)])
+        at += n
 
 
 def _digest_rows(path: str, with_ids: bool, with_text: bool):
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
+    digest = lambda raw, bounds: pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in words.text_batches(batches):
-            n, a, b, ids, decoded = [], [], [], [], []
-            for x in encoded(batch.column(1), v):
-                back = v.decode(x)
-                n.append(len(x) // 4)
-                a.append(hashlib.sha256(x).hexdigest())
-                b.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
-                if with_ids:
-                    ids.append(np.frombuffer(x, "<u4").astype(np.int32))
-                if with_text:
-                    decoded.append(back)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            cols += [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(decoded, pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for batch in words.text_batches(batches):
+                at = 0
+                for ids, bounds in encoded(batch.column(1), v):
+                    n = len(bounds) - 1
+                    back = v.decode_all(ids, bounds)
+                    where = np.frombuffer(back.buffers()[1], np.int64)[back.offset : back.offset + n + 1]
+                    cols = [batch.column(0).slice(at, n), pa.array(np.diff(bounds)), digest(memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 4 * bounds), digest(memoryview(back.buffers()[2] or b""), where)]
+                    if with_ids:
+                        cols.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32))))
+                    if with_text:
+                        cols.append(back.cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    at += n
+        finally:
+            v.forget()
+            words.give_back()
 
     return run
 

@@ -17,7 +17,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucket_count(df: DataFrame, bucket_bytes: int = 3 << 20, least: int = 8, most: int = 32768) -> int:
-    """Number of key buckets for packed exchanges, from the optimizer's size estimate of ``df``."""
+def bucket_count(df: DataFrame, bucket_bytes: int = 3 << 20, least: int = 8, many: int = 32768, most_bytes: int = 64 << 20) -> int:
+    """Number of key buckets for packed exchanges, from the optimizer's size estimate of ``df``.
+
+    Beyond ``many`` buckets each may hold up to ``most_bytes`` of the input, and never more.
+    """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(most, -(-estimate // bucket_bytes)))
+    if estimate >= 1 << 62:  # not known
+        return many
+    return max(least, min(many, -(-estimate // bucket_bytes)), -(-estimate // most_bytes))

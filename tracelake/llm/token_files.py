@@ -140,25 +140,32 @@ def blocks(content: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
 def _block_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, shard = vocabulary(path), TaskContext.get().partitionId()
-        end = int(end_id).to_bytes(4, "little")
+        end = np.array([end_id], np.uint32)
         ids, owners, lengths, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            whole = np.frombuffer(b"".join(ids), "<u4")
-            out = block(shard, np.array(owners, np.int64), np.array(lengths, np.int64), whole)
+            out = block(shard, np.array(owners, np.int64), np.array(lengths, np.int64), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["block"])
 
-        for batch in words.text_batches(batches):
-            for owner, got in zip(packed.ids(batch.column(0)).tolist(), encoded(batch.column(1), v)):
-                ids.append(got + end)
-                owners.append(owner)
-                lengths.append(len(got) // 4 + 1)
-                total += lengths[-1]
-                if total >= BLOCK_IDS:
-                    yield flush()
-                    ids, owners, lengths, total = [], [], [], 0
-        if owners:
-            yield flush()
+        try:
+            for batch in words.text_batches(batches):
+                own, at = packed.ids(batch.column(0)).tolist(), 0
+                for got, bounds in encoded(batch.column(1), v):
+                    cuts = bounds.tolist()
+                    for i, j in zip(cuts, cuts[1:]):
+                        ids += (got[i:j], end)
+                        owners.append(own[at])
+                        lengths.append(j - i + 1)
+                        total += j - i + 1
+                        at += 1
+                        if total >= BLOCK_IDS:
+                            yield flush()
+                            ids, owners, lengths, total = [], [], [], 0
+            if owners:
+                yield flush()
+        finally:
+            v.forget()
+            words.give_back()
 
     return run
 
@@ -167,14 +174,17 @@ def write_token_files(docs: DataFrame, where: str, path: str = "word_bpe_49k.jso
     """Encode whole texts, each closed by ``end_id``, and write them to token files below ``where``.
 
     Files follow each other in ascending id order, rows without an id last; rows that share
-    an id follow each other by text.  A null text is an empty one and has just the end id.
-    An empty table gives no blocks.  Other columns are ignored.
+    an id, or have none, follow each other by a hash of the text, and equal rows as they are
+    read, so that any number of them spreads over the files.  A null text is an empty one
+    and has just the end id.  An empty table gives no blocks.  Other columns are ignored,
+    whatever their names.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    placed = rows.repartitionByRange(bucket_count(rows, 4 << 20), order[0]).sortWithinPartitions(*order)
-    coded = placed.mapInArrow(_block_rows(path, end_id), "block binary")
+    rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("at")]
+    placed = rows.repartitionByRange(bucket_count(rows, 4 << 20), *order).sortWithinPartitions(*order)
+    coded = placed.select("doc_id", "text").mapInArrow(_block_rows(path, end_id), "block binary")
     coded.select(F.col("block").cast("string").alias("value")).write.text(where)
 
 

@@ -5,6 +5,8 @@ A word is a maximal run of characters other than space and U+0009..U+000D.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
+_libc = ctypes.CDLL(None)
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
@@ -33,7 +36,7 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
 def split(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Flat words and the n+1 offsets of each text's words; a null text has none."""
     if texts.offset:  # the kernels below misread slices
-        texts = pa.array(texts.to_pylist(), pa.large_string())
+        texts = pa.concat_arrays([texts, texts.slice(0, 0)])
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
@@ -68,6 +71,14 @@ def chunks(offsets: np.ndarray, most_docs: int, most_words: int) -> Iterator[tup
         start = end
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system; it may stay idle for long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc, "malloc_trim", None):
+        trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 48 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that one holds few bytes, whatever the length of single texts."""
     for batch in batches:
