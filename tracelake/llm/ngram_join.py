@@ -14,11 +14,16 @@ Method (PartEnum, after Arasu, Ganti and Kaushik, "Efficient exact set-similarit
    partitions, one for each such subset.  Signatures over empty partitions would be shared
    by strangers: a node emits them only if its groups without empty subsets are too few to
    force a common nonempty one (``covered``), so no pair is lost either way.
-4. Nodes that share a signature are verified against the group's smallest node, exactly,
-   with array_intersect; links give components.  Then groups that still hold several
-   components are searched for further links, other pivots first.  Distances to a verified
-   pivot prune (Jaccard distance is a metric): a pair whose distances to it differ by more
-   than ``1 - t`` can't link.  A group of copies thus costs its length, not its square.
+4. Signatures travel packed by bucket (see ``packed``), with node, sizes and label; they
+   are made anew from the nodes for each round, so no table of them is ever written.  Nodes
+   that share one are verified against the group's smallest node, exactly; links give
+   components.  In a second round the smallest node of a group's second component is the
+   pivot.  Both rounds reduce a signature within each chunk first, so one that millions of
+   nodes share reaches its bucket as one node a chunk.
+5. Groups that still hold several components are searched whole: those of at most
+   ``SMALL_GROUP`` nodes pair by pair, larger ones block against block, where nodes of a
+   cluster's largest component need no comparison with each other.  A group of copies thus
+   costs its length, not its square.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from ..plans.ship import ship_package
 from . import packed, words
 from .graph import components
-from .storage import bucket_count, keep, release
+from .storage import bucket_count, discard, keep
 
 U64 = np.uint64
 ORD_BITS = 12  # documents of a chunk; the other 52 bits of an entry are the shingle's hash
@@ -43,7 +48,9 @@ CHUNK_WORDS = 2_000_000
 NARROWINGS = 2
 SMALL_GROUP = 32  # nodes of a signature's group up to which its pairs are looked at one by one
 BLOCK, SLICE = 256, 2048  # nodes of a block, elements of a matrix
-BLOCK_FIELDS = "cluster long, block int, low_n int, high_n int, data binary"
+SIGNATURE_NODES = 1024  # nodes of a chunk of signatures
+PAIR_BYTES = 8 << 20  # of sets that are verified in one group, on average
+BLOCK_FIELDS = "cluster long, apart boolean, block string, low_n int, high_n int, data binary"
 MASK = U64((1 << ORD_BITS) - 1)
 
 
@@ -82,35 +89,35 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return sizes, nodes, (h52 << U64(ORD_BITS)) | owner_of.astype(U64)
 
 
-def _shingle_rows(n: int, buckets: int, owner_buckets: int):
+def _shingle_rows(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.text_batches(batches):
             texts = batch.column(1)
             _, offsets = words.split(texts)
             for a, b in words.chunks(offsets, 1 << ORD_BITS, CHUNK_WORDS):
                 sizes, nodes, e = shingle_sets(texts.slice(a, b - a), n)
-                out = [packed.row(packed.MEMBER, int(a) % buckets, keys=nodes, extra=packed.ids(batch.column(0).slice(a, b - a)), sizes=sizes)]
+                out = [packed.row(packed.MEMBER, int(words.mix(nodes[:1] + nodes[-1:])[0] % U64(buckets)), keys=nodes, extra=packed.ids(batch.column(0).slice(a, b - a)), sizes=sizes)]
                 first = np.zeros(len(nodes), bool)  # equal sets of the chunk are one node
                 first[np.unique(nodes, return_index=True)[1]] = True
                 e = np.sort(e[first[(e & MASK).astype(np.int64)]])
-                yield packed.batch(out + _entries(e, nodes, sizes, buckets, owner_buckets))
+                yield packed.batch(out + _entries(e, nodes, sizes, buckets))
 
     return run
 
 
-def _entries(e: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int, owner_buckets: int) -> list[dict]:
+def _entries(e: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int) -> list[dict]:
     """Packed rows for sorted entries hash << 12 | number of the node."""
     keys, ords = e & ~MASK, (e & MASK).astype(np.int64)
     ask, done, seen = packed.local_split(keys, nodes[ords], later=False)
     out = list(packed.send(packed.ASK, keys[ask], ords[ask], None, nodes, sizes, buckets))
-    out += packed.send(packed.DONE, keys[done], ords[done], None, nodes, sizes, owner_buckets, by_owner=True)
+    out += packed.send(packed.DONE, keys[done], ords[done], None, nodes, sizes, buckets, by_owner=True)
     if len(seen):
         which, bounds = packed.cut(seen, buckets)
         out += (packed.row(packed.SEEN, int(w), keys=seen[i:j]) for w, i, j in zip(which, bounds[:-1], bounds[1:]))
     return out
 
 
-def _node_rows(buckets: int, owner_buckets: int):
+def _node_rows(buckets: int):
     """Entries of the shared parts of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +127,17 @@ def _node_rows(buckets: int, owner_buckets: int):
                 nodes, sizes, lists = np.asarray(part.column(0)).view(U64), np.asarray(part.column(1)), part.column(2)
                 times = np.diff(np.asarray(lists.offsets))
                 e = (np.asarray(lists.flatten()).astype(U64) << U64(ORD_BITS)) | np.repeat(np.arange(len(nodes)), times).astype(U64)
-                yield packed.batch(_entries(np.sort(e), nodes, sizes, buckets, owner_buckets))
+                yield packed.batch(_entries(np.sort(e), nodes, sizes, buckets))
 
     return run
 
 
-def _shared(owner_buckets: int):
+def _shared(buckets: int):
     def run(table: pa.Table) -> Iterator[dict]:
         e = packed.Entries(table, packed.ASK, U64)
         seen = [packed.unplanes(x, U64) for x in table.filter(pa.compute.equal(table["kind"], packed.SEEN))["keys"].to_pylist()]
         packed.shared_entries(e, np.concatenate(seen) if seen else np.zeros(0, U64))
-        yield from packed.send(packed.DONE, e.keys, e.ords, None, e.owners, e.sizes, owner_buckets, by_owner=True)
+        yield from packed.send(packed.DONE, e.keys, e.ords, None, e.owners, e.sizes, buckets, by_owner=True)
         yield from table.filter(pa.compute.greater_equal(table["kind"], packed.DONE)).to_pylist()
 
     return run
@@ -208,102 +215,295 @@ def signatures(n: int, shared: np.ndarray, limits: list[int], percent: int) -> n
     return np.concatenate(out)
 
 
-def _signature_rows(limits: list[int], percent: int):
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("s", pa.int32())])
+PAIRS, ENTRIES, EDGES = 0, 1, 2
+SIGNATURE_SCHEMA = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("sigs", pa.binary()), ("ords", pa.binary()), ("nodes", pa.binary()), ("n", pa.binary()), ("s", pa.binary()), ("labels", pa.binary())])
+SIGNATURE_DDL = "kind byte, bucket int, sigs binary, ords binary, nodes binary, n binary, s binary, labels binary"
+
+
+class Nodes:
+    """Sizes and labels of nodes, and their signatures' entries sorted by signature."""
+
+    def __init__(self, node, n, s, label, sigs, own):
+        self.node, self.n, self.s, self.label = node, n.astype(np.int64), s.astype(np.int64), label
+        order = np.argsort(sigs)
+        self.sigs, self.own = sigs[order], own[order]
+        at = packed.runs(self.sigs)
+        times = np.diff(np.append(at, len(self.sigs)))
+        several = times > 1
+        self.single = np.repeat(~several, times)  # entries that are alone with their signature
+        self.at, self.times = at[several], times[several]
+
+    def possible(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the nodes at x and y could link: they have at most the smaller shared part in common."""
+        common = np.minimum(self.s[x], self.s[y])
+        return 100 * common >= percent * (self.n[x] + self.n[y] - common)
+
+    def least(self, key: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+        """Of each group the entry with the least key (of those at ``where``; else the first entry)."""
+        if not len(self.at):
+            return np.zeros(0, np.int64)
+        places = np.concatenate([np.arange(a, a + t) for a, t in zip(self.at.tolist(), self.times.tolist())])
+        group = np.repeat(np.arange(len(self.at)), self.times)
+        rank = key[self.own[places]]
+        order = np.lexsort((rank, ~where[places], group) if where is not None else (rank, group))
+        return places[order][np.cumsum(self.times) - self.times]
+
+
+def _distinct(x: np.ndarray, y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    k = np.unique(x * count + y)
+    return k // count, k % count
+
+
+def stars(g: Nodes, percent: int, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (pivot, other) of each group, and the entries that stand for it elsewhere.
+
+    The pivot is the group's smallest node; or with ``second``, where the group holds several
+    labels, the smallest of those that are not of the least label.
+    """
+    count = max(1, len(g.node))
+    rank = np.argsort(np.argsort(g.node, kind="stable"), kind="stable")
+    if not second:
+        heads = g.least(rank)
+        pivot = g.own[np.repeat(heads, g.times)]
+        reps = heads
+    else:
+        by_label = np.argsort(np.lexsort((g.node, g.label)), kind="stable")
+        first = g.least(by_label)
+        low = np.zeros(len(g.sigs), np.int64)
+        places = _members(g)
+        low[places] = np.repeat(g.label[g.own[first]], g.times)
+        other = g.label[g.own] != low
+        heads = g.least(by_label, other)
+        mixed = other[heads] if len(heads) else np.zeros(0, bool)
+        reps = np.concatenate((first, heads[mixed]))
+        pivot = np.repeat(np.where(mixed, g.own[heads], -1), g.times) if len(heads) else np.zeros(0, np.int64)
+    other = g.own[_members(g)]
+    good = (pivot >= 0) & (g.node[pivot] != g.node[other])
+    if second:
+        good &= g.label[pivot] != g.label[other]
+    x, y = _distinct(pivot[good], other[good], count)
+    good = g.possible(x, y, percent)
+    return x[good], y[good], np.concatenate((np.flatnonzero(g.single), reps))
+
+
+def _members(g: Nodes) -> np.ndarray:
+    """The places of all groups' entries, group by group."""
+    ends = np.cumsum(g.times)
+    return np.repeat(g.at - ends + g.times, g.times) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _mixed(g: Nodes) -> np.ndarray:
+    """Which groups hold several labels."""
+    if not len(g.at):
+        return np.zeros(0, bool)
+    label, starts = g.label[g.own[_members(g)]], np.cumsum(g.times) - g.times
+    return np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+
+
+def _edges(g: Nodes, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the first node of each of the groups to its others."""
+    x = g.own[np.repeat(g.at[which], g.times[which])]
+    y = g.own[_members(g)[np.repeat(which, g.times)]]
+    good = x != y
+    return _distinct(x[good], y[good], max(1, len(g.node)))
+
+
+def open_pairs(g: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different labels in small groups."""
+    small = np.flatnonzero(_mixed(g) & (g.times <= SMALL_GROUP))
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t in np.unique(g.times[small]).tolist():
+        own = g.own[g.at[small[g.times[small] == t]][:, None] + np.arange(t)]
+        i, j = np.triu_indices(t, 1)
+        x, y = own[:, i].ravel(), own[:, j].ravel()
+        good = (g.label[x] != g.label[y]) & (g.node[x] != g.node[y])
+        x, y = _distinct(np.minimum(x[good], y[good]), np.maximum(x[good], y[good]), max(1, len(g.node)))
+        xs.append(x)
+        ys.append(y)
+    x, y = _distinct(np.concatenate(xs), np.concatenate(ys), max(1, len(g.node)))
+    good = g.possible(x, y, percent)
+    return x[good], y[good]
+
+
+def _spokesmen(g: Nodes) -> np.ndarray:
+    """Entries that stand for their groups in the last round: all of small ones; of larger ones just over ``SMALL_GROUP``, of two labels where there are two."""
+    small = np.repeat(g.times <= SMALL_GROUP, g.times)
+    places = _members(g)
+    rest = [np.zeros(0, np.int64)]
+    for a, t in zip(g.at[g.times > SMALL_GROUP].tolist(), g.times[g.times > SMALL_GROUP].tolist()):
+        label = g.label[g.own[a : a + t]]
+        rest.append(a + np.unique(np.append(np.arange(SMALL_GROUP + 1), int(np.argmax(label != label[0])))))
+    return np.concatenate((np.flatnonzero(g.single), places[small], *rest))
+
+
+def _packed_pairs(kind: int, node: np.ndarray, x: np.ndarray, y: np.ndarray, buckets: int) -> list[dict]:
+    if not len(x):
+        return []
+    to = int(words.mix(node[x[:1]].view(U64))[0] % U64(buckets))
+    return [{"kind": kind, "bucket": to, "sigs": packed.planes(node[x]), "nodes": packed.planes(node[y])}]
+
+
+def _signature_rows(limits: list[int], percent: int, buckets: int, step: int):
+    """Packed signatures of nodes ``(node, n, shared, label)``, reduced in each chunk; ``step`` counts the rounds, 2 is the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for a in range(0, len(ids), 256):
-                sets = [np.asarray(x.values) for x in batch.column(2).slice(a, 256)]
-                own = ids[a : a + 256], sizes[a : a + 256], np.array([len(x) for x in sets], np.int32)
-                sigs = [signatures(int(n), x, limits, percent) for n, x in zip(own[1], sets)]
-                times = [len(x) for x in sigs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(x, times)) for x in own)], schema=schema)
+            for a in range(0, batch.num_rows, SIGNATURE_NODES):
+                part = batch.slice(a, SIGNATURE_NODES)
+                node, n, label = (np.asarray(part.column(i)) for i in (0, 1, 3))
+                sets = [np.asarray(x.values) for x in part.column(2)]
+                sigs = [signatures(int(k), x, limits, percent) for k, x in zip(n, sets)]
+                own = np.repeat(np.arange(len(node)), list(map(len, sigs)))
+                g = Nodes(node, n, np.array(list(map(len, sets))), label, np.concatenate(sigs), own)
+                if step < 2:
+                    x, y, send = stars(g, percent, step == 1)
+                    out = _packed_pairs(PAIRS, node, x, y, buckets)
+                else:
+                    send = _spokesmen(g)
+                    out = _packed_pairs(EDGES, node, *_edges(g, g.times > SMALL_GROUP), buckets)
+                send = send[np.argsort(g.sigs[send], kind="stable")]
+                keys, ords = g.sigs[send], g.own[send]
+                which, bounds = packed.cut(keys, buckets)
+                for w, i, j in zip(which.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    at, local = packed.compact(ords[i:j])
+                    planes = {k: packed.planes(v[at]) for k, v in (("nodes", node), ("n", n), ("s", g.s.astype(np.int32)), ("labels", label))}
+                    out.append({"kind": ENTRIES, "bucket": w, "sigs": packed.planes(keys[i:j]), "ords": packed.planes(local.astype(np.uint16)), **planes})
+                yield pa.RecordBatch.from_pylist(out, SIGNATURE_SCHEMA)
+
+    return run
+
+
+def _candidates(percent: int, step: int):
+    """All packed rows of a bucket -> (kind, a, b): pairs to verify, and edges of large groups in the last round."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds, xs, ys = [], [], []
+
+        def put(kind: int, x: np.ndarray, y: np.ndarray) -> None:
+            kinds.append(np.full(len(x), kind, np.int8))
+            xs.append(x)
+            ys.append(y)
+
+        sigs, ords, parts, base = [np.zeros(0, U64)], [np.zeros(0, np.int64)], {k: [] for k in ("nodes", "n", "s", "labels")}, 0
+        for r in table.to_pylist():
+            if r["kind"] != ENTRIES:
+                put(r["kind"], packed.unplanes(r["sigs"], np.int64), packed.unplanes(r["nodes"], np.int64))
+                continue
+            sigs.append(packed.unplanes(r["sigs"], U64))
+            ords.append(packed.unplanes(r["ords"], np.uint16).astype(np.int64) + base)
+            for k, dtype in (("nodes", np.int64), ("n", np.int32), ("s", np.int32), ("labels", np.int64)):
+                parts[k].append(packed.unplanes(r[k], dtype))
+            base += len(parts["nodes"][-1])
+        node, n, s, label = (np.concatenate([np.zeros(0, np.int64), *parts[k]]) for k in ("nodes", "n", "s", "labels"))
+        node, first, which = np.unique(node, return_index=True, return_inverse=True)  # a node comes from one chunk
+        g = Nodes(node, n[first], s[first], label[first], np.concatenate(sigs), which[np.concatenate(ords)] if len(which) else np.zeros(0, np.int64))
+        if step < 2:
+            x, y, _ = stars(g, percent, step == 1)
+            put(PAIRS, node[x], node[y])
+        else:
+            x, y = open_pairs(g, percent)
+            put(PAIRS, node[x], node[y])
+            x, y = _edges(g, _mixed(g) & (g.times > SMALL_GROUP))
+            put(EDGES, node[x], node[y])
+        return pa.table({"kind": pa.array(np.concatenate(kinds)), "a": pa.array(np.concatenate(xs)), "b": pa.array(np.concatenate(ys))})
+
+    return run
+
+
+def _verify_group(percent: int):
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        node, n = np.asarray(sets["node"]), np.asarray(sets["n"]).astype(np.int64)
+        lists = sets["shared"].combine_chunks()
+        bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        at = dict(zip(node.tolist(), range(len(node))))
+        linked = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            i, j = at[a], at[b]
+            both = np.concatenate((flat[bounds[i] : bounds[i + 1]], flat[bounds[j] : bounds[j + 1]]))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            linked.append(100 * common >= percent * int(n[i] + n[j] - common))
+        keep_ = pa.array(linked, pa.bool_())
+        return pa.table({"a": pairs["a"].combine_chunks().filter(keep_), "b": pairs["b"].combine_chunks().filter(keep_)})
 
     return run
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``(a, b)`` -> with both sizes, the common elements and whether they link."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("common"))
-    union = F.col("n_a") + F.col("n_b") - F.col("common")
-    return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"), (1 - F.col("common") / union).alias("distance"))
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int, pair_bytes: float) -> DataFrame:
+    """The distinct ``(a, b)`` that link.  Pairs meet by their second node, so a pivot's set goes once to each of their groups."""
+    groups = max(8, math.ceil(pairs.count() * pair_bytes / PAIR_BYTES))
+    pairs = pairs.select(F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("q"), "a", "b")
+    need = pairs.select("q", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = need.join(nodes.select("node", "n", "shared"), "node").select((F.col("q") + 0).alias("at"), "node", "n", "shared")
+    return sets.groupBy("at").cogroup(pairs.groupBy("q")).applyInArrow(_verify_group(percent), "a long, b long")
 
 
-def similar_sets(nodes: DataFrame, percent: int, pivot_rounds: int = 2) -> DataFrame:
+def similar_sets(nodes: DataFrame, percent: int) -> DataFrame:
     """``(node, n, shared)`` -> ``(node, label)``: components of nodes that link with others."""
     spark = nodes.sparkSession
-    most = nodes.agg(F.max("n")).first()[0]
+    most, total, count = nodes.agg(F.max("n"), F.sum(F.size("shared")), F.count("*")).first()
     if most is None:
         return spark.createDataFrame([], "node long, label long")
     limits = band_limits(percent, most)
-    sigs = nodes.select("node", "n", "shared").mapInArrow(_signature_rows(limits, percent), "sig long, node long, n int, s int")
-    w = _by("sig")
-    groups = keep(sigs.withColumn("c", F.count("*").over(w)).withColumn("p", F.min(F.struct("node", "n", "s")).over(w)).where("c > 1").drop("c"), "signature-groups")
-    known, labels = None, None
-    for at in range(pivot_rounds):
-        if known is None:
-            rest = groups.withColumn("q", F.col("p")).where("node <> q.node")
-        else:  # in groups that still hold several components, the second one's smallest node against the others
-            rest = _open(groups, labels).where("label <> low").withColumn("q", F.min(F.struct("label", "node", "n", "s")).over(w)).where("label <> q.label")
-        pairs = rest.where(_possible("", "q.", percent)).select(F.least("node", "q.node").alias("a"), F.greatest("node", "q.node").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = keep(verify(pairs, nodes, percent), "verified")
-        known = found if known is None else known.unionByName(found)
-        labels = components(known.where("linked").select("a", "b"))
-        release(spark)
-    rest = keep(_open(groups, labels).withColumn("c", F.count("*").over(w)), "open-groups")
-    found = keep(verify(_remaining(rest.where(F.col("c") <= SMALL_GROUP), known, percent), nodes, percent).where("linked").select("a", "b"), "verified")
-    more = found.union(_in_blocks(rest.where(F.col("c") > SMALL_GROUP), nodes, percent))
-    if not (more := keep(more, "links")).isEmpty():
-        labels = components(known.where("linked").select("a", "b").union(more))
-    release(spark)
+    buckets = max(8, -(-8 * total // (1 << 20)))
+    pair_bytes, labels = 16 * total / count, None
+    for step in range(3):
+        own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"))
+        sent = own.mapInArrow(_signature_rows(limits, percent, buckets, step), SIGNATURE_DDL)
+        found = keep(sent.groupBy("bucket").applyInArrow(_candidates(percent, step), "kind byte, a long, b long").distinct(), "candidates")
+        links = keep(verified(found.where(f"kind = {PAIRS}").select("a", "b"), nodes, percent, pair_bytes), "links")
+        if step == 2:
+            more = keep(_in_blocks(found.where(f"kind = {EDGES}").select("a", "b"), nodes, labels, percent), "links")
+            discard(found)
+            if links.isEmpty() and more.isEmpty():
+                discard(links, more)
+                return labels
+            links = links.union(more)
+        before = labels
+        if before is not None:
+            links = links.union(before.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = components(links)
     return labels
 
 
-def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the groups that hold several components, with each row's and the group's first one."""
-    g = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return g.withColumns({"low": F.min("label").over(_by("sig")), "high": F.max("label").over(_by("sig"))}).where("low <> high")
-
-
-def _in_blocks(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(edges: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between components that share large groups.
 
-    Nodes that large groups connect are dealt into blocks of ``BLOCK`` by size, and blocks
-    whose sizes are compatible are compared as a whole: a table of common counts from
-    products of 0/1 matrices, in memory that does not depend on the number of nodes.  A pair
-    is then looked at once, however many signatures it shares.
+    Nodes that large groups connect form clusters.  Those outside a cluster's largest
+    component are dealt into blocks of about ``BLOCK`` of similar size, and so are the
+    others; each of the former blocks is compared with all blocks of compatible sizes, by
+    products of 0/1 matrices, in memory that does not depend on the number of nodes.
     """
-    label = groups.select("node", "label").distinct()
-    cluster = components(groups.select(F.col("p.node").alias("a"), F.col("node").alias("b")).where("a <> b")).select("node", F.col("label").alias("cluster"))
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "node")) - 1
-    placed = nodes.select("node", "n").join(cluster, "node").join(label, "node").withColumn("block", F.floor(rank / BLOCK).cast("int"))
-    placed = placed.join(nodes.select("node", "shared"), "node")
-    packs = keep(placed.groupBy("cluster", "block").applyInArrow(_pack_block, BLOCK_FIELDS), "blocks")
-    size = packs.select("cluster", "block", "low_n", "high_n")
-    left, right = size.alias("x"), size.alias("y")
-    tasks = left.join(right, "cluster").where("x.block <= y.block").where(f"{percent} * y.low_n <= 100 * x.high_n").select("cluster", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    data = packs.drop("low_n", "high_n")
-    tasks = tasks.join(data.select(F.col("cluster"), F.col("block").alias("i"), F.col("data").alias("data_i")), ["cluster", "i"])
-    tasks = tasks.join(data.select(F.col("cluster"), F.col("block").alias("j"), F.col("data").alias("data_j")), ["cluster", "j"])
-    return tasks.select("data_i", "data_j").mapInArrow(_compare_blocks(percent), "a long, b long")
+    cluster = components(edges).withColumnRenamed("label", "cluster")
+    own = cluster.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label"))
+    own = keep(own, "clusters")
+    share = own.groupBy("cluster", "label").count()
+    main = share.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    main = keep(main, "clusters")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) * 2).cast("int")
+    placed = own.join(main, "cluster").select("node", "cluster", "label", (F.col("label") != F.col("main")).alias("apart"))
+    placed = keep(placed.join(nodes.select("node", "n"), "node").withColumn("band", band), "clusters")
+    sizes = keep(placed.groupBy("cluster", "apart", "band").count(), "clusters")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))
+    dealt = placed.join(sizes, ["cluster", "apart", "band"]).select("node", "n", "label", "cluster", "apart", F.concat_ws(":", "cluster", "apart", "band", block).alias("block"))
+    packs = keep(dealt.join(nodes.select("node", "shared"), "node").groupBy("block").applyInArrow(_pack_block, BLOCK_FIELDS), "blocks")
+    discard(own, main, placed, sizes)
+    size = packs.select("cluster", "apart", "block", "low_n", "high_n")
+    left, right = size.where("apart").alias("x"), size.alias("y")
+    tasks = left.join(right, "cluster").where("not y.apart or x.block <= y.block").where(f"{percent} * y.low_n <= 100 * x.high_n and {percent} * x.low_n <= 100 * y.high_n").select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    data = lambda k: packs.select(F.col("block").alias(k), F.col("data").alias(f"data_{k}"))
+    return tasks.join(data("i"), "i").join(data("j"), "j").select("data_i", "data_j").mapInArrow(_compare_blocks(percent), "a long, b long")
 
 
 def _pack_block(table: pa.Table) -> pa.Table:
-    lists = table["shared"].combine_chunks()
-    part = pa.table({"node": table["node"], "n": table["n"], "label": table["label"], "shared": lists})
+    part = table.select(["node", "n", "label", "shared"]).combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, part.schema) as out:
         out.write_table(part)
     n = np.asarray(table["n"])
-    return pa.table({"cluster": table["cluster"][:1], "block": table["block"][:1], "low_n": [int(n.min())], "high_n": [int(n.max())], "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())}).cast(pa.schema([("cluster", pa.int64()), ("block", pa.int32()), ("low_n", pa.int32()), ("high_n", pa.int32()), ("data", pa.binary())]))
+    fields = pa.schema([("cluster", pa.int64()), ("apart", pa.bool_()), ("block", pa.string()), ("low_n", pa.int32()), ("high_n", pa.int32()), ("data", pa.binary())])
+    first = {k: table[k].slice(0, 1) for k in ("cluster", "apart", "block")}
+    return pa.table({**first, "low_n": [int(n.min())], "high_n": [int(n.max())], "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())}).cast(fields)
 
 
 def _compare_blocks(percent: int):
@@ -337,37 +537,6 @@ def _compare_blocks(percent: int):
     return run
 
 
-def _by(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
-def _possible(x: str, y: str, percent: int) -> str:
-    """Whether two nodes could link: they have at most the smaller shared part in common."""
-    common = f"least({x}s, {y}s)"
-    return f"100 * {common} >= {percent} * ({x}n + {y}n - {common})"
-
-
-def _remaining(groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one group that neither size nor the distance to its pivot excludes."""
-    near = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance").union(known.select(F.col("b"), F.col("a"), "distance"))
-    g = groups.withColumn("pivot", F.col("p.node")).join(near, ["pivot", "node"], "left")
-    own = F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("distance"))
-    by_size = 1 - F.least("n", "p.n") / F.greatest("n", "p.n")  # where it wasn't verified
-    g = g.select("sig", "node", "n", "s", "label", F.coalesce(own, by_size).alias("low_d"), F.coalesce(own, F.lit(1.0)).alias("high_d"))
-    x, y = g.alias("x"), g.alias("y")
-    gap = F.greatest(F.col("x.low_d") - F.col("y.high_d"), F.col("y.low_d") - F.col("x.high_d"))
-    return (
-        x.join(y, "sig")
-        .where("x.node < y.node and x.label <> y.label")
-        .where(_possible("x.", "y.", percent))
-        .where(gap <= 1 - percent / 100 + 1e-9)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-
-
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.75) -> DataFrame:
     """Near-duplicate classes of whole texts: ``(doc_id, n_shingles, component_id)``, a row for each row of ``docs``.
 
@@ -383,21 +552,30 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(rows)
-    owner_buckets = max(8, buckets // 2)
-    entries = rows.mapInArrow(_shingle_rows(n, buckets, owner_buckets), packed.DDL)
-    hits = keep(packed.by_bucket(entries, _shared(owner_buckets)), "shared-shingles")
-    release(docs.sparkSession)
+    node_fields = "node long, n int, shared array<bigint>"
+    entries = rows.mapInArrow(_shingle_rows(n, buckets), packed.DDL)
+    hits = keep(packed.by_bucket(entries, _shared(buckets)), "shared-shingles")
     member = hits.where(f"kind = {packed.MEMBER}").select("keys", "extra", "sizes")
     members = keep(member.mapInArrow(_member_rows, "doc_id long, n_shingles long, node long"), "members")
-    nodes = keep(packed.by_bucket(hits.where(f"kind = {packed.DONE}"), _nodes(percent), "node long, n int, shared array<bigint>"), "shared-nodes")
+    nodes = keep(packed.by_bucket(hits.where(f"kind = {packed.DONE}"), _nodes(percent), node_fields), "shared-nodes")
+    discard(hits)
     for _ in range(NARROWINGS):  # shingles whose other owners are gone aren't shared any more
-        entries = nodes.mapInArrow(_node_rows(buckets, owner_buckets), packed.DDL)
-        nodes = keep(packed.by_bucket(packed.by_bucket(entries, _shared(owner_buckets)), _nodes(percent), "node long, n int, shared array<bigint>"), "shared-nodes")
+        entries = nodes.mapInArrow(_node_rows(buckets), packed.DDL)
+        fewer = keep(packed.by_bucket(packed.by_bucket(entries, _shared(buckets)), _nodes(percent), node_fields), "shared-nodes")
+        discard(nodes)
+        nodes = fewer
     labels = similar_sets(nodes, percent)
-    named = members.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "label", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    discard(nodes)
+    # of each node the smallest id, of each label the smallest of its nodes'; many rows may share a node, many nodes a label
+    own = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    linked = own.join(labels, "node").select("node", "label", "least")
+    least = keep(linked.groupBy("label").agg(F.min("least").alias("component_id")), "least-ids")
+    classes = keep(labels.join(least, "label").select("node", "component_id"), "classes")
+    own = keep(own.join(classes, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    discard(least, classes)
+    out = members.join(own, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import discard, keep, new_path, shared_dir
 
-from ..sources.shared import keep, new_path, shared_dir
-
-__all__ = ["bucket_count", "keep", "new_path", "release", "shared_dir"]
-
-
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["bucket_count", "discard", "keep", "new_path", "shared_dir"]
 
 
 def bucket_count(df: DataFrame, bucket_bytes: int = 3 << 20, least: int = 8, many: int = 32768, most_bytes: int = 64 << 20) -> int:
@@ -23,6 +15,6 @@ def bucket_count(df: DataFrame, bucket_bytes: int = 3 << 20, least: int = 8, man
     Beyond ``many`` buckets each may hold up to ``most_bytes`` of the input, and never more.
     """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate >= 1 << 62:  # not known
-        return many
+    if estimate >= 1 << 56:  # not known, as for frames made from an RDD: the session's partitions tell
+        return max(least, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(many, -(-estimate // bucket_bytes)), -(-estimate // most_bytes))

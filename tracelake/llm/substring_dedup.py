@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
 from . import packed, words
-from .storage import bucket_count, keep, release
+from .storage import bucket_count, keep
 
 U64 = np.uint64
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -186,11 +186,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owner_buckets = max(8, buckets // 2)
     anchors = packed.by_bucket(rows.mapInArrow(_anchor_rows(window, buckets, owner_buckets), packed.DDL), _answers(owner_buckets, later=False))
     found = keep(packed.by_bucket(anchors, _places, "id long, places binary"), "anchors")
-    release(spark)
     near = rows.join(found.hint("shuffle_hash"), "id").select("id", "text", "places")
     windows = packed.by_bucket(near.mapInArrow(_window_rows(window, buckets, owner_buckets), packed.DDL), _answers(owner_buckets, later=True))
     starts = keep(packed.by_bucket(windows, _places, "id long, places binary"), "windows")
-    release(spark)
     out = rows.join(starts.hint("shuffle_hash"), "id", "left").select("id", "text", "places")
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return out.mapInArrow(_cut_rows(window, with_text), fields)
