@@ -1,5 +1,7 @@
 """Top-k search against brute force; the sharded table's states."""
 
+import collections
+import fractions
 import math
 import random
 
@@ -44,6 +46,20 @@ def test_awkward_vectors(spark, monkeypatch):
     assert search(spark, [], k=3) == [] and search(spark, rows[:3], k=7) == brute(rows[:3], 7)
 
 
+def test_huge_components(spark):
+    """Finite components of any size take part; scores are cut to a long's range."""
+    top = 2**63 - 1
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e308, 5.0]), (3, [0.5, 0.25]), (4, [1e-300, 0.0]), (50, [0.0, 0.0]), (100, [1.0, 1e15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, k=6).collect()))
+    ints = {i: [math.floor(256 * fractions.Fraction(x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        s = sorted((-max(-top, min(top, sum(a * b for a, b in zip(ints[q], v)))), i) for i, v in ints.items() if i != q)[:6]
+        want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
+    assert got == want
+
+
 def test_repeated_ids_are_candidates_each(spark):
     rows = [(0, [1.0]), (1, [1.0]), (1, [1.0]), (2, [0.5])]
     assert search(spark, rows) == [(0, 1, 1, 65536), (0, 2, 1, 65536), (0, 3, 2, 32768)]
@@ -64,8 +80,10 @@ def test_sharded_table(spark):
     with pytest.raises(Exception):  # a writer that started from an older version
         t.commit(stale, [])
     assert t.manifest()["version"] == done["version"]
-    files = {s["file"] for s in done["shards"]}
-    assert not {s["file"] for s in before["shards"]} - files or all(not t.fs.exists(t._path(f)) for f in {s["file"] for s in before["shards"]} - files)
+    assert len(t.versions()) == 2 and t.read(t.versions()[0]).count() == 600  # a reader of the version before isn't cut off
+    kept = {s["file"] for v in t.versions() for s in t.manifest(v)["shards"]}
+    assert all(not t.fs.exists(t._path(s["file"])) for s in before["shards"] if s["file"] not in kept)
+    assert "_shard" in t.read().columns and t.read().select("_shard").distinct().count() == len(done["shards"])
 
 
 def by_tier(t, manifest):
@@ -80,6 +98,8 @@ def test_shard_index(spark):
     rows = h.corpus() + [(None, None, None, None, None), (1, "again", None, None, None)]
     got = shard_index(h.documents(spark, rows, clashing=True), new_path(spark, "index")).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    per = collections.Counter(r.shard_no for r in got)
+    assert all(r.shard_rows == per[r.shard_no] for r in got) and sorted(per) == list(range(len(per)))
     assert sum(r.text_bytes for r in got) == sum(len((t or "").encode()) for _, t, *_ in rows)
     assert shard_index(h.documents(spark, []), new_path(spark, "index")).count() == 0
 

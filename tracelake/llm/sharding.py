@@ -6,9 +6,11 @@ when a tier holds ``fanout`` shards, runs of them are merged into one file each,
 ``target_bytes``; merged files enter a higher tier, so a byte is rewritten once a tier.
 Arrivals above the target (an append's file is a whole split of its input), and shards too
 large for two to fit one file, are dealt row by row over files near the target.  A state of the table is a numbered manifest, the list of its files.  It is written aside and
-renamed to its number without overwriting, which the file system does as a whole or refuses:
+renamed to its number without overwriting, which HDFS and local file systems do as a whole or refuse
+(object stores without an atomic rename need a committer of their own):
 readers see the state before or after, and of two writers with the same number one must try
-again.  Files that no kept manifest lists are removed after the commit.
+again.  Files that neither of the last two manifests lists are removed after a commit, so readers of the
+version before are not cut off; files of a refused commit go at once.
 """
 
 from __future__ import annotations
@@ -17,13 +19,18 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 RUNS_A_JOB = 100
 
 
+def shard_of_row() -> Column:
+    """The file a row was read from; a function, so that no column's name can hide it."""
+    return F.substring_index(F.input_file_name(), "/data/", -1)
+
+
 class ShardedTable:
     """A versioned table of shards below ``path``, in any store that Hadoop's file systems reach."""
 
@@ -84,10 +91,14 @@ class ShardedTable:
         return [{"file": f"{folder}/{s.getPath().getName()}", "bytes": s.getLen(), "level": tier} for s in sorted(files, key=lambda s: s.getPath().getName())]
 
     def append(self, df: DataFrame, arrivals: int | None = None) -> dict:
-        """Add the rows of ``df`` as small shards, a file a partition of ``df`` (``arrivals`` of them on request, by round robin)."""
+        """Add the rows of ``df`` as small shards, a file a partition of ``df`` (``arrivals`` of them on request, by round robin).
+
+        All columns are stored as they are, whatever their names, nulls and repeated rows
+        included; an empty ``df`` commits a version without new shards of rows.
+        """
         base = self.manifest()
         new = self._written(df if arrivals is None else df.repartition(arrivals), 0)
-        return self.commit(base, base["shards"] + new)
+        return self._commit_new(base, base["shards"], new)
 
     def tier(self, size: int) -> int:
         n, limit = 0, self.small
@@ -147,17 +158,25 @@ class ShardedTable:
         for at in range(0, len(runs), RUNS_A_JOB):  # a job writes many runs, a task each; plans stay small
             parts = [self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in r)).coalesce(1) for r in runs[at : at + RUNS_A_JOB]]
             new += self._written(reduce(DataFrame.unionByName, parts), level)
-        done = self.commit(base, [s for s in base["shards"] if s["file"] not in gone] + new)
-        self.clean(keep_versions=1)
+        done = self._commit_new(base, [s for s in base["shards"] if s["file"] not in gone], new)
+        self.clean()
         return done
 
-    def settle(self, most_rounds: int = 20) -> dict:
-        """Compact until no tier is full."""
-        for _ in range(most_rounds):
+    def _commit_new(self, base: dict, kept: list[dict], new: list[dict]) -> dict:
+        """Commit; the new files go if another writer was first."""
+        try:
+            return self.commit(base, kept + new)
+        except Exception:
+            for s in new:
+                self.fs.delete(self._path(s["file"]), False)
+            raise
+
+    def settle(self) -> dict:
+        """Compact until no tier is full; each round leaves fewer shards below the target or above it, so this ends."""
+        while True:
             before = self.manifest()["version"]
             if self.compact()["version"] == before:
-                break
-        return self.manifest()
+                return self.manifest()
 
     def clean(self, keep_versions: int = 2) -> None:
         """Remove files that the last ``keep_versions`` manifests don't list, and older manifests."""
@@ -172,12 +191,18 @@ class ShardedTable:
     # --- reading ---
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version, with the ``shard`` each is in; None for an empty table."""
-        m = self.manifest(version)
-        if not m["shards"]:
+        """The rows of a version, with the ``shard`` each is in (``_shard`` where the table has such a column, and so on); None for an empty table."""
+        df = self.rows(version)
+        if df is None:
             return None
-        df = self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in m["shards"]))
-        return df.select("*", F.substring_index(F.col("_metadata.file_path"), "/data/", -1).alias("shard"))
+        name = "shard"
+        while name in df.columns:
+            name = f"_{name}"
+        return df.select("*", shard_of_row().alias(name))
+
+    def rows(self, version: int | None = None) -> DataFrame | None:
+        m = self.manifest(version)
+        return self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in m["shards"])) if m["shards"] else None
 
 
 def shard_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fanout: int = 4, target_bytes: int = 32 << 20) -> DataFrame:
@@ -192,10 +217,10 @@ def shard_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     table = ShardedTable(spark, path, fanout, target_bytes)
     table.append(docs)
     m = table.settle()
-    rows = table.read()
+    rows = table.rows()
     if rows is None:
         return spark.createDataFrame([], "doc_id long, shard_no int, shard_rows long, text_bytes long, version long")
-    where = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("text_bytes"), "shard")
+    where = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("text_bytes"), shard_of_row().alias("shard"))
     files = sorted(s["file"].removeprefix("data/") for s in m["shards"])
     number = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "shard string, shard_no int")
     counts = where.groupBy("shard").agg(F.count("*").alias("shard_rows"))

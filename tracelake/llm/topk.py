@@ -14,7 +14,9 @@ and the k best of those are the answer.  Nothing depends on how many candidates
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +24,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
+from . import words
 from .storage import keep
 
 QUERY_BLOCK, TILE, CANDIDATES, DIMS = 8192, 256, 8192, 16
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """``(id, v)`` with ``floor(scale * x)``; vectors that are null or hold a null or non-finite component are left out."""
+def finite_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``(id, v)`` in doubles; vectors that are null or hold a null or non-finite component are left out."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return df.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("v"))
+    return df.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and int64 matrices, one a vector length."""
+def scaled(x: np.ndarray, scale: int) -> np.ndarray:
+    """``floor(scale * x)`` as whole doubles; as Python integers where doubles can't hold them."""
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * x)
+    if out.size and not np.abs(out).max() < 1 << 53:
+        return np.array([math.floor(scale * Fraction(v)) for v in x.ravel().tolist()], object).reshape(x.shape)
+    return out
+
+
+def _matrices(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of whole numbers, one a vector length."""
     ids, lists = np.asarray(batch.column(0)), batch.column(1)
     lengths, flat, starts = np.diff(np.asarray(lists.offsets)), np.asarray(lists.values), np.asarray(lists.offsets)[:-1]
     for d in np.unique(lengths).tolist():
         rows = np.flatnonzero(lengths == d)
-        yield ids[rows], flat[starts[rows][:, None] + np.arange(d)]
+        yield ids[rows], scaled(flat[starts[rows][:, None] + np.arange(d)], scale)
 
 
 class Best:
@@ -68,7 +80,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     if not len(c) or not len(q):
         return
     top = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(d, 1)
-    kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else object  # exact in each
+    kind = object if object in (q.dtype, c.dtype) else np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else object  # exact in each
+    if kind is object:
+        return _search_large(q_ids, q, c_ids, c, best, places)
     order = np.argsort(-np.abs(c.astype(np.float64)).sum(axis=0), kind="stable")
     vertical, q = np.ascontiguousarray(c.T[order]).astype(kind), q[:, order].astype(kind)
     mass = lambda m: np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], axis=0)[::-1])
@@ -104,7 +118,18 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
                 best.put(place, s, c_ids[alive])
 
 
-def _task(sent, k: int):
+def _search_large(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, best: Best, places: np.ndarray) -> None:
+    """The same for vectors whose products doubles can't hold, a query at a time; scores are cut to a long's range at the end."""
+    whole = np.frompyfunc(int, 1, 1)
+    q, c = whole(q), whole(c)
+    low, high = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
+    for i, place in enumerate(places.tolist()):
+        other = np.flatnonzero(c_ids != q_ids[i])
+        s = np.array([min(high, max(low, x)) for x in (c[other] @ q[i]).tolist()], np.int64)
+        best.put(place, s, c_ids[other])
+
+
+def _task(sent, k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, by_length = sent.value
         best = Best(len(q_ids), k)
@@ -118,7 +143,7 @@ def _task(sent, k: int):
                     search_block(q_ids[places], q, ids[a : a + CANDIDATES], rows[a : a + CANDIDATES], best, places)
 
         for batch in batches:
-            for ids, rows in _matrices(batch):
+            for ids, rows in _matrices(batch, scale):
                 held.setdefault(rows.shape[1], []).append((ids, rows))
                 if sum(len(x) for x, _ in held[rows.shape[1]]) >= CANDIDATES:
                     flush(rows.shape[1])
@@ -137,13 +162,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     at 1, and fewer rows come where there are fewer candidates.  A row is no candidate for
     queries of its own id.  Rows with a null id or vector, or a null or non-finite component,
     take no part.  Vectors of another length than the query's are no candidates, and rows
-    that repeat an id are candidates each.  Empty tables give none.  Other columns are
+    that repeat an id are candidates each.  Any finite component takes part; scores beyond a
+    long's range are cut to it and tie there.  Empty tables give none.  Other columns are
     ignored, whatever their names.
     """
     spark = vectors.sparkSession
     ship_package(spark)
-    data = integer_vectors(vectors, id_col, vector_col, scale)
-    asked = integer_vectors(vectors.where(queries), id_col, vector_col, scale)
+    data = finite_vectors(vectors, id_col, vector_col)
+    asked = finite_vectors(vectors.where(queries), id_col, vector_col)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for b in range(blocks):  # blocks of queries, each bounded; not groups of the data
@@ -152,10 +178,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         ids, by_length = np.asarray(table["id"]), {}
         for batch in table.to_batches():
             lengths = np.diff(np.asarray(batch.column(1).offsets))
-            for own, rows in _matrices(batch):
+            for own, rows in _matrices(batch, scale):
                 by_length[rows.shape[1]] = (np.flatnonzero(lengths == rows.shape[1]), rows)
         sent = spark.sparkContext.broadcast((ids, by_length))
-        got = data.mapInArrow(_task(sent, k), "query_id long, vec_id long, score long")
+        got = data.mapInArrow(words.tidy(_task(sent, k, scale)), "query_id long, vec_id long, score long")
         if blocks > 1:
             got = keep(got, "top-k")
         found = got if found is None else found.unionByName(got)
