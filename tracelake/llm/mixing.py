@@ -21,9 +21,9 @@ LEVELS, BITS = 3, 12
 WEIGHTS = (3, 1, 2)
 
 
-def document_hash(doc_id: Column) -> Column:
-    """36 bits of a hash of the id; SQL engines share it."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 9), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """36 bits of a hash of the id, or of the text where there is no id; SQL engines share it."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), native.text_or_empty(text)))), 1, 9), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -57,8 +57,8 @@ def hash_threshold_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null.  ``taken`` is a whole multiple of ``size``, at most ``most`` (rounded up) times;
     the document on a source's threshold goes the way that ends nearer the target.  The same
     rows give the same mix, whatever their order or partitioning.  A null source is a source
-    of its own, last; null ids share one hash and repeated ids theirs, so such rows go
-    together.  An empty table gives none.  Other columns are ignored, whatever their names.
+    of its own, last.  Rows without an id are told apart by their texts; rows that share an
+    id, or without one a text, go together.  An empty table gives none.  Other columns are ignored, whatever their names.
     """
     sizes = _sizes(docs, id_col, text_col, source_col)
     out = sizes.join(mix_limits(sizes, share, most, weights), F.col("source").eqNullSafe(F.col("src")))
@@ -68,7 +68,7 @@ def hash_threshold_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = F.size(native.words(F.col(text_col))).cast("long")
     doc = F.col(id_col).cast("long")
-    return keep(docs.select(doc.alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), document_hash(doc).alias("h")), "mix-sizes")
+    return keep(docs.select(doc.alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), document_hash(doc, F.col(text_col)).alias("h")), "mix-sizes")
 
 
 def mix_limits(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -105,10 +105,10 @@ def times(h: Column) -> Column:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of ``docs`` that a mix takes, each as often as it takes it; columns as they are.
 
-    Only the sources' limits meet the documents again, so their texts are not shuffled.
+    Cases are those of ``hash_threshold_mix``; columns of any name are carried along.  Only the sources' limits meet the documents again, so their texts are not shuffled.
     """
     limits = mix_limits(_sizes(docs, id_col, text_col, source_col), share, most, weights)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    own = docs.select(row, F.col(source_col).cast("string").alias("source"), document_hash(F.col(id_col).cast("long")).alias("h"))
+    own = docs.select(row, F.col(source_col).cast("string").alias("source"), document_hash(F.col(id_col).cast("long"), F.col(text_col)).alias("h"))
     found = own.join(limits, F.col("source").eqNullSafe(F.col("src")))
     return found.select("row", F.explode(F.array_repeat(F.lit(1), times(F.col("h")).cast("int")))).select("row.*")
