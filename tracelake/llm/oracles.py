@@ -42,9 +42,8 @@ cov AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(
 raw AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS l FROM d),
 ln AS (SELECT doc_id, host, t, l, trim(regexp_replace(lower(l), '[\x09-\x0D\x20]+', ' ', 'g')) AS k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
-often AS (SELECT s.host, s.k, s.first_id FROM (SELECT host, k, count(DISTINCT t) AS c, min(doc_id) AS first_id FROM ln GROUP BY host, k) s JOIN hosts h ON s.host IS NOT DISTINCT FROM h.host WHERE s.c > 20 AND s.c > 0.1 * h.n),
-cut AS (SELECT ln.doc_id, sum(ln.n) AS n FROM ln JOIN often o ON ln.host IS NOT DISTINCT FROM o.host AND ln.k = o.k WHERE ln.doc_id > o.first_id GROUP BY ln.doc_id),
+often AS (SELECT host, k FROM ln GROUP BY host, k HAVING count(DISTINCT doc_id) > 20),
+cut AS (SELECT ln.doc_id, sum(ln.n) AS n FROM ln JOIN often o ON ln.host IS NOT DISTINCT FROM o.host AND ln.k = o.k GROUP BY ln.doc_id),
 m AS (SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(d.ws, '')) AS BIGINT) AS word_chars,
   CAST(length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
@@ -65,7 +64,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 OP10 = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 9) AS BIGINT) AS h FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || coalesce(text, ''))), 1, 9) AS BIGINT) AS h FROM documents),
 b AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM d GROUP BY source),
 w AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS w FROM b),
 l AS (SELECT *, 2.0 * s AS cap, 1.5 * sum(s) OVER () AS budget, sum(w) OVER () AS all_w,
