@@ -85,7 +85,8 @@ def send(kind: int, keys: np.ndarray, ords: np.ndarray, extra: np.ndarray | None
     if not len(keys):
         return
     if by_owner:
-        spread = (owners.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        spread = owners.astype(np.uint64) if sizes is None else owners.astype(np.uint64) + (sizes.astype(np.uint64) << np.uint64(20))
+        spread = (spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         to = (spread % np.uint64(buckets)).astype(np.int64)[ords]
         order = np.argsort(to, kind="stable")
         keys, ords, to = keys[order], ords[order], to[order]

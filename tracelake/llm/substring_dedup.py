@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
 from . import packed, words
-from .storage import bucket_count, keep
+from .storage import bucket_count, discard, keep
 
 U64 = np.uint64
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -58,19 +58,19 @@ def _spread(batches: Iterator[pa.RecordBatch]):
             yield batch, a, b, hashes[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _emit(keys: np.ndarray, ords: np.ndarray, extra: np.ndarray, owners: np.ndarray, buckets: int, owner_buckets: int, later: bool) -> pa.RecordBatch:
+def _emit(keys: np.ndarray, ords: np.ndarray, extra: np.ndarray, owners: np.ndarray, texts: np.ndarray, buckets: int, later: bool) -> pa.RecordBatch:
     order = np.argsort(keys)
     keys, ords, extra = keys[order], ords[order], extra[order].astype(np.int32)
     ask, done, seen = packed.local_split(keys, owners[ords], later)
-    out = list(packed.send(packed.ASK, keys[ask], ords[ask], extra[ask], owners, None, buckets))
-    out += packed.send(packed.DONE, np.zeros(int(done.sum()), U64), ords[done], extra[done], owners, None, owner_buckets, by_owner=True)
+    out = list(packed.send(packed.ASK, keys[ask], ords[ask], extra[ask], owners, texts, buckets))
+    out += packed.send(packed.DONE, np.zeros(int(done.sum()), U64), ords[done], extra[done], owners, texts, buckets, by_owner=True)
     if len(seen):
         which, bounds = packed.cut(seen, buckets)
         out += (packed.row(packed.SEEN, int(w), keys=seen[i:j]) for w, i, j in zip(which, bounds[:-1], bounds[1:]))
     return packed.batch(out)
 
 
-def _anchor_rows(window: int, buckets: int, owner_buckets: int):
+def _anchor_rows(window: int, buckets: int):
     length = window - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +82,12 @@ def _anchor_rows(window: int, buckets: int, owner_buckets: int):
             covered = np.isin(np.arange(PERIOD), COVER)[place % PERIOD]
             whole = covered & (place + length <= lengths[text_of]) & (lengths[text_of] >= window) & (owners != packed.NULL_ID)[text_of]
             starts = np.flatnonzero(whole)
-            yield _emit(Rolling(hashes).at(starts, length), text_of[starts], place[starts], owners, buckets, owner_buckets, later=False)
+            yield _emit(Rolling(hashes).at(starts, length), text_of[starts], place[starts], owners, np.asarray(batch.column(2).slice(a, b - a)), buckets, later=False)
 
     return run
 
 
-def _answers(owner_buckets: int, later: bool):
+def _answers(buckets: int, later: bool):
     def run(table: pa.Table) -> Iterator[dict]:
         e = packed.Entries(table, packed.ASK, np.int64)
         if later:
@@ -95,7 +95,7 @@ def _answers(owner_buckets: int, later: bool):
         else:
             seen = [packed.unplanes(x, U64) for x in table.filter(pa.compute.equal(table["kind"], packed.SEEN))["keys"].to_pylist()]
             packed.shared_entries(e, np.concatenate(seen) if seen else np.zeros(0, U64))
-        yield from packed.send(packed.DONE, np.zeros(len(e.keys), U64), e.ords, e.extra, e.owners, None, owner_buckets, by_owner=True)
+        yield from packed.send(packed.DONE, np.zeros(len(e.keys), U64), e.ords, e.extra, e.owners, e.sizes, buckets, by_owner=True)
         yield from table.filter(pa.compute.equal(table["kind"], packed.DONE)).to_pylist()
 
     return run
@@ -104,15 +104,20 @@ def _answers(owner_buckets: int, later: bool):
 def _places(table: pa.Table) -> pa.Table:
     """The found word positions of each document of a bucket, ascending, as 4-byte integers."""
     e = packed.Entries(table, packed.DONE, np.int64)
-    own = e.owners[e.ords]
-    order = np.lexsort((e.extra, own))
-    own, places = own[order], e.extra[order]
-    bounds = np.append(packed.runs(own), len(own))
+    own, text = e.owners[e.ords], e.sizes[e.ords]
+    order = np.lexsort((e.extra, text, own))
+    own, text, places = own[order], text[order], e.extra[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+    again = ~new  # equal rows have each found theirs
+    again[1:] &= places[1:] == places[:-1]
+    own, text, places, new = own[~again], text[~again], places[~again], new[~again]
+    bounds = np.append(np.flatnonzero(new), len(own))
     spans = [places[i:j].astype("<i4").tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
-    return pa.table({"id": pa.array(own[bounds[:-1]]), "places": pa.array(spans, pa.binary())})
+    return pa.table({"id": pa.array(own[bounds[:-1]]), "text_hash": pa.array(text[bounds[:-1]]), "places": pa.array(spans, pa.binary())})
 
 
-def _window_rows(window: int, buckets: int, owner_buckets: int):
+def _window_rows(window: int, buckets: int):
     """Entries of the whole windows around shared anchors."""
     length = window - PERIOD + 1
 
@@ -120,7 +125,7 @@ def _window_rows(window: int, buckets: int, owner_buckets: int):
         for batch, a, b, hashes, offsets in _spread(batches):
             owners = packed.ids(batch.column(0).slice(a, b - a))
             change = np.zeros(len(hashes) + 1, np.int64)
-            for i, places in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
+            for i, places in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
                 n = int(offsets[i + 1] - offsets[i])
                 at = np.frombuffer(places, "<i4").astype(np.int64)
                 at = at[at + length <= n]
@@ -132,7 +137,7 @@ def _window_rows(window: int, buckets: int, owner_buckets: int):
                 np.add.at(change, offsets[i] + last + 1, -1)
             starts = np.flatnonzero(np.cumsum(change)[:-1] > 0)
             text_of = np.searchsorted(offsets, starts, side="right") - 1
-            yield _emit(Rolling(hashes).at(starts, window), text_of, starts - offsets[text_of], owners, buckets, owner_buckets, later=True)
+            yield _emit(Rolling(hashes).at(starts, window), text_of, starts - offsets[text_of], owners, np.asarray(batch.column(2).slice(a, b - a)), buckets, later=True)
 
     return run
 
@@ -155,7 +160,7 @@ def kept_words(text: str | None, places: bytes | None, window: int) -> tuple[int
 def _cut_rows(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.text_batches(batches):
-            got = [kept_words(t.as_py(), p.as_py(), window) for t, p in zip(batch.column(1), batch.column(2))]
+            got = [kept_words(t.as_py(), p.as_py(), window) for t, p in zip(batch.column(1), batch.column(3))]
             cols = [batch.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got])]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -172,8 +177,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns ``doc_id, n_words, n_removed, kept_sha256`` (of the kept words joined by one
     space) and ``kept_text``, a row for each row of ``docs``.  Windows are judged on the
     input.  Words are compared unchanged; a null or empty text has none.  Repeats inside one
-    document, or among rows that share an id, don't count; rows that share an id have their
-    windows looked up by id and word position.  A row without an id keeps its words and
+    document, or among rows that share an id, don't count; rows that share an id are separate
+    documents, told apart by a hash of their texts.  A row without an id keeps its words and
     removes none elsewhere.  Texts below ``window`` words are kept.  Other columns are
     ignored, whatever their names.  An empty table gives none.
     """
@@ -181,14 +186,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"window must be over {PERIOD} words")
     spark = docs.sparkSession
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = bucket_count(rows)
-    owner_buckets = max(8, buckets // 2)
-    anchors = packed.by_bucket(rows.mapInArrow(_anchor_rows(window, buckets, owner_buckets), packed.DDL), _answers(owner_buckets, later=False))
-    found = keep(packed.by_bucket(anchors, _places, "id long, places binary"), "anchors")
-    near = rows.join(found.hint("shuffle_hash"), "id").select("id", "text", "places")
-    windows = packed.by_bucket(near.mapInArrow(_window_rows(window, buckets, owner_buckets), packed.DDL), _answers(owner_buckets, later=True))
-    starts = keep(packed.by_bucket(windows, _places, "id long, places binary"), "windows")
-    out = rows.join(starts.hint("shuffle_hash"), "id", "left").select("id", "text", "places")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.hash(text).alias("text_hash"))
+    buckets, found = bucket_count(rows), "id long, text_hash int, places binary"
+    anchors = packed.by_bucket(rows.mapInArrow(words.tidy(_anchor_rows(window, buckets)), packed.DDL), _answers(buckets, later=False))
+    anchors = keep(packed.by_bucket(anchors, _places, found), "anchors")
+    near = rows.join(anchors, ["id", "text_hash"]).select("id", "text", "text_hash", "places")
+    windows = packed.by_bucket(near.mapInArrow(words.tidy(_window_rows(window, buckets)), packed.DDL), _answers(buckets, later=True))
+    starts = keep(packed.by_bucket(windows, _places, found), "windows")
+    discard(anchors)
+    out = rows.join(starts, ["id", "text_hash"], "left").select("id", "text", "text_hash", "places")
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return out.mapInArrow(_cut_rows(window, with_text), fields)
+    return out.mapInArrow(words.tidy(_cut_rows(window, with_text)), fields)
