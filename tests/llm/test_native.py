@@ -43,14 +43,28 @@ def test_line_frequency(spark):
     rows = [(i, f"{own(i, 30)}\n{notice}", None, "host", None) for i in range(30)]
     rows += [(100 + i, f"{own(100 + i, 5)}\n{notice.upper()}\n{notice}  ", None, "host", None) for i in range(5)]
     rows += [(200, f"{own(200, 12)}\n{notice}", None, "other", None), (None, f"{own(300, 12)}\n{notice}", None, "host", None)]
-    docs = h.documents(spark, rows)
+    docs = h.documents(spark, rows, clashing=True)
     verdicts = quality.quality_rules(docs)
     got = {r.doc_id: r for r in verdicts.collect()}
-    assert all(got[i].kept and got[i].n_left == (43 if i == 0 else 30) for i in range(30))  # the first keeps its line
+    assert all(got[i].kept and got[i].n_left == 30 for i in range(30))
     assert not any(got[100 + i].kept for i in range(5)) and got[200].kept and not got[None].kept
     kept = {r.doc_id: r.text for r in quality.without_lines(docs, verdicts).collect()}
-    assert notice in kept[0] and notice not in kept[1] and kept[200].endswith(notice) and set(kept) == {*range(30), 200}
-    assert quality.quality_rules(h.documents(spark, [])).count() == 0
+    assert notice not in kept[0] and notice not in kept[1] and kept[200].endswith(notice) and set(kept) == {*range(30), 200}
+    first = quality.quality_rules(docs, first_keeps=True)
+    got = {r.doc_id: r for r in first.collect()}
+    assert all(got[i].kept and got[i].n_left == (43 if i == 0 else 30) for i in range(30)) and not got[None].kept
+    kept = {r.doc_id: r.text for r in quality.without_lines(docs, first).collect()}
+    assert notice in kept[0] and notice not in kept[1]
+    assert quality.quality_rules(h.documents(spark, [])).count() == 0 and quality.without_lines(h.documents(spark, []), verdicts).count() == 0
+
+
+def test_lines_go_from_null_ids_and_repeated_rows(spark):
+    notice = "all rights reserved by the owners of this page and of all others"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"{own(i)}\n{notice}", None, None, None) for i in range(25)] + [(None, f"{own(99)}\n{notice}", None, None, None)] * 2 + [(7, "other " * 3, None, None, None), (8, None, None, None, None)]
+    docs = h.documents(spark, rows)
+    out = quality.without_lines(docs, quality.quality_rules(docs)).collect()
+    assert len(out) == 27 and all(notice not in r.text for r in out) and sum(r.doc_id is None for r in out) == 2
 
 
 def test_line_frequency_of_a_large_host(spark):
@@ -60,15 +74,18 @@ def test_line_frequency_of_a_large_host(spark):
     rows = [(i, f"{own(i)}\n{notice}" if i % 20 == 0 else own(i), None, "host", None) for i in range(600)]
     rows += [(1000 + i, f"{own(1000 + i)}\n{notice}", None, "small", None) for i in range(20)]
     got = {r.doc_id: r for r in quality.quality_rules(h.documents(spark, rows)).collect()}
-    assert all(got[i].n_left == 30 and len(got[i].cut_lines) == (1 if i % 20 == 0 and i else 0) for i in range(1, 600))
-    assert got[0].n_left == 43 and all(got[1000 + i].n_left == 43 for i in range(20))
+    assert all(got[i].n_left == 30 and len(got[i].cut_lines) == (1 if i % 20 == 0 else 0) for i in range(600))
+    assert all(got[1000 + i].n_left == 43 for i in range(20))
 
 
-def test_copies_leave_one(spark):
+def test_copies(spark):
     text = "\n".join(" ".join(f"l{i}w{k}" for k in range(10)) for i in range(4))
     rows = [(i, f"{text}\nunique{i} {i}", None, None, None) for i in range(40)] + [(3, f"{text}\nunique3 3", None, None, None)]
-    got = [(r.doc_id, r.kept) for r in quality.quality_rules(h.documents(spark, rows)).collect()]
+    assert not any(r.kept for r in quality.quality_rules(h.documents(spark, rows)).collect())
+    got = [(r.doc_id, r.kept) for r in quality.quality_rules(h.documents(spark, rows), copies_once=True, first_keeps=True).collect()]
     assert len(got) == 41 and (0, True) in got and sum(k for _, k in got) == 1
+    same = [(i, text, None, None, None) for i in range(40)]
+    assert all(r.kept for r in quality.quality_rules(h.documents(spark, same), copies_once=True, first_keeps=True).collect())
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -135,7 +152,34 @@ def test_pii_held_out(spark, kind):
     got = df.select("label", *(c.alias(k) for k, c in pii.features(F.col("value"), F.col("before")).items())).collect()
     x, y = np.array([[r[f] for f in pii.FEATURES] for r in got]), np.array([r["label"] for r in got])
     chosen = trees.score(fitted, x) >= least
-    assert y[chosen].mean() >= 0.97 and chosen[y == 1].mean() >= 0.6
+    assert y[chosen].mean() >= 0.95 and chosen[y == 1].mean() >= 0.85, (y[chosen].mean(), chosen[y == 1].mean())
+
+
+#: Hand-written lines, independent of the training templates: what is to be found, in order.
+PLANTED = [
+    ("text 212-555-0143 today", ["212-555-0143"]), ("reach us: 0171 555 1234", ["0171 555 1234"]), ("my number 415.555.2671", ["415.555.2671"]),
+    ("you can call (312) 555-0187 before noon", ["(312) 555-0187"]), ("Tel. 030/1234567, Fax 030/1234568", ["030/1234567", "030/1234568"]),
+    ("his mobile is 0176 55512345 and hers 0160 5559876", ["0176 55512345", "0160 5559876"]), ("Dial 202.555.0199 for the desk", ["202.555.0199"]),
+    ("jane [at] mail [dot] org", ["jane [at] mail [dot] org"]), ("please write to anna.smith(at)example.com now", ["anna.smith(at)example.com"]), ("bob at example dot com", ["bob at example dot com"]),
+    ("mail: sales {at} shop {dot} net", ["sales {at} shop {dot} net"]), ("SSN 123-45-6789 on file", ["123-45-6789"]), ("social security number: 987-65-4320.", ["987-65-4320"]),
+    ("transfer to DE89 3704 0044 0532 0130 00 please", ["DE89 3704 0044 0532 0130 00"]), ("IBAN GB82WEST12345698765432", ["GB82WEST12345698765432"]), ("account FR1420041010050500013M02606", ["FR1420041010050500013M02606"]),
+    ("card 4111.1111.1111.1111 expires soon", ["4111.1111.1111.1111"]), ("visa 5500/0000/0000/0004", ["5500/0000/0000/0004"]), ("amex 3782 822463 10005", ["3782 822463 10005"]),
+    ("the phone of the office is 01 42 68 53 00", ["01 42 68 53 00"]),
+]
+CLEAN = ["released on 2024-11-02 as version 4.2.1", "pages 112-145 of volume 12", "isbn 978-3-16-148410-0", "we met at noon. then we left", "order 123-456-7890 was shipped", "scores 21 19 22 17", "from 1998-2004 he lived there",
+         "look at example.com", "invoice 2023/1234/5678", "the years 2001 2002 2003", "a 10-20-30 split", "section 12.34.56 of the code", "meet at house dot 5", "serial no. 1234-5678-9012", "US12 is a road", "prices 1200 1300 1400"]
+
+
+def test_pii_planted(spark):
+    """Recall of at least 0.9 on planted lines that no template made, and clean lines left alone."""
+    rows = [(i, t, None, None, None) for i, (t, _) in enumerate(PLANTED)] + [(100 + i, t, None, None, None) for i, t in enumerate(CLEAN)]
+    got = {r.doc_id: r for r in pii.find_pii(h.documents(spark, rows)).collect()}
+    hit = [(w, t[s["start"] : s["end"]]) for i, (t, want) in enumerate(PLANTED) for w in want for s in got[i].found if t[s["start"] : s["end"]] == w]
+    wanted = sum(len(w) for _, w in PLANTED)
+    missed = [(t, got[i].spans) for i, (t, want) in enumerate(PLANTED) if not set(want) <= {t[s["start"] : s["end"]] for s in got[i].found}]
+    false = [(t, got[100 + i].spans) for i, t in enumerate(CLEAN) if got[100 + i].found]
+    assert len(hit) >= 0.9 * wanted and len(false) <= 1, (missed, false)
+    assert all(r.n_spans == len(r.found) for r in got.values())
 
 
 def test_secrets(spark):
@@ -188,7 +232,7 @@ def targets(sizes):
 
 
 def test_mixing(spark):
-    rows = h.corpus() + [(5000 + i, "w " * (i % 37), None, f"t{i % 5}", None) for i in range(2000)] + [(None, "null id", None, "t1", None)] * 2
+    rows = h.corpus() + [(5000 + i, "w " * (i % 37), None, f"t{i % 5}", None) for i in range(2000)] + [(None, "null id", None, "t1", None)] * 2 + [(None, f"n{i} " * 10, None, "s2", None) for i in range(100)]
     docs = h.documents(spark, rows, clashing=True)
     out = hash_threshold_mix(docs)
     got = out.collect()
@@ -199,7 +243,7 @@ def test_mixing(spark):
     want, source_of = targets(size), {r[0]: r[3] for r in rows}
     taken = defaultdict(int)
     for r in got:
-        s = source_of[r.doc_id]
+        s = source_of[r.doc_id] if r.doc_id is not None else "s2" if r["size"] == 10 else "t1"
         taken[s] += r.taken
         assert r.target == pytest.approx(want[s]) and r.source_size == size[s] and r.taken in (0, r["size"], 2 * r["size"])
     largest = defaultdict(int)
