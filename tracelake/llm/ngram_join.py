@@ -44,7 +44,7 @@ from .storage import bucket_count, discard, keep
 
 U64 = np.uint64
 ORD_BITS = 12  # documents of a chunk; the other 52 bits of an entry are the shingle's hash
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 NARROWINGS = 2
 SMALL_GROUP = 32  # nodes of a signature's group up to which its pairs are looked at one by one
 BLOCK, SLICE = 256, 2048  # nodes of a block, elements of a matrix
@@ -430,11 +430,14 @@ def _verify_group(percent: int):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int, pair_bytes: float) -> DataFrame:
-    """The distinct ``(a, b)`` that link.  Pairs meet by their second node, so a pivot's set goes once to each of their groups."""
+    """The distinct ``(a, b)`` that link.  Pairs meet by their second node, so a pivot's set goes once to each of their groups.
+
+    Both sides of the join grow with the corpus, so it is a sort-merge join at every size.
+    """
     groups = max(8, math.ceil(pairs.count() * pair_bytes / PAIR_BYTES))
     pairs = pairs.select(F.pmod(F.xxhash64("b"), F.lit(groups)).cast("int").alias("q"), "a", "b")
     need = pairs.select("q", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = need.join(nodes.select("node", "n", "shared"), "node").select((F.col("q") + 0).alias("at"), "node", "n", "shared")
+    sets = need.join(nodes.select("node", "n", "shared").hint("merge"), "node").select((F.col("q") + 0).alias("at"), "node", "n", "shared")
     return sets.groupBy("at").cogroup(pairs.groupBy("q")).applyInArrow(_verify_group(percent), "a long, b long")
 
 
@@ -448,8 +451,8 @@ def similar_sets(nodes: DataFrame, percent: int) -> DataFrame:
     buckets = max(8, -(-8 * total // (1 << 20)))
     pair_bytes, labels = 16 * total / count, None
     for step in range(3):
-        own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"))
-        sent = own.mapInArrow(_signature_rows(limits, percent, buckets, step), SIGNATURE_DDL)
+        own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.hint("merge").join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"))
+        sent = own.mapInArrow(words.tidy(_signature_rows(limits, percent, buckets, step)), SIGNATURE_DDL)
         found = keep(sent.groupBy("bucket").applyInArrow(_candidates(percent, step), "kind byte, a long, b long").distinct(), "candidates")
         links = keep(verified(found.where(f"kind = {PAIRS}").select("a", "b"), nodes, percent, pair_bytes), "links")
         if step == 2:
@@ -492,7 +495,7 @@ def _in_blocks(edges: DataFrame, nodes: DataFrame, labels: DataFrame, percent: i
     left, right = size.where("apart").alias("x"), size.alias("y")
     tasks = left.join(right, "cluster").where("not y.apart or x.block <= y.block").where(f"{percent} * y.low_n <= 100 * x.high_n and {percent} * x.low_n <= 100 * y.high_n").select(F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     data = lambda k: packs.select(F.col("block").alias(k), F.col("data").alias(f"data_{k}"))
-    return tasks.join(data("i"), "i").join(data("j"), "j").select("data_i", "data_j").mapInArrow(_compare_blocks(percent), "a long, b long")
+    return tasks.join(data("i"), "i").join(data("j"), "j").select("data_i", "data_j").mapInArrow(words.tidy(_compare_blocks(percent)), "a long, b long")
 
 
 def _pack_block(table: pa.Table) -> pa.Table:
@@ -553,14 +556,14 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(rows)
     node_fields = "node long, n int, shared array<bigint>"
-    entries = rows.mapInArrow(_shingle_rows(n, buckets), packed.DDL)
+    entries = rows.mapInArrow(words.tidy(_shingle_rows(n, buckets)), packed.DDL)
     hits = keep(packed.by_bucket(entries, _shared(buckets)), "shared-shingles")
     member = hits.where(f"kind = {packed.MEMBER}").select("keys", "extra", "sizes")
     members = keep(member.mapInArrow(_member_rows, "doc_id long, n_shingles long, node long"), "members")
     nodes = keep(packed.by_bucket(hits.where(f"kind = {packed.DONE}"), _nodes(percent), node_fields), "shared-nodes")
     discard(hits)
     for _ in range(NARROWINGS):  # shingles whose other owners are gone aren't shared any more
-        entries = nodes.mapInArrow(_node_rows(buckets), packed.DDL)
+        entries = nodes.mapInArrow(words.tidy(_node_rows(buckets)), packed.DDL)
         fewer = keep(packed.by_bucket(packed.by_bucket(entries, _shared(buckets)), _nodes(percent), node_fields), "shared-nodes")
         discard(nodes)
         nodes = fewer

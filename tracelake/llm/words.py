@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ import xxhash
 
 U64 = np.uint64
 _libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):  # freed arrays above 4 MB go back to the system at once (M_MMAP_THRESHOLD)
+    _libc.mallopt(-3, 4 << 20)
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
@@ -79,7 +81,19 @@ def give_back() -> None:
         trim(0)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 48 << 20) -> Iterator[pa.RecordBatch]:
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, followed by ``give_back`` when the task ends."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that one holds few bytes, whatever the length of single texts."""
     for batch in batches:
         if batch.num_rows <= 1 or batch.nbytes <= most_bytes:
