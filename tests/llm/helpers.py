@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CLASHING = ("id", "t", "words", "h", "text_hash", "found", "node", "places", "_i", "value", "bucket", "n", "src", "keys")
+CLASHING = ("id", "t", "words", "h", "text_hash", "found", "node", "_i", "value", "bucket", "n", "src", "keys", "shard", "_row", "_key", "label", "sig", "a", "b", "q", "at", "host", "line", "often", "places", "kept")
 
 
 def sha(x: str) -> str:
