@@ -301,11 +301,22 @@ def _mixed(g: Nodes) -> np.ndarray:
 
 
 def _edges(g: Nodes, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the first node of each of the groups to its others."""
+    """Edges that connect the nodes of each of the groups: from a component's first node to its others."""
     x = g.own[np.repeat(g.at[which], g.times[which])]
     y = g.own[_members(g)[np.repeat(which, g.times)]]
-    good = x != y
-    return _distinct(x[good], y[good], max(1, len(g.node)))
+    x, y = _distinct(np.minimum(x, y), np.maximum(x, y), max(1, len(g.node)))
+    first = np.arange(len(g.node))
+    while True:
+        low = np.minimum(first[x], first[y])
+        after = first.copy()
+        np.minimum.at(after, x, low)
+        np.minimum.at(after, y, low)
+        after = after[after]
+        if (after == first).all():
+            break
+        first = after
+    joined = np.flatnonzero(first != np.arange(len(first)))
+    return first[joined], joined
 
 
 def open_pairs(g: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,6 +361,7 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int):
         for batch in batches:
             for a in range(0, batch.num_rows, SIGNATURE_NODES):
                 part = batch.slice(a, SIGNATURE_NODES)
+                part = part.take(pa.compute.sort_indices(part.column(0)))  # so that edges start at the smallest node
                 node, n, label = (np.asarray(part.column(i)) for i in (0, 1, 3))
                 sets = [np.asarray(x.values) for x in part.column(2)]
                 sigs = [signatures(int(k), x, limits, percent) for k, x in zip(n, sets)]
