@@ -67,6 +67,7 @@ def test_components_around_the_threshold(spark, monkeypatch):
     """A chain and a crowd of near misses, with small blocks and groups so that every path is taken."""
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "STAR_SIGNATURES", 3)  # leaves more to the last round
     r = random.Random(3)
     base, rows = [f"b{i}" for i in range(130)], []
     for i in range(90):

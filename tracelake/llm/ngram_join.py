@@ -18,9 +18,11 @@ Method (PartEnum, after Arasu, Ganti and Kaushik, "Efficient exact set-similarit
    are made anew from the nodes for each round, so no table of them is ever written.  Nodes
    that share one are verified against the group's smallest node, exactly; links give
    components.  In a second round the smallest node of a group's second component is the
-   pivot.  Both rounds reduce a signature within each chunk first, so one that millions of
-   nodes share reaches its bucket as one node a chunk.
-5. Groups that still hold several components are searched whole: those of at most
+   pivot.  Both rounds need not find every pair, so they take each node's smallest
+   signatures only, which similar nodes have in common; and they reduce a signature within
+   each chunk first, so one that millions of nodes share reaches its bucket as one node a
+   chunk.
+5. By all signatures, groups that still hold several components are searched whole: those of at most
    ``SMALL_GROUP`` nodes pair by pair, larger ones block against block, where nodes of a
    cluster's largest component need no comparison with each other.  A group of copies thus
    costs its length, not its square.
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,7 @@ CHUNK_WORDS = 1_000_000
 NARROWINGS = 2
 SMALL_GROUP = 32  # nodes of a signature's group up to which its pairs are looked at one by one
 BLOCK, SLICE = 256, 2048  # nodes of a block, elements of a matrix
+STAR_SIGNATURES = 64  # smallest signatures of a node that the first two rounds use; the last uses all
 SIGNATURE_NODES = 1024  # nodes of a chunk of signatures
 PAIR_BYTES = 8 << 20  # of sets that are verified in one group, on average
 BLOCK_FIELDS = "cluster long, apart boolean, block string, low_n int, high_n int, data binary"
@@ -364,7 +368,9 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int):
                 part = part.take(pa.compute.sort_indices(part.column(0)))  # so that edges start at the smallest node
                 node, n, label = (np.asarray(part.column(i)) for i in (0, 1, 3))
                 sets = [np.asarray(x.values) for x in part.column(2)]
-                sigs = [signatures(int(k), x, limits, percent) for k, x in zip(n, sets)]
+                sigs = [words.mix(signatures(int(k), x, limits, percent)) for k, x in zip(n, sets)]
+                if step < 2:
+                    sigs = [np.partition(x, STAR_SIGNATURES)[:STAR_SIGNATURES] if len(x) > STAR_SIGNATURES else x for x in sigs]
                 own = np.repeat(np.arange(len(node)), list(map(len, sigs)))
                 g = Nodes(node, n, np.array(list(map(len, sets))), label, np.concatenate(sigs), own)
                 if step < 2:
@@ -386,9 +392,15 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int):
 
 
 def _candidates(percent: int, step: int):
-    """All packed rows of a bucket -> (kind, a, b): pairs to verify, and edges of large groups in the last round."""
+    """All packed rows of a bucket -> (kind, a, b): pairs to verify, and edges of large groups in the last round; each once a task."""
+    told: dict[int, set] = {}
 
     def run(table: pa.Table) -> pa.Table:
+        task = TaskContext.get().taskAttemptId()
+        if task not in told:
+            told.clear()
+            told[task] = set()
+        seen = told[task]
         kinds, xs, ys = [], [], []
 
         def put(kind: int, x: np.ndarray, y: np.ndarray) -> None:
@@ -417,7 +429,8 @@ def _candidates(percent: int, step: int):
             put(PAIRS, node[x], node[y])
             x, y = _edges(g, _mixed(g) & (g.times > SMALL_GROUP))
             put(EDGES, node[x], node[y])
-        return pa.table({"kind": pa.array(np.concatenate(kinds)), "a": pa.array(np.concatenate(xs)), "b": pa.array(np.concatenate(ys))})
+        new = [t for t in zip(np.concatenate(kinds).tolist(), np.concatenate(xs).tolist(), np.concatenate(ys).tolist()) if t not in seen and not seen.add(t)]
+        return pa.table({k: pa.array([t[i] for t in new], kind) for i, (k, kind) in enumerate((("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())))})
 
     return run
 
