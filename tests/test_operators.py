@@ -183,3 +183,37 @@ def test_every_twentieth_vector_is_searched(spark):
     got = registry.queries()["cosine_topk_blocks"](spark, "/root/testdata/sf0.001").groupBy("query_id").count().collect()
     n = registry.read(spark, "/root/testdata/sf0.001", "embeddings").where("vec_id % 20 = 0").count()
     assert len(got) == n and all(x["count"] == 5 for x in got)
+
+
+def test_rewards_run_only_on_their_rows(spark):
+    from tracelake.functions import rewards
+
+    def strict(solution, truth):
+        if solution != "mine":
+            raise ValueError("foreign row")
+        return 1.0
+
+    df = spark.createDataFrame([("a1", "mine", "t", None), ("b1", "other", "t", None), ("zz", "x", "t", 0.25)], "data_source string, solution string, ground_truth string, rm_score double")
+    got = {r.data_source: r.score for r in rewards.scored(df, {"a": strict, "b": lambda s, t: 0.5}).collect()}
+    assert got == {"a1": 1.0, "b1": 0.5, "zz": 0.25}
+    with pytest.raises(Exception):
+        rewards.scored(df.withColumn("rm_score", F.lit(None).cast("double")), {"a": strict}).collect()
+
+
+def test_controllers_by_kind():
+    value, step = controllers.controller("fixed", 0.3)
+    assert step(value, 9.0, 4) == 0.3
+    value, step = controllers.controller("adaptive", 0.3, 0.1, 100.0)
+    assert step(value, 0.2, 10) == pytest.approx(0.3 * (1 + 0.2 * 10 / 100))
+    for bad in (("other", 1.0), ("adaptive", 1.0, 0.1, 0.0)):
+        with pytest.raises(ValueError):
+            controllers.controller(*bad)
+
+
+def test_suffix_sums_and_majority_by_equality(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(5)] + [(2, 0, 7.0)], "s int, at int, r double")
+    got = {(r.s, r.at): r.returns for r in advantage.suffix_returns(df, "s", [F.col("at")], F.col("r")).collect()}
+    assert got == {(1, 0): 10.0, (1, 1): 10.0, (1, 2): 9.0, (1, 3): 7.0, (1, 4): 4.0, (2, 0): 7.0}
+    votes = spark.createDataFrame([(1, "1/2", 1), (1, "0.5", 2), (1, "3", 3), (2, "x", 5), (2, "y", 4), (3, None, 1), (3, None, 2), (3, "1", 3)], "p int, a string, at int")
+    same = lambda x, y: {x, y} == {"1/2", "0.5"}
+    assert sorted(map(tuple, evaluation.majority_by_equality(votes, "p", "a", "at", same).collect())) == [(1, "1/2", 2), (2, "y", 1), (3, None, 2)]

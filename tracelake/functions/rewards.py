@@ -71,10 +71,13 @@ def scored(df: DataFrame, table: dict[str, Reward], source: str = "data_source",
 
     ship_package(df.sparkSession)
     score = F.col(ready) if ready in df.columns else F.lit(None).cast("double")
-    chain = F.when(score.isNotNull(), score)
-    for prefix, reward in table.items():
-        chain = chain.when(F.col(source).startswith(prefix), answers.apply(reward, "double")(F.col(solution), F.col(truth)))
-    return df.withColumn(out, chain.otherwise(F.raise_error(F.lit("no reward for this source")).cast("double")))
+    known = F.lit(None).cast("int")
+    for i, prefix in reversed(list(enumerate(table))):  # the first prefix that fits
+        known = F.when(F.col(source).startswith(prefix), i).otherwise(known)
+    chosen = list(table.values())
+    # one function for all: Spark runs a Python function on every row, whatever condition stands around it
+    graded = answers.apply(lambda i, s, t: None if i is None else float(chosen[int(i)](s, t)), "double")(F.when(score.isNull(), known), F.col(solution), F.col(truth))
+    return df.withColumn(out, F.when(score.isNotNull(), score).when(known.isNotNull(), graded).otherwise(F.raise_error(F.lit("no reward for this source")).cast("double")))
 
 
 def masked_outputs(text: str, mask: list[int], encode: Callable[[str], list[int]]) -> list[int]:

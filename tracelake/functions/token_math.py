@@ -209,3 +209,15 @@ def stacked_pair(chosen: Column, rejected: Column, length: int, pad: int) -> Col
 def causal_mask(mask: Column) -> Column:
     """For each query place, which key places it sees: earlier or equal, and valid."""
     return F.transform(mask, lambda q, i: F.transform(mask, lambda k, j: F.when(j <= i, k).otherwise(0)))
+
+
+def actor_loss(policy: Column, entropy: Column, entropy_weight: float, divergence: Column | None = None, divergence_weight: float = 0.0) -> Column:
+    """The actor's loss: policy loss less weighted entropy, plus weighted divergence from the reference model if given."""
+    out = policy - entropy * F.lit(float(entropy_weight))
+    return out if divergence is None else out + divergence * F.lit(float(divergence_weight))
+
+
+def sft_loss(logprobs: Column, mask: Column) -> Column:
+    """Mean negative log-probability of the labelled tokens; the first place of ``mask`` belongs to no prediction."""
+    shifted = F.slice(mask, 2, F.size(mask))
+    return -masked_mean(F.slice(logprobs, 1, F.size(shifted)), shifted)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import token_math
+
 
 def group_relative(df: DataFrame, group: str = "uid", reward: str = "reward", out: str = "advantage", epsilon: float = 1e-6) -> DataFrame:
     """``(reward - mean) / (sample std + epsilon)`` within a group; alone in a group: mean 0, std 1."""
@@ -31,11 +33,23 @@ def tiled(df: DataFrame, value: str, mask: str, out: str) -> DataFrame:
 
 
 def suffix_returns(df: DataFrame, sequence: str, order: list[Column], reward: Column, out: str = "returns") -> DataFrame:
-    """Sum of rewards from each position to the sequence's end."""
-    w = Window.partitionBy(sequence).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """Sum of rewards from each position to the sequence's end; a running sum from the end, so linear in its length."""
+    w = Window.partitionBy(sequence).orderBy(*(c.desc() for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(out, F.sum(reward).over(w))
 
 
+def with_kl_penalty(df: DataFrame, scores: str, logp: str, ref: str, mask: str, beta: Column | float, kind: str = "kl", out: str = "rewards") -> DataFrame:
+    """Token rewards ``scores - beta * divergence`` on valid tokens, and each sequence's mean divergence ``sequence_kl``.
+
+    All four are arrays of one length; a sequence without a valid token has a null mean.
+    """
+    weight = beta if isinstance(beta, Column) else F.lit(float(beta))
+    divergence = F.transform(F.arrays_zip(F.col(logp).alias("l"), F.col(ref).alias("r"), F.col(mask).alias("m")), lambda x: token_math.kl(x["l"], x["r"], kind) * x["m"])
+    df = df.withColumn("_kl", divergence)
+    rewards = F.zip_with(scores, "_kl", lambda s, d: s - weight * d)
+    return df.withColumn(out, rewards).withColumn("sequence_kl", token_math.masked_mean(F.col("_kl"), F.col(mask))).drop("_kl")
+
+
 def with_baseline(df: DataFrame, baselines: DataFrame, key: str, returns: str = "returns", baseline: str = "baseline", mask: Column | None = None, out: str = "advantage") -> DataFrame:
     """Returns less the prompt's baseline on valid tokens."""
     mask = F.lit(1.0) if mask is None else mask

@@ -83,13 +83,12 @@ def repeat(df: DataFrame, n: int, interleave: bool = True, key: str = "row_id",
 
 def pad_to_divisor(df: DataFrame, k: int, key: str = "row_id") -> DataFrame:
     """Recycle leading rows until the count divides by ``k``; added rows have ``is_pad``."""
-    n = df.count()
-    pad = -n % k
-    out = df.withColumn("is_pad", F.lit(False))
-    if not n or not pad:
-        return out
-    more = df.where(F.col(key) < min(pad, n)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit((pad - 1) // n)))).withColumn("_at", F.col("_r") * n + F.col(key)).where(F.col("_at") < pad)
-    return out.unionByName(more.withColumn(key, F.col("_at") + n).withColumn("is_pad", F.lit(True)).drop("_r", "_at"))
+    total = F.broadcast(df.agg(F.count("*").alias("_n")))  # one row
+    more = df.crossJoin(total).withColumn("_pad", F.pmod(-F.col("_n"), F.lit(k)))
+    times = F.when(F.col("_pad") > F.col(key), F.floor((F.col("_pad") - F.col(key) - 1) / F.col("_n")))  # beyond the first
+    more = more.where("_pad > 0").withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), times)))
+    more = more.withColumn(key, F.col("_r") * F.col("_n") + F.col(key) + F.col("_n")).drop("_r", "_n", "_pad")
+    return df.withColumn("is_pad", F.lit(False)).unionByName(more.withColumn("is_pad", F.lit(True)))
 
 
 def unpad(df: DataFrame) -> DataFrame:
@@ -170,8 +169,8 @@ def inverse(permutation: DataFrame) -> DataFrame:
 
 def keep_multiple(df: DataFrame, k: int, key: str = "row_id") -> DataFrame:
     """The longest prefix whose count divides by ``k``."""
-    n = df.count()
-    return df.where(F.col(key) < n // k * k)
+    total = F.broadcast(df.agg(F.count("*").alias("_n")))  # one row
+    return df.crossJoin(total).where(F.col(key) < F.col("_n") - F.col("_n") % k).drop("_n")
 
 
 def index_range(df: DataFrame, start: int = 0, end: int = -1, key: str = "row_id") -> DataFrame:

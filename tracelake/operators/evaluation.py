@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,32 @@ def clustered_majority(problem_answers: list[str], same) -> str | None:
     return max(groups, key=len)[0] if groups else None
 
 
+def majority_by_equality(attempts: DataFrame, problem: str, answer: str, order: str, same: Callable[[str, str], bool]) -> DataFrame:
+    """Majority of each problem under an equality that is no key: ``problem, majority, votes``.
+
+    Equal texts are counted first, so a task sees a problem's distinct answers only; they
+    join the first group whose first member equals them, in the order they came (``order``,
+    a whole number).  The largest group wins, of equals the earliest, with its first answer.
+    A null answer equals itself only.
+    """
+    ship_package(attempts.sparkSession)
+    texts = attempts.groupBy(F.col(problem).alias("problem"), F.col(answer).cast("string").alias("answer")).agg(F.count("*").alias("votes"), F.min(F.col(order).cast("long")).alias("first"))
+    kind = dict(texts.dtypes)["problem"]
+
+    def choose(table: pa.Table) -> pa.Table:
+        groups: list[list] = []
+        for r in table.sort_by("first").to_pylist():
+            found = next((g for g in groups if g[0] == r["answer"] or None not in (g[0], r["answer"]) and same(g[0], r["answer"])), None)
+            if found:
+                found[1] += r["votes"]
+            else:
+                groups.append([r["answer"], r["votes"]])
+        best = max(groups, key=lambda g: g[1])
+        return pa.table({"problem": table["problem"].slice(0, 1), "majority": pa.array([best[0]], pa.string()), "votes": pa.array([best[1]], pa.int64())})
+
+    return texts.groupBy("problem").applyInArrow(choose, f"problem {kind}, majority string, votes long").withColumnRenamed("problem", problem)
+
+
 def lengths_by_correctness(attempts: DataFrame, source: str, correct: Column, length: str) -> DataFrame:
     """Pooled mean lengths of right, wrong and all attempts; -1 where there is none."""
     mean = lambda c: F.coalesce(F.avg(F.when(c, F.col(length))), F.lit(MISSING))

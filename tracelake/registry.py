@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import answers, blocks, rewards, token_math
+from .functions import answers, blocks, rewards, symbolic, token_math
 from .operators import advantage, balance, batch, evaluation
 from .plans import exchange, loop, prep
 from .plans.ship import ship_package
@@ -427,17 +427,36 @@ def kl_controller(spark, sf):
 # --- retrieval ---
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding::double[], v.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 10)
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding::double[], v.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[]))) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, {g('score')} AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def cosine_topk(spark, sf):
     e = read(spark, sf, "embeddings")
-    return evaluation.cosine_top_k(e, e.where("vec_id < 10"), 5).withColumn("score", grid(F.col("score")))
+    return evaluation.cosine_top_k_blocks(e, e.where("vec_id % 20 = 0"), 5).withColumn("score", grid(F.col("score"))).select("query_id", "vec_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-@query()
-def cosine_topk_blocks(spark, sf):
-    e = read(spark, sf, "embeddings")
-    return evaluation.cosine_top_k_blocks(e, e.where("vec_id % 20 = 0"), 5).withColumn("score", grid(F.col("score")))
+@query("""WITH a AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS v, CASE WHEN o_orderkey % 2 = 0 THEN CAST(2 * (o_orderkey % 3) AS VARCHAR) || '/2' ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS t FROM orders),
+n AS (SELECT o_custkey, v, count(*) AS votes, min(o_orderkey) AS f, arg_min(t, o_orderkey) AS t FROM a GROUP BY ALL)
+SELECT o_custkey, t AS majority, votes FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY votes DESC, f) AS r FROM n) WHERE r = 1""")
+def majority_symbolic(spark, sf):
+    v = F.col("o_orderkey") % 3
+    a = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat((2 * v).cast("string"), F.lit("/2"))).otherwise(v.cast("string")).alias("answer"))
+    return evaluation.majority_by_equality(a, "o_custkey", "answer", "o_orderkey", symbolic.equal_expressions)
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS l, list_transform(list_reverse(embedding), lambda x: x::double) AS r, list_transform(range(len(embedding)), lambda i: CASE WHEN i % 3 = 0 THEN 0.0::double ELSE 1.0::double END) AS m FROM embeddings),
+k AS (SELECT vec_id, list_transform(list_zip(l, r, m), lambda x: (x[1] - x[2]) * x[3]) AS d, l, m FROM v)
+SELECT vec_id, {g('list_sum(list_transform(list_zip(l, d), lambda x: x[1] - 0.1::double * x[2]))')} AS reward, {g('list_sum(d) / list_sum(m)')} AS sequence_kl FROM k""")
+def kl_penalty_rewards(spark, sf):
+    d = read(spark, sf, "embeddings").select("vec_id", vector().alias("l"), F.reverse(vector()).alias("r"), F.transform("embedding", lambda _, i: F.when(i % 3 == 0, 0.0).otherwise(1.0)).alias("m"))
+    out = advantage.with_kl_penalty(d, "l", "l", "r", "m", 0.1)
+    return out.select("vec_id", grid(token_math.masked_sum(F.col("rewards"), F.transform("m", lambda _: F.lit(1.0)))).alias("reward"), grid(F.col("sequence_kl")).alias("sequence_kl"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings), s AS (SELECT vec_id, e, list_filter(range(1, len(e)), lambda i: i % 4 <> 0) AS w FROM v)
+SELECT vec_id, {g('-list_sum(list_transform(w, lambda i: e[i])) / len(w)')} AS sft_loss, {g('e[1] - 0.01::double * e[2] + 0.001::double * e[3]')} AS actor_loss FROM s""")
+def training_losses(spark, sf):
+    d = read(spark, sf, "embeddings").select("vec_id", vector().alias("v"), F.transform("embedding", lambda _, i: F.when(i % 4 == 0, 0.0).otherwise(1.0)).alias("m"))
+    return d.select("vec_id", grid(token_math.sft_loss(F.col("v"), F.col("m"))).alias("sft_loss"), grid(token_math.actor_loss(F.col("v")[0], F.col("v")[1], 0.01, F.col("v")[2], 0.001)).alias("actor_loss"))
 
 
 # --- text ---

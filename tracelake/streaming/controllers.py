@@ -5,7 +5,7 @@ These extend the batch engine; batch results are the reference.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,3 +51,12 @@ def kl_fold(steps: DataFrame, initial: float, target: float, horizon: float) ->
 def running_average(attempts: DataFrame) -> DataFrame:
     """A stream of graded attempts -> attempts and mean correctness by source so far (update or complete mode)."""
     return attempts.groupBy("source").agg(F.count("*").alias("attempts"), F.avg(F.col("correct").cast("double")).alias("mean"))
+
+
+def controller(kind: str, coefficient: float, target: float = 0.1, horizon: float = 10000.0) -> tuple[float, Callable[[float, float, float], float]]:
+    """A KL controller's first coefficient and its step ``(coefficient, divergence, samples) -> coefficient``, of kind ``fixed`` or ``adaptive``."""
+    if kind == "fixed":
+        return coefficient, lambda value, current, n: value
+    if kind == "adaptive" and horizon > 0:
+        return coefficient, lambda value, current, n: adaptive_kl_value(value, current, target, n, horizon)
+    raise ValueError(f"no controller {kind!r} with horizon {horizon}")
