@@ -323,9 +323,9 @@ def _edges(g: Nodes, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[joined], joined
 
 
-def open_pairs(g: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def open_pairs(g: Nodes, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of different labels in small groups."""
-    small = np.flatnonzero(_mixed(g) & (g.times <= SMALL_GROUP))
+    small = np.flatnonzero(_mixed(g) & (g.times <= least))
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for t in np.unique(g.times[small]).tolist():
         own = g.own[g.at[small[g.times[small] == t]][:, None] + np.arange(t)]
@@ -340,14 +340,14 @@ def open_pairs(g: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return x[good], y[good]
 
 
-def _spokesmen(g: Nodes) -> np.ndarray:
-    """Entries that stand for their groups in the last round: all of small ones; of larger ones just over ``SMALL_GROUP``, of two labels where there are two."""
-    small = np.repeat(g.times <= SMALL_GROUP, g.times)
+def _spokesmen(g: Nodes, least: int) -> np.ndarray:
+    """Entries that stand for their groups in the last round: all of small ones; of larger ones just over ``least``, of two labels where there are two."""
+    small = np.repeat(g.times <= least, g.times)
     places = _members(g)
     rest = [np.zeros(0, np.int64)]
-    for a, t in zip(g.at[g.times > SMALL_GROUP].tolist(), g.times[g.times > SMALL_GROUP].tolist()):
+    for a, t in zip(g.at[g.times > least].tolist(), g.times[g.times > least].tolist()):
         label = g.label[g.own[a : a + t]]
-        rest.append(a + np.unique(np.append(np.arange(SMALL_GROUP + 1), int(np.argmax(label != label[0])))))
+        rest.append(a + np.unique(np.append(np.arange(least + 1), int(np.argmax(label != label[0])))))
     return np.concatenate((np.flatnonzero(g.single), places[small], *rest))
 
 
@@ -358,7 +358,7 @@ def _packed_pairs(kind: int, node: np.ndarray, x: np.ndarray, y: np.ndarray, buc
     return [{"kind": kind, "bucket": to, "sigs": packed.planes(node[x]), "nodes": packed.planes(node[y])}]
 
 
-def _signature_rows(limits: list[int], percent: int, buckets: int, step: int):
+def _signature_rows(limits: list[int], percent: int, buckets: int, step: int, least: int, few: int):
     """Packed signatures of nodes ``(node, n, shared, label)``, reduced in each chunk; ``step`` counts the rounds, 2 is the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,15 +370,15 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int):
                 sets = [np.asarray(x.values) for x in part.column(2)]
                 sigs = [words.mix(signatures(int(k), x, limits, percent)) for k, x in zip(n, sets)]
                 if step < 2:
-                    sigs = [np.partition(x, STAR_SIGNATURES)[:STAR_SIGNATURES] if len(x) > STAR_SIGNATURES else x for x in sigs]
+                    sigs = [np.partition(x, few)[:few] if len(x) > few else x for x in sigs]
                 own = np.repeat(np.arange(len(node)), list(map(len, sigs)))
                 g = Nodes(node, n, np.array(list(map(len, sets))), label, np.concatenate(sigs), own)
                 if step < 2:
                     x, y, send = stars(g, percent, step == 1)
                     out = _packed_pairs(PAIRS, node, x, y, buckets)
                 else:
-                    send = _spokesmen(g)
-                    out = _packed_pairs(EDGES, node, *_edges(g, g.times > SMALL_GROUP), buckets)
+                    send = _spokesmen(g, least)
+                    out = _packed_pairs(EDGES, node, *_edges(g, g.times > least), buckets)
                 send = send[np.argsort(g.sigs[send], kind="stable")]
                 keys, ords = g.sigs[send], g.own[send]
                 which, bounds = packed.cut(keys, buckets)
@@ -391,7 +391,7 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int):
     return run
 
 
-def _candidates(percent: int, step: int):
+def _candidates(percent: int, step: int, least: int):
     """All packed rows of a bucket -> (kind, a, b): pairs to verify, and edges of large groups in the last round; each once a task."""
     told: dict[int, set] = {}
 
@@ -425,9 +425,9 @@ def _candidates(percent: int, step: int):
             x, y, _ = stars(g, percent, step == 1)
             put(PAIRS, node[x], node[y])
         else:
-            x, y = open_pairs(g, percent)
+            x, y = open_pairs(g, percent, least)
             put(PAIRS, node[x], node[y])
-            x, y = _edges(g, _mixed(g) & (g.times > SMALL_GROUP))
+            x, y = _edges(g, _mixed(g) & (g.times > least))
             put(EDGES, node[x], node[y])
         new = [t for t in zip(np.concatenate(kinds).tolist(), np.concatenate(xs).tolist(), np.concatenate(ys).tolist()) if t not in seen and not seen.add(t)]
         return pa.table({k: pa.array([t[i] for t in new], kind) for i, (k, kind) in enumerate((("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())))})
@@ -477,8 +477,8 @@ def similar_sets(nodes: DataFrame, percent: int) -> DataFrame:
     pair_bytes, labels = 16 * total / count, None
     for step in range(3):
         own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.hint("merge").join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"))
-        sent = own.mapInArrow(words.tidy(_signature_rows(limits, percent, buckets, step)), SIGNATURE_DDL)
-        found = keep(sent.groupBy("bucket").applyInArrow(_candidates(percent, step), "kind byte, a long, b long").distinct(), "candidates")
+        sent = own.mapInArrow(words.tidy(_signature_rows(limits, percent, buckets, step, SMALL_GROUP, STAR_SIGNATURES)), SIGNATURE_DDL)
+        found = keep(sent.groupBy("bucket").applyInArrow(_candidates(percent, step, SMALL_GROUP), "kind byte, a long, b long").distinct(), "candidates")
         links = keep(verified(found.where(f"kind = {PAIRS}").select("a", "b"), nodes, percent, pair_bytes), "links")
         if step == 2:
             more = keep(_in_blocks(found.where(f"kind = {EDGES}").select("a", "b"), nodes, labels, percent), "links")
