@@ -58,7 +58,7 @@ def competition_score(solution: str | None, truth: str | None) -> float:
 
     try:
         return float(form(given) == form(truth))
-    except (answers.Unreadable, IndexError):
+    except answers.Unreadable:
         return float(given == truth)
 
 
