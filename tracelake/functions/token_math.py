@@ -221,3 +221,36 @@ def sft_loss(logprobs: Column, mask: Column) -> Column:
     """Mean negative log-probability of the labelled tokens; the first place of ``mask`` belongs to no prediction."""
     shifted = F.slice(mask, 2, F.size(mask))
     return -masked_mean(F.slice(logprobs, 1, F.size(shifted)), shifted)
+
+
+def unpadded(values: Column, mask: Column) -> Column:
+    """The masked elements and their places: ``values, places``."""
+    seen = lambda i: F.get(mask, i) == 1
+    places = F.filter(F.transform(mask, lambda _, i: i), seen)
+    return F.struct(F.filter(values, lambda _, i: seen(i)).alias("values"), places.alias("places"))
+
+
+def repadded(values: Column, places: Column, width: Column, fill) -> Column:
+    """``values`` at their ascending ``places`` in an array of ``width``, ``fill`` elsewhere."""
+    gaps = F.transform(places, lambda p, i: p - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1)
+    head = F.flatten(F.zip_with(gaps, values, lambda n, v: F.concat(F.array_repeat(F.lit(fill), n.cast("int")), F.array(v))))
+    return F.concat(head, F.array_repeat(F.lit(fill), (width - F.size(head)).cast("int")))
+
+
+def last_token_moved(values: Column, positions: Column, mask: Column) -> Column:
+    """The value at the mask's last 1 (the first place without one), put at the largest masked position; 0 elsewhere."""
+    behind = F.array_position(F.reverse(mask), F.lit(1))
+    source = F.when(behind > 0, F.size(mask) - behind).otherwise(0).cast("int")
+    target = last_valid_index(positions, mask)
+    return F.transform(values, lambda _, i: F.when(i == target, F.get(values, source)).otherwise(_zero()))
+
+
+def sampled_token(logits: Column, seed: int, key: Column) -> Column:
+    """A token drawn from the softmax by its largest logit with Gumbel noise, which depends on seed, key and place alone."""
+    uniform = lambda i: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, i), 11) + 0.5) / float(1 << 53)
+    return argmax(F.transform(logits, lambda x, i: x - F.ln(-F.ln(uniform(i)))))
+
+
+def next_token(logits: Column, do_sample: Column, seed: int, key: Column) -> Column:
+    """Sampled where the row asks for it, else the likeliest."""
+    return F.when(do_sample, sampled_token(logits, seed, key)).otherwise(argmax(logits))

@@ -6,7 +6,7 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,36 @@ def micro_batch_count(df: DataFrame, length: str, most_tokens: int) -> DataFrame
     return df.agg(F.sum(length).cast("long").alias("total")).withColumn("parts", F.ceil(F.col("total") / most_tokens).cast("int"))
 
 
+def micro_batches(df: DataFrame, key: str, length: str, most_tokens: int, batch: str, fewest: int = 1) -> DataFrame:
+    """``(batch, key, part_id, parts)``: each batch dealt to as many parts as an average of ``most_tokens`` needs.
+
+    ``fewest`` is the count that other ranks need, so that all take part in as many steps; a
+    batch never has more parts than rows.  A batch is one optimisation step's rows and a
+    task's work, its rows are keys and lengths only.
+    """
+    from ..plans.ship import ship_package
+
+    ship_package(df.sparkSession)
+    rows = df.select(F.col(batch).alias("batch"), F.col(key).alias("key"), F.col(length).alias("length"))
+
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key", kind="stable").reset_index(drop=True)
+        lengths = part["length"].tolist()
+        part["parts"] = min(len(part), max(fewest, ceil_div(sum(lengths), most_tokens)))
+        part["part_id"] = 0
+        for p, items in enumerate(largest_differencing(lengths, int(part["parts"].iloc[0]))):
+            part.loc[items, "part_id"] = p
+        return part[["batch", "key", "part_id", "parts"]]
+
+    kind = dict(rows.dtypes)
+    return rows.groupBy("batch").applyInPandas(deal, f"batch {kind['batch']}, key {kind['key']}, part_id int, parts int")
+
+
+def part_order(parts: DataFrame) -> DataFrame:
+    """Rows of dealt parts with ``place``: a batch's rows from 0, part by part."""
+    return parts.withColumn("place", F.row_number().over(Window.partitionBy("batch").orderBy("part_id", "key")) - 1)
+
+
 def balance_stats(df: DataFrame, part: str, length: str) -> DataFrame:
     """Smallest, largest, difference and mean of the parts' totals."""
     sums = df.groupBy(part).agg(F.sum(length).alias("n"))

@@ -208,3 +208,47 @@ def positional_split(df: DataFrame, share: float, total: Column, key: str = "row
 def unpivot_pair(df: DataFrame, first: str, second: str, out: str = "response") -> DataFrame:
     """Two rows a row, ``first`` before ``second``, with their place."""
     return df.select("*", F.posexplode(F.array(first, second)).alias("place", out)).drop(first, second)
+
+
+def lists(df: DataFrame, columns: list[str], order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """Rows to one ordered list a column, for each group of ``by``."""
+    item = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order)), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)))
+    one = df.groupBy(*(by or [])).agg(F.sort_array(F.collect_list(item)).alias("_l"))
+    return one.select(*(by or []), *(F.col(f"_l._c{i}").alias(c) for i, c in enumerate(columns)))
+
+
+def consistent(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows; the query fails where a row's arrays differ in length."""
+    first, *rest = columns
+    same = F.lit(True)
+    for c in rest:
+        same = same & F.size(first).eqNullSafe(F.size(c))
+    return df.withColumn(first, F.when(same, F.col(first)).otherwise(F.raise_error(F.lit(f"lengths of {columns} differ")).cast(df.schema[first].dataType)))
+
+
+def overridden(values: dict, config: dict) -> dict:
+    """``values`` with those of ``config`` for the keys they have."""
+    return {k: config.get(k, v) for k, v in values.items()}
+
+
+def reduced(metrics: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """The mean of each metric."""
+    return metrics.groupBy(key).agg(F.avg(value).alias("mean"))
+
+
+def rank_batches(df: DataFrame, ranks: int, seed: int, epoch: int = 0, key: str = "row_id", drop_last: bool = True) -> DataFrame:
+    """Rows dealt to ``ranks`` in turn, in an order of seed and epoch: ``at`` is the place, ``rank`` its rank.
+
+    Ranks get equally many: the rest goes with ``drop_last``, else leading rows come again.
+    Keys must differ.
+    """
+    placed = numbered(df, [F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.col(key)], "at")
+    even = keep_multiple(placed, ranks, "at") if drop_last else pad_to_divisor(placed, ranks, "at").drop("is_pad")
+    return even.withColumn("rank", F.pmod("at", F.lit(ranks)).cast("int"))
+
+
+def training_batches(df: DataFrame, size: int, seed: int, multiplier: float = 1.0, epoch: int = 0, key: str = "row_id") -> DataFrame:
+    """Full batches of ``size`` times the over-fetch ``multiplier``, rounded down, in a shuffled order; a last short one goes."""
+    rows = int(size * multiplier)
+    placed = numbered(df, [F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.col(key)], "at")
+    return keep_multiple(placed, rows, "at").withColumn("batch", F.floor(F.col("at") / rows))

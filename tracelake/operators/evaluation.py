@@ -247,3 +247,14 @@ def sharded_entropy(logits: DataFrame, key: str, logit: str) -> DataFrame:
     shifted = logits.join(top, key).withColumn("_e", F.exp(F.col(logit) - F.col("_top")))
     sums = shifted.groupBy(key).agg(F.max("_top").alias("_top"), F.sum("_e").alias("_z"), F.sum(F.col("_e") * F.col(logit)).alias("_x"))
     return sums.select(key, (F.col("_top") + F.ln("_z") - F.col("_x") / F.col("_z")).alias("entropy"))
+
+
+def time_use(runs: DataFrame, seconds: str, by: list[str] | None = None) -> DataFrame:
+    """Mean, population deviation and sum of the time that runs took."""
+    return runs.groupBy(*(by or [])).agg(F.avg(seconds).alias("mean"), F.stddev_pop(seconds).alias("deviation"), F.sum(seconds).alias("total"))
+
+
+def norms(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """The norm over all arrays of each key: partial sums of squares, then one root."""
+    squares = F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return df.groupBy(key).agg(F.sqrt(F.sum(squares)).alias("norm"))

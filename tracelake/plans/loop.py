@@ -8,8 +8,6 @@ one task and the plan stays short.
 
 from __future__ import annotations
 
-import ast
-import operator
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import middle_cut
 from ..functions.blocks import notebook_program
 from ..sources.shared import keep
+from .execute import arithmetic
 from .ship import ship_package
 
 Generate = Callable[[list[str]], list[tuple[str, float, int]]]
@@ -26,39 +25,6 @@ Execute = Callable[[str], tuple[str, str]]
 STOP = "```\n"
 FIELDS = "idx long, query string, logprob double, length long, rounds int, done boolean"
 
-OPERATIONS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg}
-
-
-def arithmetic(code: str) -> tuple[str, str]:
-    """Result and report of a program of assignments and one ``print`` of plain arithmetic; nothing else runs."""
-    names: dict[str, float] = {}
-    out = []
-
-    def value(node):
-        if isinstance(node, ast.Constant) and isinstance(node.value, int | float):
-            return node.value
-        if isinstance(node, ast.Name):
-            return names[node.id]
-        if isinstance(node, ast.BinOp) and type(node.op) in OPERATIONS:
-            return OPERATIONS[type(node.op)](value(node.left), value(node.right))
-        if isinstance(node, ast.UnaryOp) and type(node.op) in OPERATIONS:
-            return OPERATIONS[type(node.op)](value(node.operand))
-        raise ValueError(ast.dump(node))
-
-    if not code.strip():
-        return "", "empty code"
-    try:
-        for line in ast.parse(code).body:
-            if isinstance(line, ast.Assign) and len(line.targets) == 1 and isinstance(line.targets[0], ast.Name):
-                names[line.targets[0].id] = value(line.value)
-            elif isinstance(line, ast.Expr) and isinstance(line.value, ast.Call) and getattr(line.value.func, "id", "") == "print":
-                out.append(" ".join(str(value(a)) for a in line.value.args))
-            else:
-                raise ValueError(ast.dump(line))
-        return "\n".join(out), "Done"
-    except Exception as e:  # noqa: BLE001  whatever the program does wrong is its output
-        return "", f"Error: {type(e).__name__}"
-
 
 def _round(generate: Generate, execute: Execute, last: bool, notice: str, most_length: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

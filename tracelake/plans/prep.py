@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import answers
+from ..functions import answers, token_math
 from ..operators import batch
+from .ship import ship_package
 
 
 def message(role: str, content: Column) -> Column:
@@ -66,6 +69,54 @@ def preference_split(df: DataFrame, share: float = 0.75, key: str = "row_id") ->
     return df.crossJoin(F.broadcast(total)).withColumn("split", F.when(batch.positional_split(df, share, F.col("_n"), key), "train").otherwise("test")).drop("_n")
 
 
+def reward_split(df: DataFrame, share: float = 0.75, key: str = "row_id") -> DataFrame:
+    """Leading rows as ``train``, trailing ones as ``test``.
+
+    The two boundaries are rounded to the closest row each on its own, halves to the even
+    one, so a row may be in both parts or in none.
+    """
+    total = df.agg(F.count("*").alias("_n"))
+    head, tail = F.bround(F.col("_n") * F.lit(share)), F.bround(F.col("_n") * F.lit(1 - share))
+    parts = F.array(F.when(F.col(key) < head, "train"), F.when(F.col(key) >= F.col("_n") - tail, "test"))
+    return df.crossJoin(F.broadcast(total)).withColumn("split", F.explode(F.array_compact(parts))).drop("_n")
+
+
+def prompts(question: Column, kind: Column, templates: dict[str, str], place: str = "{question}") -> Column:
+    """Each question in the template of its row's kind; a kind without one is an error."""
+    out = None
+    for name, template in templates.items():
+        text = F.replace(F.lit(template), F.lit(place), question)
+        out = F.when(kind == name, text) if out is None else out.when(kind == name, text)
+    return out.otherwise(F.raise_error(F.lit("no template for this kind")).cast("string"))
+
+
+def without_pad(texts: Column, pad: str) -> Column:
+    """Texts without a tokenizer's pad token, of an array one a line."""
+    return F.replace(F.concat_ws("\n", texts), F.lit(pad), F.lit(""))
+
+
+def rendered_again(df: DataFrame, ids: str, chat: str, decode: Callable[[list[int]], str], render: Callable[[list[dict]], list[int]], length: int, pad: int, end: str = "") -> DataFrame:
+    """Each chat with its response as the assistant's turn, in another tokenizer's ids: ``input_ids, attention_mask``.
+
+    ``ids`` are decoded by the first tokenizer and lose ``end``; ``render`` gives the whole
+    chat's ids in the second, which are cut and padded at the right to ``length``.
+    """
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<bigint>")
+    def again(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for answers_, asked in batches:
+            out = []
+            for response, turns in zip(answers_, asked):
+                text = decode([] if response is None else list(response)).removesuffix(end)
+                out.append(render([*([] if turns is None else map(dict, turns)), {"role": "assistant", "content": text}])[:length])
+            yield pd.Series(out, dtype=object)
+
+    found = df.withColumn("_ids", again(F.col(ids), F.col(chat)))
+    mask = token_math.pad_to(F.transform("_ids", lambda _: F.lit(1)), length, 0)
+    return found.withColumns({"input_ids": token_math.pad_to(F.col("_ids"), length, pad), "attention_mask": mask}).drop("_ids")
+
+
 def chats(turns: DataFrame, chat: str = "conv_id", order: str = "turn") -> DataFrame:
     """Turns as one ordered array of messages a chat."""
     item = F.struct(F.col(order).alias("o"), F.col("role").alias("role"), F.coalesce("text", F.lit("")).alias("content"))
@@ -118,7 +169,7 @@ def _table_number(text: str) -> float:
 
 
 def question(row: dict, kind: str) -> str:
-    """The question of a raw row of a known kind of set; an error if it has none."""
+    """The question of a raw row of a known kind of set; an error if it has none.  The sentences are fixed values."""
     if kind == "asdiv":
         out = f"{row['body'].strip()} {row['question'].strip()}"
     elif kind == "svamp":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import answers, blocks, rewards, symbolic, token_math
 from .operators import advantage, balance, batch, evaluation
-from .plans import exchange, loop, prep
+from .plans import execute, exchange, loop, prep
 from .plans.ship import ship_package
 from .sources import tables
 from .streaming import controllers
@@ -644,3 +644,106 @@ def causal_attention(spark, sf):
     m = token_math.causal_mask(F.transform("embedding", lambda x: (x > 0).cast("int")))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     return read(spark, sf, "embeddings").select("vec_id", total(F.transform(m, total)).alias("seen"))
+
+
+# --- programs, verdicts and loaders ---
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN '' ELSE CAST(4 * o_custkey AS VARCHAR) END AS printed,
+CASE WHEN o_orderkey % 5 = 0 THEN 'Error: ValueError' WHEN o_orderkey % 7 = 0 THEN 'Timeout Error' ELSE 'Done' END AS report,
+CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN '' ELSE CAST(3 * o_custkey AS VARCHAR) END AS symbol,
+CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN '' ELSE CAST(3 * o_custkey - 1 AS VARCHAR) END AS expression FROM orders""")
+def executed_programs(spark, sf):
+    k, n = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    code = F.when(k % 5 == 0, "import os").when(k % 7 == 0, "a = 9 ** 99999").otherwise(F.concat(F.lit("a = "), n, F.lit("\nb = a * 3\nprint(a + b)")))
+    o = read(spark, sf, "orders").select("o_orderkey", code.alias("code"))
+    o = execute.executed(o, answer="printed", out="p")
+    o = execute.executed(o, answer="symbol", of="b", out="s")
+    o = execute.executed(o, answer="expression", of="b - 1", out="e")
+    return o.select("o_orderkey", F.col("p.result").alias("printed"), F.col("p.report").alias("report"), F.col("s.result").alias("symbol"), F.col("e.result").alias("expression"))
+
+
+def _strict_grade(given: str | None, wanted: str | None) -> bool:
+    """A stand-in grader that can't read every truth."""
+    if wanted == "0":
+        raise ValueError(wanted)
+    return answers.same_expression(given, wanted)
+
+
+@query(f"""WITH v AS (SELECT o_orderpriority AS source, o_orderkey % 6 AS w, (o_orderkey % 6) + (o_custkey % 2) AS h FROM orders)
+SELECT source, count(*) FILTER (w <> 0) AS sample_size, {g("avg(CASE WHEN w = 0 THEN NULL WHEN w = h THEN 1.0::double ELSE 0.0::double END)")} AS accuracy, (SELECT count(*) FROM v WHERE w = 0) AS num_verify_error FROM v GROUP BY source""")
+def verified_accuracy(spark, sf):
+    w = F.col("o_orderkey") % 6
+    o = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("source"), (w + F.col("o_custkey") % 2).cast("string").alias("solution"), w.cast("string").alias("truth"))
+    return execute.verified_report(execute.verified(o, _strict_grade)).withColumn("accuracy", grid(F.col("accuracy")))
+
+
+@query("""SELECT doc_id // 512 AS step, CAST(ceil(sum(n_chars) / 32768.0) AS INT) AS parts, CAST(ceil(sum(n_chars) / 32768.0) AS BIGINT) AS used, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS tokens, CAST(count(*) - 1 AS INT) AS last_place FROM documents GROUP BY 1""")
+def micro_batches(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.floor(F.col("doc_id") / 512).alias("step"))
+    parts = balance.part_order(balance.micro_batches(d, "doc_id", "n_chars", 32768, "step"))
+    one = parts.join(d.select(F.col("doc_id").alias("key"), "n_chars"), "key").groupBy(F.col("batch").alias("step"))
+    return one.agg(F.max("parts").alias("parts"), F.countDistinct("part_id").alias("used"), F.count("*").alias("n"), F.sum("n_chars").alias("tokens"), F.max("place").alias("last_place"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::double[] AS e, vec_id % 3 AS k FROM embeddings)
+SELECT vec_id, len(list_filter(range(len(e)), lambda i: i % 3 <> k)) AS kept, {g('list_sum(list_transform(list_filter(range(len(e)), lambda i: i % 3 <> k), lambda i: e[i + 1] * (i + 1)))')} AS weighted, len(e) AS width FROM v""")
+def unpad_repad(spark, sf):
+    d = read(spark, sf, "embeddings").select("vec_id", vector().alias("v"), F.transform("embedding", lambda _, i: F.when(i % 3 == F.col("vec_id") % 3, 0).otherwise(1)).alias("m"))
+    d = d.withColumn("u", token_math.unpadded(F.col("v"), F.col("m")))
+    d = d.withColumn("r", token_math.repadded(F.col("u.values"), F.col("u.places"), F.size("m"), 0.0))
+    weighted = token_math.masked_sum(F.col("r"), F.transform("r", lambda _, i: (i + 1).cast("double")))
+    return d.select("vec_id", F.size("u.values").cast("long").alias("kept"), grid(weighted).alias("weighted"), F.size("r").cast("long").alias("width"))
+
+
+@query(f"""SELECT vec_id, {g('embedding[64 - vec_id % 5]::double')} AS score, CAST(63 - vec_id % 5 AS INT) AS place FROM embeddings""")
+def last_token_score(spark, sf):
+    m = F.transform("embedding", lambda _, i: F.when(i < 64 - F.col("vec_id") % 5, 1).otherwise(0))
+    d = read(spark, sf, "embeddings").select("vec_id", vector().alias("v"), m.alias("m"), F.transform("embedding", lambda _, i: i).alias("p"))
+    moved = token_math.last_token_moved(F.col("v"), F.col("p"), F.col("m"))
+    d = d.select("vec_id", moved.alias("x"), token_math.last_valid_index(F.col("p"), F.col("m")).alias("place"))
+    return d.select("vec_id", grid(F.col("x")[F.col("place")]).alias("score"), "place")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM customer) SELECT CAST(r AS INT) AS rank, n // 7 AS dropped, (n + 6) // 7 AS recycled FROM n, range(7) t(r)""")
+def rank_batches(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
+    of = lambda drop, name: batch.rank_batches(c, 7, 11, epoch=2, drop_last=drop).groupBy("rank").agg(F.count("*").alias(name))
+    return of(True, "dropped").join(of(False, "recycled"), "rank")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM customer) SELECT CAST(b AS BIGINT) AS batch, CAST(20 AS BIGINT) AS rows FROM n, range(10000000) t(b) WHERE b < n // 20""")
+def training_batches(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
+    return batch.training_batches(c, 16, 11, multiplier=1.25).groupBy("batch").agg(F.count("*").alias("rows"))
+
+
+@query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
+SELECT p_partkey, 'train' AS split FROM r WHERE i < round_even(n * 0.7, 0) UNION ALL SELECT p_partkey, 'test' FROM r WHERE i >= n - round_even(n * 0.3, 0)""")
+def reward_split(spark, sf):
+    p = batch.numbered(read(spark, sf, "part").select("p_partkey"), [F.col("p_partkey")])
+    return prep.reward_split(p, 0.7).select("p_partkey", "split")
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Q: ' || text || ' A:' ELSE text || ' Answer with a program.' END AS prompt FROM benchmark""")
+def typed_prompts(spark, sf):
+    b = read(spark, sf, "benchmark")
+    kind = F.when(F.col("item_id") % 2 == 0, "direct").otherwise("tool")
+    return b.select("item_id", prep.prompts(F.col("text"), kind, {"direct": "Q: {question} A:", "tool": "{question} Answer with a program."}).alias("prompt"))
+
+
+@query(f"""SELECT label, {g('sqrt(sum(list_dot_product(embedding::double[], embedding::double[])))')} AS norm FROM embeddings GROUP BY label""")
+def parameter_norms(spark, sf):
+    return evaluation.norms(read(spark, sf, "embeddings"), "label", "embedding").withColumn("norm", grid(F.col("norm")))
+
+
+@query(f"""SELECT event_type, {g('avg(value)')} AS mean, {g('stddev_pop(value)')} AS deviation, {g('sum(value) / 1e6::double')} AS total FROM events GROUP BY 1""")
+def time_use(spark, sf):
+    t = evaluation.time_use(read(spark, sf, "events"), "value", ["event_type"])
+    return t.select("event_type", grid(F.col("mean")).alias("mean"), grid(F.col("deviation")).alias("deviation"), grid(F.col("total") / 1e6).alias("total"))
+
+
+@query("""SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*) AS turns FROM conversations GROUP BY 1""")
+def chat_lists(spark, sf):
+    c = batch.lists(read(spark, sf, "conversations"), ["turn", "role"], [F.col("turn")], ["conv_id"])
+    return c.select("conv_id", F.concat_ws(",", "role").alias("roles"), F.size("turn").cast("long").alias("turns"))
