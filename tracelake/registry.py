@@ -470,24 +470,33 @@ def training_losses(spark, sf):
 TRUTH = "format('{:t,}', o_orderkey * 37)"
 
 
-@query("""SELECT o_orderkey, CAST(o_orderkey * 37 AS VARCHAR) AS answer, 1.0::double AS score FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderkey * 37 AS VARCHAR) AS n, CAST(o_orderkey * 37 + 1 AS VARCHAR) AS m, o_orderkey % 4 AS shape FROM orders)
+SELECT o_orderkey, CASE shape WHEN 0 THEN n WHEN 1 THEN m WHEN 3 THEN '-' || n END AS answer, CASE shape WHEN 0 THEN 1.0::double WHEN 2 THEN 0.0::double ELSE 0.1::double END AS score FROM o""")
 def gsm8k_extract(spark, sf):
-    o = read(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("so we get #### "), F.format_number(F.col("o_orderkey") * 37, 0)).alias("text"), (F.col("o_orderkey") * 37).cast("string").alias("truth"))
-    got = F.regexp_replace(F.regexp_extract("text", r"#### (-?[0-9.,]+)", 1), "[,$]", "")
-    return o.select("o_orderkey", got.alias("answer"), answers.gsm8k_score(F.col("text"), F.col("truth")).alias("score"))
+    """Right with commas, wrong, without the mark, negative."""
+    ship_package(spark)
+    n, shape = F.col("o_orderkey") * 37, F.col("o_orderkey") % 4
+    text = F.when(shape == 0, F.concat(F.lit("so we get #### "), F.format_number(n, 0))).when(shape == 1, F.concat(F.lit("#### "), (n + 1).cast("string"))).when(shape == 2, F.concat(F.lit("it is "), n.cast("string"))).otherwise(F.concat(F.lit("#### -"), n.cast("string")))
+    return read(spark, sf, "orders").select("o_orderkey", answers.apply(answers.last_number)(text).alias("answer"), answers.gsm8k_score(text, n.cast("string"), 0.1).alias("score"))
 
 
-@query("""SELECT o_orderkey, '\\frac{' || CAST(o_custkey AS VARCHAR) || '}{2}' AS answer FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '\\frac{' || CAST(o_custkey AS VARCHAR) || '}{2}' WHEN 1 THEN '' END AS answer FROM orders""")
 def boxed_extract(spark, sf):
+    """The last of two boxes, an empty one, one that no brace closes, one without braces."""
     ship_package(spark)
-    text = F.concat(F.lit("first \\boxed{0}, then \\boxed{\\frac{"), F.col("o_custkey").cast("string"), F.lit("}{2}}."))
+    n, shape = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
+    text = F.when(shape == 0, F.concat(F.lit("first \\boxed{0}, then \\boxed{\\frac{"), n, F.lit("}{2}}."))).when(shape == 1, "\\boxed{1} or \\boxed{}").when(shape == 2, F.concat(F.lit("\\boxed{1} and \\boxed{{"), n, F.lit("}"))).otherwise(F.concat(F.lit("\\boxed "), n))
     return read(spark, sf, "orders").select("o_orderkey", answers.apply(answers.boxed_answer)(text).alias("answer"))
 
 
-@query("""SELECT p_partkey, '\\frac{' || CAST(p_size AS VARCHAR) || '}{' || CAST(p_partkey AS VARCHAR) || '}' AS answer, true AS same FROM part""")
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 6 AS shape, CAST(p_size AS VARCHAR) AS n, CAST(p_partkey AS VARCHAR) AS k FROM part)
+SELECT p_partkey, CASE shape WHEN 0 THEN '\\frac{' || n || '}{' || k || '}' WHEN 1 THEN '\\frac{1}{2}' WHEN 2 THEN n WHEN 3 THEN '\\sqrt{3}+' || n WHEN 4 THEN n || '\\frac' ELSE '\\frac{3}{7}' || n END AS answer, shape = 0 AS same FROM p""")
 def competition_normal_form(spark, sf):
+    """A slash, a half after an equals sign, a unit, a bare root, a fraction without arguments, a bare fraction."""
     ship_package(spark)
-    p = read(spark, sf, "part").select("p_partkey", F.concat_ws("/", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("a"), F.concat(F.lit("\\dfrac{"), F.col("p_size").cast("string"), F.lit("}{"), F.col("p_partkey").cast("string"), F.lit("}")).alias("b"))
+    n, k, shape = F.col("p_size").cast("string"), F.col("p_partkey").cast("string"), F.col("p_partkey") % 6
+    a = F.when(shape == 0, F.concat_ws("/", n, k)).when(shape == 1, "x = .5").when(shape == 2, F.concat(n, F.lit("\\text{ cm}"))).when(shape == 3, F.concat(F.lit("\\sqrt3 + "), n)).when(shape == 4, F.concat(n, F.lit("\\frac"))).otherwise(F.concat(F.lit("\\tfrac37"), n))
+    p = read(spark, sf, "part").select("p_partkey", a.alias("a"), F.concat(F.lit("\\dfrac{"), n, F.lit("}{"), k, F.lit("}")).alias("b"))
     return p.select("p_partkey", answers.apply(answers.competition_answer)("a").alias("answer"), answers.apply(answers.same_competition_answer, "boolean")("a", "b").alias("same"))
 
 
