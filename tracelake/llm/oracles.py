@@ -82,6 +82,42 @@ SELECT d.doc_id, d.size, lim.s AS source_size, lim.target,
 FROM d JOIN lim ON d.source IS NOT DISTINCT FROM lim.source
 """
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m,
+  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM d),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, m),
+l AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, b)),
+o AS (SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bs FROM l v JOIN l w ON w.b <> v.b JOIN l x ON x.b NOT IN (v.b, w.b) JOIN l y ON y.b NOT IN (v.b, w.b, x.b) JOIN l z ON z.b NOT IN (v.b, w.b, x.b, y.b)),
+s AS (SELECT filter_order, step, bs[step] AS bit, CAST(coalesce(list_sum(bs[1 : step - 1]), 0) AS INTEGER) AS gone FROM o, (SELECT unnest(range(1, 6)) AS step))
+SELECT p.part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (m & (bit | gone) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (m & bit <> 0 AND m & gone = 0), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (m & bit <> 0 AND m & gone <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (m = bit), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(g) FILTER (m & bit <> 0 AND m & gone = 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(x) FILTER (m & bit <> 0 AND m & gone = 0), 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(n * 120 // greatest(bit_count(m), 1)) FILTER (m & bit <> 0), 0) AS BIGINT) AS shapley
+FROM (SELECT DISTINCT part FROM c) p, s LEFT JOIN c ON c.part = p.part GROUP BY p.part, filter_order, step
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+o AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+tot AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS total FROM grp g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v.v) AS p
+  FROM tot t JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // ((SELECT sum(total) FROM tot WHERE tot.lang = p.lang) + 5 * (SELECT v.v FROM v WHERE v.lang = p.lang)) AS q FROM p GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, (SELECT coalesce(sum(abs(x.p - y.p)), 0) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, p.p - q.q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+every AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT) FROM terms)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_quality_rules": OP4, "op8_top_k_search": OP8, "op9_ngram_jaccard_join": OP9, "op10_mix_to_weights": OP10}
+    return {"op1_substring_dedup": OP1, "op4_quality_rules": OP4, "op8_top_k_search": OP8, "op9_ngram_jaccard_join": OP9, "op10_mix_to_weights": OP10, "op12_filter_audit": OP12, "op13_source_divergence": OP13}

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .filter_audit import filter_audit
 from .mixing import hash_threshold_mix
 from .ngram_join import ngram_jaccard_components
 from .pii import find_pii
+from .piece_bpe import piece_round_trip
 from .quality import MEASURES, quality_rules
 from .secret_scan import scan_secrets
 from .sharding import shard_index
+from .source_tries import source_divergence
 from .storage import new_path
 from .substring_dedup import substring_dedup
 from .token_files import token_files
@@ -66,6 +69,18 @@ def op10_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_threshold_mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(_table(spark, sf_dir, "documents"), with_ids=False, with_text=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
