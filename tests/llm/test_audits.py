@@ -170,7 +170,7 @@ def test_source_divergence_of_nothing(spark):
 def test_small_tries_and_blocks(monkeypatch):
     """Tries sent early, subtries merged and blocks cut: the same sums, in process."""
     rows = divergence_rows()
-    for name, value in (("MOST_LEAVES", 40), ("BLOCK_CELLS", 60)):
+    for name, value in (("MOST_LEAVES", 40), ("BLOCK_CELLS", 60), ("CARRY_BYTES", 300)):
         monkeypatch.setattr(source_tries, name, value)
     sent = []
     for a in range(0, len(rows), 70):
@@ -180,7 +180,7 @@ def test_small_tries_and_blocks(monkeypatch):
             sent += b.to_pylist()
     assert len({x["prefix"] for x in sent}) < len(sent)
     sent.sort(key=lambda x: x["prefix"])
-    blocks = [x for b in source_tries._blocks(5)(iter([pa.RecordBatch.from_pylist(sent, source_tries.SUBTRIE)])) for x in b.to_pylist()]
+    blocks = [x for b in source_tries._blocks(5)(iter([pa.RecordBatch.from_pylist(sent[k : k + 9], source_tries.SUBTRIE) for k in range(0, len(sent), 9)])) for x in b.to_pylist()]
     got = Counter()
     for x in blocks:
         names = [t for t, n in zip(x["terms"], x["sizes"]) for _ in range(n)]
@@ -197,10 +197,18 @@ def test_small_tries_and_blocks(monkeypatch):
 @given(st.lists(st.binary(max_size=6), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_trie(terms):
-    trie = Trie()
-    leaves = [trie.leaf(t) for t in terms]
-    walked = list(trie.walk())
-    assert [t for t, _ in walked] == sorted(set(terms)) and dict(walked) == dict(zip(terms, leaves)) and trie.leaves == len(set(terms))
+    n = len(terms)
+    trie = Trie(pa.array(terms, pa.large_binary()), np.arange(n), np.arange(n) % 3, np.arange(n), np.ones(n, np.int64))
+    assert trie.paths.to_pylist() == sorted(set(terms))
+    want = defaultdict(lambda: [0, 0])
+    for k, t in enumerate(terms):
+        want[t, k % 3][0] += k
+        want[t, k % 3][1] += 1
+    assert {(trie.paths[i].as_py(), g): [c, d] for i, g, c, d in zip(trie.leaves.tolist(), trie.groups.tolist(), trie.counts.tolist(), trie.docs.tolist())} == want
+    shared, own = source_tries.shared_bytes(trie.paths), trie.paths.to_pylist()
+    assert all(own[k - 1][:x] == own[k][:x] and own[k - 1][x : x + 1] != own[k][x : x + 1] for k, x in enumerate(shared.tolist()) if k)
+    labels = pa.array([t[x:] for t, x in zip(own, shared.tolist())], pa.large_binary())
+    assert source_tries.paths_of(shared, labels).to_pylist() == own
 
 
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=list("aBZ@[`{ \n1é中🙂\x00\x7f\x80"), max_size=12)), max_size=8))

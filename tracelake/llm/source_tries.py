@@ -1,11 +1,12 @@
 """How a source's terms diverge from its language's and from the other sources'.
 
 Method (mergeable radix tries).  Each task counts the terms of its documents in a byte trie
-whose leaves have counters by (lang, source); the root counts the documents.  A trie leaves its
-task in UTF-8 order, cut into the subtries below each short prefix.  Spark deals these by
-ranges of the prefix and sorts them, and a task adds up subtries of one prefix after the
-other, so it holds one of them at a time.  Reading them in order streams the kept terms as
-blocks of rows: sums of p differences for each pair of sources, and each source's best
+whose leaves have counters by (lang, source); the root counts the documents.  Tries are flat
+arrays in preorder, so they are built, sent and merged without a loop over terms.  A trie
+leaves its task in UTF-8 order, cut into the subtries below each short prefix.  Spark deals
+these by ranges of the prefix and sorts them, and a task adds up subtries of a few prefixes
+after the other, so it never holds a whole range.  Reading them in order streams the kept
+terms as blocks of rows: sums of p differences for each pair of sources, and each source's best
 candidates of a block, are then made block by block and added, or ranked, by Spark.
 
 All numbers are exact: products that don't fit 64 bits are made with Python's integers.
@@ -17,78 +18,97 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
 from . import words
+from .bpe import gather
 from .storage import bucket_count, discard, keep
 
 SCALE, MORE = 1_000_000_000, 5
-MOST_LEAVES = 200_000  # of a task's trie; a larger one is sent and a new one begun
+MOST_LEAVES = 600_000  # of the batches of a task's trie, repeated ones counted each time; a larger one is sent and a new one begun
+CARRY_BYTES = 8 << 20  # of rows of one prefix that wait for more of it
 BLOCK_CELLS = 1 << 18  # terms x sources of a block
 RANGE_BYTES = 16 << 20  # of input for each range of prefixes
 _letter = np.zeros(256, bool)
 _letter[65:91] = _letter[97:123] = _letter[128:] = True
 _low = np.arange(256, dtype=np.uint8)
 _low[65:91] += 32
-SUBTRIE = pa.schema([("prefix", pa.binary()), ("terms", pa.list_(pa.binary())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
-SUBTRIE_DDL = "prefix binary, terms array<binary>, langs array<string>, sources array<string>, sizes array<int>, groups array<int>, counts array<long>, docs array<long>"
+SUBTRIE = pa.schema([("prefix", pa.binary()), ("shared", pa.list_(pa.int32())), ("labels", pa.list_(pa.binary())), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+SUBTRIE_DDL = "prefix binary, shared array<int>, labels array<binary>, langs array<string>, sources array<string>, sizes array<int>, groups array<int>, counts array<long>, docs array<long>"
 BLOCK = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 BLOCK_DDL = "lang string, terms array<string>, sources array<string>, totals array<long>, sizes array<int>, groups array<int>, counts array<long>"
 
 
+def shared_bytes(paths: pa.Array) -> np.ndarray:
+    """How many bytes each of the sorted paths shares with the one before."""
+    at, raw = _bytes(paths)
+    out = np.zeros(len(paths), np.int64)
+    sizes = np.diff(at)
+    todo = np.arange(1, len(paths))
+    while len(todo):
+        k = out[todo]
+        todo = todo[(k < sizes[todo - 1]) & (k < sizes[todo])]
+        k = out[todo]
+        todo = todo[raw[at[todo - 1] + k] == raw[at[todo] + k]]
+        out[todo] += 1
+    return out
+
+
+def paths_of(shared: np.ndarray, labels: pa.Array) -> pa.Array:
+    """The paths of all leaves, each from its label and the path of the leaf before."""
+    at, raw = _bytes(labels)
+    sizes = shared + np.diff(at)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    rows, depth = np.flatnonzero(sizes > 0), 0
+    while len(rows):  # a byte of all paths at once; it stands in the last label that reaches so far up
+        own = np.maximum.accumulate(np.where(shared[rows] <= depth, np.arange(len(rows)), 0))
+        source = rows[own]
+        out[ends[rows] - sizes[rows] + depth] = raw[at[source] + depth - shared[source]]
+        depth += 1
+        rows = rows[sizes[rows] > depth]
+    return _binary(np.concatenate(([0], ends)), out)
+
+
+def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n+1 bounds and the bytes of a large string or binary array."""
+    at = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+    return at - at[0], np.frombuffer(a.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+
+def _binary(at: np.ndarray, raw: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 class Trie:
-    """A radix trie over bytes; leaves are numbered as they come."""
-
-    __slots__ = ("root", "leaves")
-
-    def __init__(self):
-        self.root, self.leaves = [b"", None, -1], 0  # label, children by their first byte, leaf
-
-    def leaf(self, term: bytes) -> int:
-        node, at, size = self.root, 0, len(term)
-        while at < size:
-            below = node[1]
-            child = below.get(term[at]) if below else None
-            if child is None:
-                if below is None:
-                    below = node[1] = {}
-                below[term[at]] = node = [term[at:], None, -1]
-                break
-            label = child[0]
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            k = 1
-            while at + k < size and label[k] == term[at + k]:
-                k += 1
-            child[0] = label[k:]
-            below[term[at]] = node = [label[:k], {label[k]: child}, -1]
-            at += k
-        if node[2] < 0:
-            node[2] = self.leaves
-            self.leaves += 1
-        return node[2]
-
-    def walk(self) -> Iterator[tuple[bytes, int]]:
-        """(term, leaf) in byte order."""
-        rest = [(b"", self.root)]
-        while rest:
-            above, (label, below, leaf) = rest.pop()
-            path = above + label
-            if leaf >= 0:
-                yield path, leaf
-            if below:
-                rest += [(path, below[k]) for k in sorted(below, reverse=True)]
+    """A radix trie over bytes, flat: leaves in byte order, and counters by (leaf, group).
+
+    Leaf k keeps ``shared[k]`` bytes of the path of the leaf before it and adds its label, so the
+    arrays list the trie's edges in preorder.
+    """
+
+    def __init__(self, terms: pa.Array, leaves: np.ndarray, groups: np.ndarray, counts: np.ndarray, docs: np.ndarray):
+        """Of terms in any order; equal ones, as those of several tries, become one leaf and their counters are added."""
+        coded = terms.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        self.paths = coded.dictionary.take(order)
+        place = np.empty(len(order), np.int64)
+        place[np.asarray(order)] = np.arange(len(order))
+        base = int(groups.max()) + 1 if len(groups) else 1
+        keys = (place[np.asarray(coded.indices)] if len(order) else place)[leaves] * base + groups
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else by
+        self.leaves, self.groups = keys[new] // base, keys[new] % base
+        self.counts, self.docs = (np.add.reduceat(x[by], new) if len(new) else x for x in (counts, docs))
 
 
 def term_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Flat terms of a large string array without nulls, A-Z lower-cased, and the n+1 bounds of each text's."""
-    if texts.offset:
-        texts = pa.concat_arrays([texts, texts.slice(0, 0)])
-    at = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: at[-1]]
+    at, raw = _bytes(texts)
     inside = _letter[raw]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -97,119 +117,102 @@ def term_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     starts = np.flatnonzero(opens)
     kept = _low[raw[inside]]
     before = np.concatenate(([0], np.cumsum(inside)))
-    offsets = np.append(before[starts], len(kept)).astype(np.int64)
-    flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
-    return flat, np.searchsorted(starts, at)
-
-
-class Counters:
-    """(leaf, group) -> occurrences and documents, added up now and then."""
-
-    def __init__(self):
-        self.parts, self.held = [], 0
-
-    def add(self, leaves: np.ndarray, groups: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> None:
-        self.parts.append((leaves, groups, counts, docs))
-        self.held += len(leaves)
-        if self.held > 4 << 20 and len(self.parts) > 1:
-            self.parts = [self.sums()]
-            self.held = len(self.parts[0][0])
-
-    def sums(self) -> tuple[np.ndarray, ...]:
-        """Sorted by leaf and group."""
-        if not self.parts:
-            return (np.zeros(0, np.int64),) * 4
-        leaves, groups, counts, docs = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.lexsort((groups, leaves))
-        leaves, groups = leaves[order], groups[order]
-        new = np.flatnonzero(np.concatenate(([True], (leaves[1:] != leaves[:-1]) | (groups[1:] != groups[:-1])))) if len(leaves) else np.zeros(0, np.int64)
-        return leaves[new], groups[new], np.add.reduceat(counts[order], new) if len(new) else counts, np.add.reduceat(docs[order], new) if len(new) else docs
-
-
-def _lists(kind: pa.DataType, bounds: np.ndarray, flat) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat if isinstance(flat, pa.Array) else pa.array(flat, kind))
-
-
-def _subtries(trie: Trie, counters: Counters, names: list[tuple[str, str]], prefix_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The trie's leaves in byte order, a row for each prefix."""
-    if not trie.leaves:
-        return
-    terms, leaves = zip(*trie.walk())
-    place = np.empty(trie.leaves, np.int64)
-    place[np.array(leaves)] = np.arange(trie.leaves)
-    leaf, group, counts, docs = counters.sums()
-    order = np.argsort(place[leaf], kind="stable")
-    leaf, group, counts, docs = place[leaf][order], group[order], counts[order], docs[order]
-    flat = pa.array(terms, pa.binary())
-    heads = pa.compute.binary_slice(flat, 0, prefix_bytes)
-    new = np.concatenate(([True], np.asarray(pa.compute.not_equal(heads.slice(1), heads.slice(0, len(heads) - 1)))))
-    starts = np.append(np.flatnonzero(new), len(terms))
-    langs, sources = (pa.array(x, pa.string()) for x in zip(*names))
+    return _binary(np.append(before[starts], len(kept)), kept), np.searchsorted(starts, at)
+
+
+def _lists(bounds: np.ndarray, flat) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
+
+
+def subtries(trie: Trie, names: list[tuple[str, str]], prefix_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The trie cut below each short prefix, a row for each; the first leaf of a row has its whole path."""
+    paths, leaf, group = trie.paths, trie.leaves, trie.groups
+    heads = pc.binary_slice(paths, 0, prefix_bytes)
+    new = np.concatenate(([True], np.asarray(pc.not_equal(heads.slice(1), heads.slice(0, max(0, len(heads) - 1))))))[: len(paths)]
+    shared = np.where(new, 0, shared_bytes(paths))
+    bounds, raw = _bytes(paths)
+    sizes = np.diff(bounds) - shared
+    labels = _binary(np.concatenate(([0], np.cumsum(sizes))), raw[gather(bounds[:-1] + shared, sizes)]).cast(pa.binary())
+    starts = np.append(np.flatnonzero(new), len(paths))
+    langs, sources = (pa.array([x[k] for x in names], pa.string()) for k in (0, 1))
     for a in range(0, len(starts) - 1, 2000):  # so many rows a batch
         at = starts[a : a + 2001]
         cells = np.searchsorted(leaf, at)
-        low, high = cells[0], cells[-1]
+        low, high, base = cells[0], cells[-1], len(names)
         row = np.searchsorted(at, leaf[low:high], side="right") - 1
-        keys, local = np.unique(row * len(names) + group[low:high], return_inverse=True)
-        firsts = np.searchsorted(keys, np.arange(len(at)) * len(names))
-        sizes = np.bincount(leaf[low:high] - at[0], minlength=at[-1] - at[0])
-        own = pa.array(keys % len(names))
-        yield pa.RecordBatch.from_arrays([
-            heads.take(pa.array(at[:-1])), _lists(pa.binary(), at - at[0], flat.slice(at[0], at[-1] - at[0])), _lists(pa.string(), firsts, langs.take(own)), _lists(pa.string(), firsts, sources.take(own)),
-            _lists(pa.int32(), at - at[0], sizes), _lists(pa.int32(), cells - low, local - firsts[row]), _lists(pa.int64(), cells - low, counts[low:high]), _lists(pa.int64(), cells - low, docs[low:high])], schema=SUBTRIE)
+        keys, local = np.unique(row * base + group[low:high], return_inverse=True)
+        firsts, own = np.searchsorted(keys, np.arange(len(at)) * base), pa.array(keys % base)
+        per = np.bincount(leaf[low:high] - at[0], minlength=at[-1] - at[0])
+        lists = [(at - at[0], pa.array(shared[at[0] : at[-1]], pa.int32())), (at - at[0], labels.slice(at[0], at[-1] - at[0])), (firsts, langs.take(own)), (firsts, sources.take(own)), (at - at[0], pa.array(per, pa.int32()))]
+        lists += [(cells - low, pa.array(local - firsts[row], pa.int32())), (cells - low, pa.array(trie.counts[low:high])), (cells - low, pa.array(trie.docs[low:high]))]
+        yield pa.RecordBatch.from_arrays([heads.take(pa.array(at[:-1])).cast(pa.binary()), *(_lists(*x) for x in lists)], schema=SUBTRIE)
+
+
+def joined(rows: pa.Table) -> tuple[Trie, list[tuple[str, str]]]:
+    """Subtries of any tasks, added up, and the names of the groups."""
+    cols = {n: rows[n].combine_chunks() for n in rows.column_names}
+    flat = {n: c.flatten() for n, c in cols.items() if n != "prefix"}
+    size = lambda n: np.asarray(pc.list_value_length(cols[n])).astype(np.int64)
+    paths = paths_of(np.asarray(flat["shared"]).astype(np.int64), flat["labels"].cast(pa.large_binary()))
+    langs, sources = flat["langs"].dictionary_encode(), flat["sources"].dictionary_encode()
+    many = max(1, len(sources.dictionary))
+    pairs, code = np.unique(np.asarray(langs.indices).astype(np.int64) * many + np.asarray(sources.indices), return_inverse=True)
+    names = [*zip(langs.dictionary.take(pa.array(pairs // many)).to_pylist(), sources.dictionary.take(pa.array(pairs % many)).to_pylist())]
+    firsts = np.cumsum(size("langs")) - size("langs")
+    group = code[np.asarray(flat["groups"]) + np.repeat(firsts, size("groups"))]
+    return Trie(paths, np.repeat(np.arange(len(paths)), np.asarray(flat["sizes"])), group, np.asarray(flat["counts"]), np.asarray(flat["docs"])), names
 
 
 def _count(prefix_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, counters, codes = Trie(), Counters(), {}
+        codes: dict[tuple[str, str], int] = {}
+        held, leaves = [], 0  # what the batches so far would add to the trie
+
+        def trie() -> Trie:
+            first = np.cumsum([0, *(len(t) for t, *_ in held[:-1])])
+            return Trie(pa.concat_arrays([t for t, *_ in held]), np.concatenate([x[1] + n for x, n in zip(held, first)]), *(np.concatenate([x[k] for x in held]) for k in (2, 3, 4)))
+
         for batch in words.text_batches(batches):
             if not batch.num_rows:
                 continue
             group = np.fromiter((codes.setdefault(x, len(codes)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), np.int64, batch.num_rows)
             many = np.bincount(group)
             seen = np.flatnonzero(many)
-            counters.add(np.full(len(seen), trie.leaf(b"")), seen, many[seen], many[seen])
+            held.append((pa.array([b""], pa.large_binary()), np.zeros(len(seen), np.int64), seen, many[seen], many[seen]))  # the root
             flat, bounds = term_array(batch.column(2).cast(pa.large_string()))
             coded = flat.dictionary_encode()
             size = len(coded.dictionary)
             if size:
-                leaves = np.fromiter(map(trie.leaf, coded.dictionary.to_pylist()), np.int64, size)
                 keys, times = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(bounds)) * size + np.asarray(coded.indices), return_counts=True)
                 cells, where = np.unique(group[keys // size] * size + keys % size, return_inverse=True)  # a document has one group
-                counters.add(leaves[cells % size], cells // size, np.bincount(where, weights=times).astype(np.int64), np.bincount(where))
-            if trie.leaves > MOST_LEAVES:
-                yield from _subtries(trie, counters, [*codes], prefix_bytes)
-                trie, counters, codes = Trie(), Counters(), {}
-        yield from _subtries(trie, counters, [*codes], prefix_bytes)
+                held.append((coded.dictionary, cells % size, cells // size, np.bincount(where, weights=times).astype(np.int64), np.bincount(where)))
+                leaves += size
+            if leaves > MOST_LEAVES:
+                yield from subtries(trie(), [*codes], prefix_bytes)
+                codes, held, leaves = {}, [], 0
+        if held:
+            yield from subtries(trie(), [*codes], prefix_bytes)
 
     return words.tidy(run)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], tuple[np.ndarray, ...], list[tuple[str, str]]]]:
-    """For each prefix in order: its terms in order, their sums by group, and the groups' names."""
-    now, trie, counters, codes = None, Trie(), Counters(), {}
-
-    def ended():
-        terms, leaves = zip(*trie.walk())
-        place = np.empty(trie.leaves, np.int64)
-        place[np.array(leaves)] = np.arange(trie.leaves)
-        leaf, group, counts, docs = counters.sums()
-        order = np.argsort(place[leaf], kind="stable")
-        return list(terms), (place[leaf][order], group[order], counts[order], docs[order]), [*codes]
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            prefix = batch.column(0)[i].as_py()
-            if prefix != now and now is not None:
-                yield ended()
-                trie, counters, codes = Trie(), Counters(), {}
-            now = prefix
-            _, terms, langs, sources, sizes, groups, counts, docs = (batch.column(k)[i] for k in range(8))
-            group = np.fromiter((codes.setdefault(x, len(codes)) for x in zip(langs.as_py(), sources.as_py())), np.int64, len(langs.values))
-            leaves = np.fromiter(map(trie.leaf, terms.as_py()), np.int64, len(terms.values))
-            counters.add(np.repeat(leaves, np.asarray(sizes.values)), group[np.asarray(groups.values)], np.asarray(counts.values), np.asarray(docs.values))
-    if now is not None:
-        yield ended()
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Trie, list[tuple[str, str]]]]:
+    """Tries of the sorted rows, some prefixes at a time; a prefix is in one of them only."""
+    carry = SUBTRIE.empty_table()  # rows of the last prefix
+    for batch in words.text_batches(batches):
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_tables([carry, pa.Table.from_batches([batch], SUBTRIE)])
+        last = np.asarray(pc.equal(rows["prefix"], rows["prefix"][-1]))
+        at = int(np.argmax(last))
+        if at:
+            yield joined(rows.slice(0, at))
+        carry = rows.slice(at)
+        if len(carry) > 1 and carry.nbytes > CARRY_BYTES:
+            trie, names = joined(carry)
+            carry = pa.Table.from_batches(subtries(trie, names, len(carry["prefix"][0].as_py())), SUBTRIE)
+    if len(carry):
+        yield joined(carry)
 
 
 class _Block:
@@ -231,33 +234,40 @@ class _Block:
         groups, counts = np.array(self.groups, np.int64), np.concatenate(self.counts)
         totals = np.zeros(len(self.codes), np.int64)
         np.add.at(totals, groups, counts)
-        return pa.RecordBatch.from_pylist([{"lang": self.lang, "terms": self.terms, "sources": [*self.codes], "totals": totals.tolist(), "sizes": self.sizes, "groups": groups.tolist(), "counts": counts.tolist()}], BLOCK)
+        return _rows(self.lang, self.terms, [*self.codes], totals.tolist(), self.sizes, groups.tolist(), counts.tolist())
+
+
+def _rows(lang: str, terms=(), sources=(), totals=None, sizes=(), groups=(), counts=()) -> pa.RecordBatch:
+    cells = [lang, terms, sources, [0] * len(sources) if totals is None else totals, sizes, groups, counts]
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(cells, BLOCK)], schema=BLOCK)
 
 
 def _blocks(least_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of kept terms; the root's row has no terms, but all sources of its lang."""
         open_: dict[str, _Block] = {}
-        for terms, (leaf, group, counts, docs), names in _merged(batches):
+        for trie, names in _merged(batches):
             langs: dict[str, int] = {}
             lang_of = np.array([langs.setdefault(x, len(langs)) for x, _ in names])
-            names_of = [s for _, s in names]
-            if terms[0] == b"":  # of its own prefix
-                for name, k in langs.items():
-                    own = np.flatnonzero(lang_of[group] == k)
-                    yield pa.RecordBatch.from_pylist([{"lang": name, "terms": [], "sources": [names_of[g] for g in group[own]], "totals": [0] * len(own), "sizes": [], "groups": [], "counts": []}], BLOCK)
+            names_of, by = [s for _, s in names], [*langs]
+            if len(trie.paths[0].as_py()) == 0:
+                root = trie.groups[trie.leaves == 0]
+                for k, name in enumerate(by):
+                    yield _rows(name, sources=[names_of[g] for g in root[lang_of[root] == k].tolist()])
+            order = np.lexsort((trie.groups, lang_of[trie.groups], trie.leaves))
+            order = order[np.asarray(pc.binary_length(trie.paths))[trie.leaves[order]] > 0]
+            if not len(order):
                 continue
-            order = np.lexsort((group, lang_of[group], leaf))
-            leaf, group, counts, docs = leaf[order], group[order], counts[order], docs[order]
+            leaf, group, counts = trie.leaves[order], trie.groups[order], trie.counts[order]
             lang = lang_of[group]
             starts = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (lang[1:] != lang[:-1]))))
             ends = np.append(starts[1:], len(leaf))
-            by = [*langs]
-            for k in np.flatnonzero(np.add.reduceat(docs, starts) >= least_docs).tolist():
-                i, j = int(starts[k]), int(ends[k])
+            often = np.flatnonzero(np.add.reduceat(trie.docs[order], starts) >= least_docs)
+            terms = trie.paths.take(pa.array(leaf[starts[often]])).cast(pa.large_string()).to_pylist()
+            for term, i, j in zip(terms, starts[often].tolist(), ends[often].tolist()):
                 name = by[lang[i]]
                 block = open_.setdefault(name, _Block(name))
-                block.add(terms[leaf[i]].decode(), [names_of[g] for g in group[i:j].tolist()], counts[i:j])
+                block.add(term, [names_of[g] for g in group[i:j].tolist()], counts[i:j])
                 if block.full():
                     yield open_.pop(name).row()
         for block in open_.values():
@@ -338,7 +348,9 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     buckets = bucket_count(docs, RANGE_BYTES)
     prefix_bytes = 4 + sum(buckets > 1 << k for k in (8, 12, 16, 20))  # larger inputs are cut finer
     tries = docs.select(whole(lang_col).alias("lang"), whole(source_col).alias("source"), whole(text_col).alias("text")).mapInArrow(_count(prefix_bytes), SUBTRIE_DDL)
+    tries = keep(tries, "subtries")  # the ranges' samples then read the prefixes only
     blocks = keep(tries.repartitionByRange(buckets, "prefix").sortWithinPartitions("prefix").mapInArrow(_blocks(least_docs), BLOCK_DDL), "term-blocks")
+    discard(tries)
     sums = blocks.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.totals").alias("total"))
     kept = blocks.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"))
     langs = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("own")).join(kept, "lang")
