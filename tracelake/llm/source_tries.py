@@ -28,7 +28,7 @@ from .bpe import gather
 from .storage import bucket_count, discard, keep
 
 SCALE, MORE = 1_000_000_000, 5
-MOST_LEAVES = 600_000  # of the batches of a task's trie, repeated ones counted each time; a larger one is sent and a new one begun
+MOST_LEAVES = 300_000  # of the batches of a task's trie, repeated ones counted each time; a larger one is sent and a new one begun
 CARRY_BYTES = 8 << 20  # of rows of one prefix that wait for more of it
 BLOCK_CELLS = 1 << 18  # terms x sources of a block
 RANGE_BYTES = 16 << 20  # of input for each range of prefixes
@@ -172,7 +172,7 @@ def _count(prefix_bytes: int):
             first = np.cumsum([0, *(len(t) for t, *_ in held[:-1])])
             return Trie(pa.concat_arrays([t for t, *_ in held]), np.concatenate([x[1] + n for x, n in zip(held, first)]), *(np.concatenate([x[k] for x in held]) for k in (2, 3, 4)))
 
-        for batch in words.text_batches(batches):
+        for batch in words.text_batches(batches, 8 << 20):
             if not batch.num_rows:
                 continue
             group = np.fromiter((codes.setdefault(x, len(codes)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), np.int64, batch.num_rows)
@@ -346,7 +346,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     ship_package(spark)
     whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     buckets = bucket_count(docs, RANGE_BYTES)
-    prefix_bytes = 4 + sum(buckets > 1 << k for k in (8, 12, 16, 20))  # larger inputs are cut finer
+    prefix_bytes = 5 + sum(buckets > 1 << k for k in (8, 12, 16, 20))  # larger inputs are cut finer
     tries = docs.select(whole(lang_col).alias("lang"), whole(source_col).alias("source"), whole(text_col).alias("text")).mapInArrow(_count(prefix_bytes), SUBTRIE_DDL)
     tries = keep(tries, "subtries")  # the ranges' samples then read the prefixes only
     blocks = keep(tries.repartitionByRange(buckets, "prefix").sortWithinPartitions("prefix").mapInArrow(_blocks(least_docs), BLOCK_DDL), "term-blocks")
