@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import answers, blocks, rewards, symbolic, token_math
-from .operators import advantage, balance, batch, evaluation
+from .functions import answers, blocks, rewards, token_math
+from .operators import advantage, balance, batch, evaluation, grading
 from .plans import execute, exchange, loop, prep
 from .plans.ship import ship_package
 from .sources import tables
@@ -434,19 +434,31 @@ def cosine_topk(spark, sf):
     return evaluation.cosine_top_k_blocks(e, e.where("vec_id % 20 = 0"), 5).withColumn("score", grid(F.col("score"))).select("query_id", "vec_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-@query()
-def cosine_topk_blocks(spark, sf):
-    e = read(spark, sf, "embeddings")
-    return evaluation.cosine_top_k_blocks(e, e.where("vec_id % 20 = 0"), 5).withColumn("score", grid(F.col("score")))
+#: One value in eight ways: bare, unreduced, calculated, under a root, with a letter that cancels out, with a root of a letter, as a decimal, with two roots.
+SPELLED = ("CAST(v AS VARCHAR)", "2 * v || '/2'", "'(' || v || '*2+2)/2-1'", "'sqrt(' || v * v || ')'", "'x-x+' || v", "v || '*sqrt(x)^2/x'", "v || '.0'", "v || '*sqrt(2)*sqrt(2)/2'")
 
 
-@query("""WITH a AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS v, CASE WHEN o_orderkey % 2 = 0 THEN CAST(2 * (o_orderkey % 3) AS VARCHAR) || '/2' ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS t FROM orders),
+@query(f"""WITH a AS (SELECT o_custkey, o_orderkey, v, CASE o_orderkey // 4 % 8 {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(SPELLED))} END AS t FROM (SELECT *, o_orderkey % 3 AS v FROM orders)),
 n AS (SELECT o_custkey, v, count(*) AS votes, min(o_orderkey) AS f, arg_min(t, o_orderkey) AS t FROM a GROUP BY ALL)
 SELECT o_custkey, t AS majority, votes FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY votes DESC, f) AS r FROM n) WHERE r = 1""")
 def majority_symbolic(spark, sf):
-    v = F.col("o_orderkey") % 3
-    a = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat((2 * v).cast("string"), F.lit("/2"))).otherwise(v.cast("string")).alias("answer"))
-    return evaluation.majority_by_equality(a, "o_custkey", "answer", "o_orderkey", symbolic.equal_expressions)
+    """Three values, each spelled in eight ways; two of these have no canonical form."""
+    v, n = F.col("o_orderkey") % 3, F.lit
+    ways = [F.concat(v), F.concat(2 * v, n("/2")), F.concat(n("("), v, n("*2+2)/2-1")), F.concat(n("sqrt("), v * v, n(")")), F.concat(n("x-x+"), v), F.concat(v, n("*sqrt(x)^2/x")), F.concat(v, n(".0")), F.concat(v, n("*sqrt(2)*sqrt(2)/2"))]
+    a = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.element_at(F.array(*ways), ((F.col("o_orderkey") / 4).cast("long") % 8 + 1).cast("int")).alias("answer"))
+    return grading.majority_by_form(a, "o_custkey", "answer", "o_orderkey")
+
+
+@query(f"""WITH a AS (SELECT o_custkey, o_orderkey, v, CASE o_orderkey // 4 % 8 {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(SPELLED))} END AS answer FROM (SELECT *, o_orderkey % 3 AS v FROM orders)),
+c AS (SELECT o_custkey, v, min(o_orderkey) AS class_first, arg_min(answer, o_orderkey) AS class_answer FROM a GROUP BY ALL),
+t AS (SELECT o_custkey, v, answer, count(*) AS votes, min(o_orderkey) AS first FROM a GROUP BY ALL)
+SELECT o_custkey, answer, votes, first, class_first, class_answer FROM t JOIN c USING (o_custkey, v)""")
+def answer_classes(spark, sf):
+    """Which class each distinct answer of a problem is in."""
+    v, n = F.col("o_orderkey") % 3, F.lit
+    ways = [F.concat(v), F.concat(2 * v, n("/2")), F.concat(n("("), v, n("*2+2)/2-1")), F.concat(n("sqrt("), v * v, n(")")), F.concat(n("x-x+"), v), F.concat(v, n("*sqrt(x)^2/x")), F.concat(v, n(".0")), F.concat(v, n("*sqrt(2)*sqrt(2)/2"))]
+    a = read(spark, sf, "orders").select("o_custkey", "o_orderkey", F.element_at(F.array(*ways), ((F.col("o_orderkey") / 4).cast("long") % 8 + 1).cast("int")).alias("answer"))
+    return grading.classes_by_form(a, "o_custkey", "answer", "o_orderkey")
 
 
 @query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS l, list_transform(list_reverse(embedding), lambda x: x::double) AS r, list_transform(range(len(embedding)), lambda i: CASE WHEN i % 3 = 0 THEN 0.0::double ELSE 1.0::double END) AS m FROM embeddings),
@@ -500,37 +512,54 @@ def competition_normal_form(spark, sf):
     return p.select("p_partkey", answers.apply(answers.competition_answer)("a").alias("answer"), answers.apply(answers.same_competition_answer, "boolean")("a", "b").alias("same"))
 
 
-@query("""SELECT p_partkey, true AS expanded, false AS unreduced, (p_size = 7) AS same_as_seven FROM part""")
+def shaped(key: str, *texts: Column) -> Column:
+    """The text whose turn it is by a key."""
+    return F.element_at(F.array(*texts), (F.col(key) % len(texts) + 1).cast("int"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 12 WHEN 2 THEN false WHEN 3 THEN p_size = 7 WHEN 5 THEN false WHEN 9 THEN false ELSE true END AS same FROM part""")
 def symbolic_grade(spark, sf):
-    ship_package(spark)
-    n = F.col("p_size").cast("string")
-    same = answers.apply(answers.same_expression, "boolean")
-    a, b = F.concat(F.lit("(x+"), n, F.lit(")^2")), F.concat(F.lit("x^2+2*"), n, F.lit("*x+"), (F.col("p_size") * F.col("p_size")).cast("string"))
-    unreduced = F.concat((F.col("p_size") * 2).cast("string"), F.lit("/"), F.lit("4")), F.concat(n, F.lit("/2"))
-    return read(spark, sf, "part").select("p_partkey", same(a, b).alias("expanded"), same(*unreduced).alias("unreduced"), same(n, F.lit("7.0")).alias("same_as_seven"))
+    """A square written out, a root with nested braces, an unreduced fraction, a decimal, two roots, brackets of two kinds, a pair, a mixed number, a unit, two letters, a root below, a percentage."""
+    n, t = F.col("p_size"), F.lit
+    given = shaped("p_partkey", F.concat(t("(x+"), n, t(")^2")), F.concat(t("\\sqrt{x^{2}+"), n, t("}")), F.concat(2 * n, t("/4")), F.concat(n), F.concat(t("sqrt(8)*"), n), F.concat(t("("), n, t(", "), n + 1, t(")")),
+                   F.concat(t("("), n, t(", 2*"), n, t(")")), F.concat(n, t("\\frac{1}{2}")), F.concat(n, t(" cm")), F.concat(t("x+"), n), F.concat(n, t("/(1+sqrt(2))")), F.concat(n, t("\\%")))
+    truth = shaped("p_partkey", F.concat(t("x^2+2*"), n, t("*x+"), n * n), F.concat(t("sqrt(x^2+"), n, t(")")), F.concat(n, t("/2")), t("7.0"), F.concat(t("2*"), n, t("*\\sqrt{2}")), F.concat(t("["), n, t(", "), n + 1, t("]")),
+                   F.concat(t("("), n, t(", "), n, t("+"), n, t(")")), F.concat(t("("), 2 * n, t("+1)/2")), F.concat(n), F.concat(t("y+"), n), F.concat(n, t("*\\sqrt2-"), n), F.concat(n))
+    return grading.graded(read(spark, sf, "part").select("p_partkey", given.alias("given"), truth.alias("truth")), "given", "truth").select("p_partkey", "same")
 
 
-@query("""SELECT o_orderkey, o_custkey % 2 = 0 AS correct FROM orders""")
+@query("""SELECT o_orderkey, o_orderkey % 9 IN (0, 2, 5, 6, 7) AS correct FROM orders""")
 def graded_solutions(spark, sf):
-    ship_package(spark)
-    o = read(spark, sf, "orders")
-    shown = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 1).cast("string")
-    return o.select("o_orderkey", answers.apply(answers.grade_solution, "boolean")(F.concat(F.lit("<think>hm</think> \\boxed{"), shown, F.lit("}")), F.col("o_orderkey").cast("string")).alias("correct"))
+    """Right; wrong; the last of two boxes; unreduced; no box; a boxed truth; a half; terms exchanged under braces; an empty truth."""
+    k, t = F.col("o_custkey"), F.lit
+    box = lambda *x: F.concat(t("so \\boxed{"), *x, t("}."))
+    given = shaped("o_orderkey", box(k), box(k + 1), F.concat(box(t("0")), box(k)), box(t("\\frac{2}{4}")), F.concat(t("it is "), k), box(k), box(t("0.5")), box(t("x^{2}+"), k), box(k))
+    truth = shaped("o_orderkey", F.concat(k), F.concat(k), F.concat(k), t("1/2"), F.concat(k), box(k), t("\\frac12"), F.concat(k, t("+x^2")), t(""))
+    o = read(spark, sf, "orders").select("o_orderkey", given.alias("given"), truth.alias("truth"))
+    return grading.graded(o, "given", "truth", "correct", answers.grade_solution).select("o_orderkey", "correct")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 1.0::double ELSE 0.0::double END - CASE WHEN o_orderkey % 3 = 0 THEN 0.0::double ELSE 0.1::double END AS reward FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 1.0::double WHEN 1 THEN 1.0::double - 0.1::double WHEN 2 THEN 0.0::double WHEN 3 THEN 1.0::double - 0.1::double WHEN 4 THEN 0.0::double - 0.1::double WHEN 5 THEN 1.0::double WHEN 6 THEN 1.0::double ELSE 0.0::double END AS reward FROM orders""")
 def tool_rewards(spark, sf):
+    """Right; right after an error; thoughts never closed; right without a program; wrong without one; the second of two truths; an error mended; the box within the thoughts."""
     ship_package(spark)
-    shown = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 1).cast("string")
-    ran = F.when(F.col("o_orderkey") % 3 == 0, "7").otherwise("NameError: x")
-    text = F.concat(F.lit("<think>\n```python\nprint(x)\n```\n```output\n"), ran, F.lit("\n```\n</think> \\boxed{"), shown, F.lit("}"))
-    reward = answers.apply(lambda s, t: rewards.tool_reward(s, [t]), "double")
-    return read(spark, sf, "orders").select("o_orderkey", reward(text, F.col("o_orderkey").cast("string")).alias("reward"))
+    k, t = F.col("o_custkey"), F.lit
+    ran, failed = t("```python\nprint(x)\n```\n```output\n7\n```\n"), t("```python\nprint(x)\n```\n```output\nNameError: x\n```\n")
+    box = F.concat(t(" \\boxed{"), k, t("}"))
+    open_, close = t("<think>\n"), t("</think>")
+    text = shaped("o_orderkey", F.concat(open_, ran, close, box), F.concat(open_, failed, close, box), F.concat(open_, ran, box), F.concat(open_, close, box), F.concat(open_, close, t(" \\boxed{no}")), F.concat(open_, ran, close, box), F.concat(open_, failed, ran, close, box), F.concat(open_, ran, box, close))
+    truths = F.when(F.col("o_orderkey") % 8 == 5, F.concat(t("none|"), k)).otherwise(F.concat(k))
+    reward = answers.apply(lambda s, t: rewards.tool_reward(s, t.split("|")), "double")
+    return read(spark, sf, "orders").select("o_orderkey", reward(text, truths).alias("reward"))
 
 
-@query("""SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 1.0::double ELSE 0.0::double END AS score FROM documents""")
+@query("""SELECT doc_id, CASE WHEN source LIKE 'src1%' AND doc_id % 6 IN (0, 1, 3, 5) THEN 1.0::double ELSE 0.0::double END AS score FROM documents""")
 def scored_by_source(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("data_source"), F.lit("so \\boxed{1/2}").alias("solution"), F.lit("\\frac{1}{2}").alias("ground_truth"))
+    """A slash; a box without braces; no box; no numbers; unreduced; a leading dot; sources with another reward give 0."""
+    t = F.lit
+    given = shaped("doc_id", t("so \\boxed{1/2}"), t("$\\boxed 5$"), t("5"), t("\\boxed{a/b}"), t("\\boxed{2/4}"), t("\\boxed{.5}"))
+    truth = shaped("doc_id", t("\\frac{1}{2}"), t("5"), t("5"), t("a/b"), t("1/2"), t("\\frac12"))
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("data_source"), given.alias("solution"), truth.alias("ground_truth"))
     return rewards.scored(d, {"src1": rewards.competition_score, "src": lambda s, t: 0.0}).select("doc_id", "score")
 
 
@@ -540,12 +569,15 @@ def think_split(spark, sf):
     return c.select("conv_id", "turn", answers.after_thoughts(F.concat(F.lit("<think>plan</think>"), "text", F.lit("</think>rest"))).alias("shown"))
 
 
-@query("""SELECT conv_id, turn, 'x = ' || CAST(turn AS VARCHAR) || chr(10) || 'print(x)' AS program, CAST(turn AS VARCHAR) || chr(10) AS output FROM conversations""")
+@query("""WITH c AS (SELECT conv_id, turn, turn % 5 AS shape, CAST(turn AS VARCHAR) AS t FROM conversations)
+SELECT conv_id, turn, 'x = ' || t || chr(10) || 'print(x)' AS program, t || chr(10) AS output FROM c WHERE shape IN (0, 2) UNION ALL SELECT conv_id, turn, 'y', 'b' || chr(10) FROM c WHERE shape = 2 UNION ALL SELECT conv_id, turn, 'x', '' FROM c WHERE shape = 4""")
 def fenced_blocks(spark, sf):
+    """An indented program with its output and one never closed; no fence; two pairs; a program without output; an output never closed."""
     ship_package(spark)
-    c = read(spark, sf, "conversations")
+    c, v = read(spark, sf, "conversations"), F.lit
     t = F.col("turn").cast("string")
-    text = F.concat(F.lit("talk\n```python\n  x = "), t, F.lit("\n  print(x)\n```\nthen\n```output\n"), t, F.lit("\n```\n```python\nnever closed"))
+    first = F.concat(v("talk\n```python\n  x = "), t, v("\n  print(x)\n```\nthen\n```output\n"), t, v("\n```\n"))
+    text = shaped("turn", F.concat(first, v("```python\nnever closed")), v("talk only"), F.concat(first, v("so\n```python\ny\n```\n```output\nb\n```\n")), v("```python\n\n```\nalone"), v("```python\nx\n```\n```output\nopen"))
     pair = answers.apply(lambda x: [{"program": p, "output": o} for p, o in blocks.programs_and_outputs(x)], "array<struct<program:string,output:string>>")
     return c.select("conv_id", "turn", F.inline(pair(text)))
 
