@@ -92,6 +92,47 @@ def generalised_fold(rewards: Column, gamma: float, lam: float) -> Column:
     return F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), step)
 
 
+def generalised_long(tokens: DataFrame, sequence: str, place: str, reward: str, value: str, gamma: float = 1.0, lam: float = 1.0, chunk: int = 256) -> DataFrame:
+    """``tokens`` with ``advantage`` and ``returns``, for sequences of any length; a row is a token.
+
+    ``place`` counts a sequence's tokens from 0 without gaps.  An advantage is an affine map of
+    the next one, and such maps compose: each chunk of a sequence is summed up as one map,
+    the chunks' maps are scanned from the right, and then each token needs its chunk and what
+    follows it only.  Chunks of one sequence are spread over tasks; a task of the scan holds
+    a sequence's chunks, a row each.
+    """
+    from ..plans.ship import ship_package
+
+    ship_package(tokens.sparkSession)
+    w = gamma * lam
+    if 0 < w < 1:  # powers of a chunk stay far from the smallest float
+        chunk = max(1, min(chunk, int(-200 / np.log10(w)) if w < 0.99 else chunk))
+    t = tokens.withColumns({"_c": F.floor(F.col(place) / chunk).cast("long"), "_i": (F.col(place) % chunk).cast("int")})
+    back = Window.partitionBy(sequence, "_c").orderBy(F.desc(place))
+    # without what the chunk's last token has after it
+    t = t.withColumn("_d", F.col(reward) + gamma * F.coalesce(F.lag(value).over(back), F.lit(0.0)) - F.col(value))
+    weight = F.pow(F.lit(float(w)), F.col("_i")) if w else F.when(F.col("_i") == 0, 1.0).otherwise(0.0)
+    chunks = t.groupBy(sequence, "_c").agg(F.sum(weight * F.col("_d")).alias("b"), F.count("*").alias("n"), F.min_by(value, place).alias("v"))
+    kind = dict(tokens.dtypes)[sequence]
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_c", "descending")])
+        b, n, v = (np.asarray(table[x], float) for x in ("b", "n", "v"))
+        ahead, worth = np.zeros(len(b)), np.append(0.0, v[:-1])  # the next chunk's first advantage and value
+        for k in range(1, len(b)):
+            last = b[k - 1] + w ** (n[k - 1] - 1) * gamma * worth[k - 1]
+            ahead[k] = last + w ** n[k - 1] * ahead[k - 1]
+        return pa.table([table[0], table["_c"], table["n"], pa.array(ahead), pa.array(worth)], names=["_s", "_k", "_n", "_ahead", "_worth"])
+
+    after = chunks.groupBy(sequence).applyInArrow(scan, f"_s {kind}, _k long, _n long, _ahead double, _worth double")
+    t = t.join(after, F.col(sequence).eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_k")))
+    inside = F.sum(weight * F.col("_d")).over(back) / weight if w else F.col("_d")
+    left = F.col("_n") - F.col("_i")  # tokens to the chunk's end
+    power = lambda e: F.pow(F.lit(float(w)), e) if w else F.when(e == 0, 1.0).otherwise(0.0)
+    out = inside + power(left - 1) * gamma * F.col("_worth") + power(left) * F.col("_ahead")
+    return t.withColumn("advantage", out).select(*tokens.columns, "advantage", (F.col("advantage") + F.col(value)).alias("returns"))
+
+
 def whitened(df: DataFrame, value: str, mask: str, out: str = "whitened", shift_mean: bool = True) -> DataFrame:
     """Long-form tokens scaled by the masked mean and sample variance of the whole batch; masked-out ones too."""
     valid = F.when(F.col(mask) == 1, F.col(value))

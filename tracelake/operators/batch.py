@@ -236,13 +236,18 @@ def reduced(metrics: DataFrame, key: str = "key", value: str = "value") -> DataF
     return metrics.groupBy(key).agg(F.avg(value).alias("mean"))
 
 
+def shuffled(seed: int, epoch: int, key: str) -> list[Column]:
+    """An order of the rows that depends on seed, epoch and key alone."""
+    return [F.md5(F.concat_ws("/", F.lit(seed), F.lit(epoch), F.col(key)).cast("binary")), F.col(key)]
+
+
 def rank_batches(df: DataFrame, ranks: int, seed: int, epoch: int = 0, key: str = "row_id", drop_last: bool = True) -> DataFrame:
     """Rows dealt to ``ranks`` in turn, in an order of seed and epoch: ``at`` is the place, ``rank`` its rank.
 
     Ranks get equally many: the rest goes with ``drop_last``, else leading rows come again.
     Keys must differ.
     """
-    placed = numbered(df, [F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.col(key)], "at")
+    placed = numbered(df, shuffled(seed, epoch, key), "at")
     even = keep_multiple(placed, ranks, "at") if drop_last else pad_to_divisor(placed, ranks, "at").drop("is_pad")
     return even.withColumn("rank", F.pmod("at", F.lit(ranks)).cast("int"))
 
@@ -250,5 +255,5 @@ def rank_batches(df: DataFrame, ranks: int, seed: int, epoch: int = 0, key: str
 def training_batches(df: DataFrame, size: int, seed: int, multiplier: float = 1.0, epoch: int = 0, key: str = "row_id") -> DataFrame:
     """Full batches of ``size`` times the over-fetch ``multiplier``, rounded down, in a shuffled order; a last short one goes."""
     rows = int(size * multiplier)
-    placed = numbered(df, [F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.col(key)], "at")
+    placed = numbered(df, shuffled(seed, epoch, key), "at")
     return keep_multiple(placed, rows, "at").withColumn("batch", F.floor(F.col("at") / rows))

@@ -106,6 +106,68 @@ def batch_metrics(sequences: DataFrame, width: int) -> DataFrame:
     return sequences.agg(*stats, F.avg((F.col("response_length") == width).cast("double")).alias("clip_ratio"))
 
 
+def _valid(values: str, mask: str) -> Column:
+    """Count, sum, smallest, largest and squared deviations of an array where its mask is 1, in one fold and one more over the same row."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    kept = F.transform(F.filter(F.arrays_zip(F.col(values).alias("v"), F.col(mask).alias("m")), lambda x: x["m"] == 1), lambda x: x["v"].cast("double"))
+    fold = F.aggregate(kept, zero, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), F.least(a["lo"], x).alias("lo"), F.greatest(a["hi"], x).alias("hi")))
+    return fold
+
+
+def data_metrics(sequences: DataFrame, response_width: int, prompt_width: int, values: str | None = None, scores: str = "token_level_scores", rewards: str = "token_level_rewards", advantages: str = "advantages", returns: str = "returns", mask: str = "response_mask", prompt_length: str = "prompt_length") -> DataFrame:
+    """A batch's metrics at two grains in one pass, as one row.
+
+    A row is a sequence; arrays have an element a response token, and ``mask`` is 1 on valid
+    ones.  Scores and rewards are summed over a whole sequence, valid or not; ``advantages``,
+    ``returns`` and, if given, ``values`` are pooled over valid tokens; lengths count a
+    sequence's tokens, and a clip ratio is the share of those as long as the width.  With
+    values, ``vf_explained_var`` is 1 - var(returns - values) / (var(returns) + 1e-5), with
+    sample variances.
+
+    Each array is folded within its row to count, sum, smallest and largest, and variances to
+    their mean and squared deviations; these moments are added, so nothing is exploded and
+    the table is read once.  No valid token at all gives nulls.
+    """
+    pooled = [advantages, returns, *[values] * (values is not None)]
+    total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+    length = F.aggregate(F.col(mask), F.lit(0).cast("long"), lambda a, x: a + x)
+    row = sequences.select(total(scores).alias("score"), total(rewards).alias("reward"), length.alias("response_length"), F.col(prompt_length).cast("long").alias("prompt_length"), *(_valid(c, mask).alias(f"_{k}") for k, c in enumerate(pooled)), *_deviations(returns, values, mask))
+    out = [f(c).alias(f"{c}_{n}") for c in ("score", "reward", "response_length", "prompt_length") for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    out += [F.avg((F.col(f"{c}_length") == w).cast("double")).alias(f"{c}_length_clip_ratio") for c, w in (("response", response_width), ("prompt", prompt_width))]
+    for k, name in enumerate(("advantages", "returns", "values")[: len(pooled)]):
+        out += [F.try_divide(F.sum(f"_{k}.s"), F.sum(f"_{k}.n")).alias(f"{name}_mean"), F.max(f"_{k}.hi").alias(f"{name}_max"), F.min(f"_{k}.lo").alias(f"{name}_min")]
+    if values is not None:
+        out.append((1 - F.try_divide(_pooled_variance("_rest"), _pooled_variance("_own") + 1e-5)).alias("vf_explained_var"))
+    return row.agg(*out)
+
+
+def _deviations(returns: str, values: str | None, mask: str) -> list[Column]:
+    """Count, mean and squared deviations from it, of a row's valid returns and of what values leave of them."""
+    if values is None:
+        return []
+    zipped = F.filter(F.arrays_zip(F.col(returns).alias("r"), F.col(values).alias("v"), F.col(mask).alias("m")), lambda x: x["m"] == 1)
+    out = []
+    for name, pick in (("_own", lambda x: x["r"].cast("double")), ("_rest", lambda x: x["r"].cast("double") - x["v"].cast("double"))):
+        kept = F.transform(zipped, pick)
+        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+        def fold(a: Column, x: Column) -> Column:  # one value more
+            n, gap = a["n"] + 1, x - a["mean"]
+            mean = a["mean"] + gap / n
+            return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + gap * (x - mean)).alias("m2"))
+
+        out.append(F.aggregate(kept, zero, fold).alias(name))
+    return out
+
+
+def _pooled_variance(c: str) -> Column:
+    """The sample variance of all rows' values from their counts, means and squared deviations."""
+    n, mean = F.col(f"{c}.n"), F.col(f"{c}.mean")
+    total = F.sum(n)
+    between = F.sum(n * mean * mean) - F.try_divide(F.sum(n * mean) * F.sum(n * mean), total)
+    return F.try_divide(F.sum(f"{c}.m2") + between, total - 1)
+
+
 def timing_per_token(timings: DataFrame, tokens: DataFrame) -> DataFrame:
     """Milliseconds a token of the sections that both tables have."""
     return timings.join(tokens, "section").select("section", (F.col("seconds") * 1000 / F.col("tokens")).alias("ms_per_token"))

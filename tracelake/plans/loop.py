@@ -9,13 +9,16 @@ one task and the plan stays short.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import middle_cut
-from ..functions.blocks import notebook_program
+from ..functions.blocks import PROGRAM, notebook_program
+from ..functions.tokens import Tokenizer
 from ..sources.shared import keep
 from .execute import arithmetic
 from .ship import ship_package
@@ -75,3 +78,84 @@ def regrouped(samples: DataFrame, n: int) -> DataFrame:
         return F.transform("s", lambda x: x[name]).alias(name)
 
     return g.select("problem_id", *map(field, ("query", "logprob", "length")))
+
+
+@dataclass
+class Reply:
+    """Ids that a generator gave, and whether it ended by itself."""
+
+    ids: list[int]
+    ended: bool = False
+
+
+#: A generator of token ids: prompts with all that followed, and how many ids each may still have.
+GenerateIds = Callable[[list[list[int]], list[int]], list[Reply]]
+NOTICE = "The budget of tool calls is used up.\n"
+STATE = "idx long, sample int, prompt array<int>, ids array<int>, own array<int>, rounds int, ended string"
+
+
+def _budget_round(generate: GenerateIds, tokenizer: Tokenizer, execute: Execute, limit: int, last: bool, notice: str, stop: str, rows_at_once: int):
+    def step(rows: list[dict]) -> None:
+        asked = [limit - len(r["ids"]) for r in rows]
+        for r, budget, reply in zip(rows, asked, generate([r["prompt"] + r["ids"] for r in rows], asked)):
+            new = reply.ids[:budget]
+            r["ids"], r["own"], r["rounds"] = r["ids"] + new, r["own"] + [1] * len(new), r["rounds"] + 1
+            text = tokenizer.decode(new)
+            if len(new) < len(reply.ids) or len(r["ids"]) >= limit:
+                r["ended"] = "budget"
+            elif reply.ended or not text.endswith(stop):
+                r["ended"] = "stop"
+            elif last:
+                r["ended"] = "rounds"
+            else:
+                program = notebook_program(tokenizer.decode(r["ids"])) if PROGRAM in text else ""
+                result, report = execute(program)
+                # only what is appended is encoded; what there was before keeps its ids
+                output = [] if report == "empty code" else tokenizer.encode(f"```output\n{result or report}{notice}\n```\n")
+                if len(r["ids"]) + len(output) >= limit:
+                    r["ended"] = "output"  # no room for it: dropped, and nothing follows
+                else:
+                    r["ids"], r["own"] = r["ids"] + output, r["own"] + [0] * len(output)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                rows = batch.slice(at, rows_at_once).to_pylist()
+                step(rows)
+                yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+    return run
+
+
+def rollout(prompts: DataFrame, generate: GenerateIds, tokenizer: Tokenizer, limit: int, execute: Execute = arithmetic, samples: int = 1, most_rounds: int = 7, notice: str = NOTICE, stop: str = "`\n", rows_at_once: int = 256) -> DataFrame:
+    """Samples with tool calls under a budget of tokens: ``idx, sample, response, ids, own, rounds, ended``.
+
+    ``prompts`` has ``idx`` and ``query``.  ``ids`` are the response's tokens, at most ``limit``;
+    ``own`` is 1 on those that the generator gave, 0 on outputs.  Each round every active
+    sequence is continued within what is left of its budget; a reply that ends with ``stop``
+    calls a tool, whose output is encoded alone and appended.  ``ended`` says why a sequence
+    is over: ``stop`` (a reply without a call), ``budget`` (the reply was cut at the limit),
+    ``output`` (an output that leaves no token was dropped), ``rounds``.  The round before the
+    last one puts ``notice`` into its outputs.  A null query is an empty one.
+
+    A round is one pass over the active sequences only; its state is written, and the active
+    rows of the round before are read once, so the plan stays short and a lost executor
+    repeats one task.
+    """
+    spark = prompts.sparkSession
+    ship_package(spark)
+    encode = F.udf(lambda q: tokenizer.encode(q or ""), "array<int>", useArrow=True)
+    empty = F.array().cast("array<int>")
+    start = prompts.select(F.col("idx").cast("long").alias("idx"), encode(F.col("query").cast("string")).alias("prompt"))
+    active = start.select("idx", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"), "prompt", empty.alias("ids"), empty.alias("own"), F.lit(0).alias("rounds"), F.lit(None).cast("string").alias("ended"))
+    finished = None
+    for r in range(most_rounds):
+        step = _budget_round(generate, tokenizer, execute, limit, r == most_rounds - 1, notice if r == most_rounds - 2 else "", stop, rows_at_once)
+        after = keep(active.mapInArrow(step, STATE), "rollout")
+        over = after.where("ended IS NOT NULL").drop("prompt")
+        finished = over if finished is None else finished.unionByName(over)
+        active = after.where("ended IS NULL")
+        if active.isEmpty():
+            break
+    decode = F.udf(lambda ids: tokenizer.decode(ids), "string", useArrow=True)
+    return finished.select("idx", "sample", decode("ids").alias("response"), "ids", "own", "rounds", "ended")

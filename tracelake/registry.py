@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import answers, blocks, rewards, token_math
+from .functions import answers, blocks, rewards, token_math, tokens
 from .operators import advantage, balance, batch, evaluation, grading
 from .plans import execute, exchange, loop, prep
 from .plans.ship import ship_package
@@ -139,6 +139,24 @@ def batch_metrics(spark, sf):
     return out.select(*(grid(F.col(c)).alias(c) for c in out.columns))
 
 
+@query(f"""WITH s AS (SELECT vec_id, label, embedding::double[] AS e, list_transform(range(1, 65), lambda i: CASE WHEN i <= 64 - vec_id % 9 THEN 1 ELSE 0 END) AS m FROM embeddings),
+r AS (SELECT vec_id, list_sum(e) AS score, list_sum(e) - 0.5 * label AS reward, list_sum(m) AS response_length, vec_id % 32 + 1 AS prompt_length FROM s),
+t AS (SELECT vec_id, label, unnest(e) AS x, unnest(m) AS m, unnest(range(1, 65)) AS i FROM s), v AS (SELECT x * 2 AS a, x + label AS r, x * 0.5 + i * 0.01 AS v FROM t WHERE m = 1)
+SELECT {', '.join(f"{g(f'{f}({c})')} AS {c}_{n}" for c in ('score', 'reward', 'response_length', 'prompt_length') for n, f in (('mean', 'avg'), ('max', 'max'), ('min', 'min')))},
+{g('avg(CAST(response_length = 64 AS INT))')} AS response_length_clip_ratio, {g('avg(CAST(prompt_length = 32 AS INT))')} AS prompt_length_clip_ratio,
+{', '.join(f"(SELECT {g(f'{f}({c[0]})')} FROM v) AS {c}_{n}" for c in ('advantages', 'returns', 'values') for n, f in (('mean', 'avg'), ('max', 'max'), ('min', 'min')))},
+(SELECT {g('1 - var_samp(r - v) / (var_samp(r) + 1e-5::double)')} FROM v) AS vf_explained_var FROM r""")
+def data_metrics(spark, sf):
+    """Sequence and token metrics of one batch, in one pass."""
+    e, label = vector(), F.col("label")
+    spread = F.transform(e, lambda x, i: F.when(i == 0, x - 0.5 * label).otherwise(x))
+    d = read(spark, sf, "embeddings").select(
+        e.alias("token_level_scores"), spread.alias("token_level_rewards"), F.transform(e, lambda x: x * 2).alias("advantages"), F.transform(e, lambda x: x + label).alias("returns"), F.transform(e, lambda x, i: x * 0.5 + (i + 1) * 0.01).alias("values"),
+        F.transform(e, lambda x, i: F.when(i < 64 - F.col("vec_id") % 9, 1).otherwise(0)).alias("response_mask"), (F.col("vec_id") % 32 + 1).alias("prompt_length"))
+    out = evaluation.data_metrics(d, 64, 32, values="values")
+    return out.select(*(grid(F.col(c)).alias(c) for c in out.columns))
+
+
 @query(f"""SELECT {g('1 - var_samp(l_extendedprice - l_quantity * 1000) / (var_samp(l_extendedprice) + 1e-5::double)')} AS explained_variance FROM lineitem""")
 def explained_variance(spark, sf):
     d = read(spark, sf, "lineitem").select((F.col("l_quantity") * 1000).alias("v"), F.col("l_extendedprice").alias("r"))
@@ -301,15 +319,28 @@ def grpo_token_tiled(spark, sf):
     return out.select("vec_id", (F.col("p") + 1).cast("long").alias("pos"), grid(F.col("advantage")).alias("advantage"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
-f AS (SELECT user_id, event_id, r, value AS a FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, e.value + 0.9::double * 0.95::double * f.a FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
-SELECT event_id, {g('a')} AS advantage FROM f""")
+#: The definition, place by place from the right, with values that depend on the event.
+GAE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, value, (event_id % 7) * 0.5::double - 1 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+f AS (SELECT user_id, event_id, r, v, value - v AS a FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, e.v, e.value + 0.9::double * f.v - e.v + 0.9::double * 0.95::double * f.a FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+SELECT event_id, {} AS advantage, {} AS returns FROM f""".format(g("a"), g("a + v"))
+
+
+@query(GAE_SQL)
 def gae_advantage(spark, sf):
     item = F.struct("ts", "event_id", "value")
     s = read(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
-    s = s.select("user_id", F.transform("s", lambda x: x["event_id"]).alias("ids"), F.transform("s", lambda x: x["value"]).alias("rewards"), F.transform("s", lambda x: F.lit(0.0)).alias("values"))
+    s = s.select("user_id", F.transform("s", lambda x: x["event_id"]).alias("ids"), F.transform("s", lambda x: x["value"]).alias("rewards"), F.transform("s", lambda x: (x["event_id"] % 7) * 0.5 - 1).alias("values"))
     out = advantage.generalised(s, gamma=0.9, lam=0.95)
-    return out.select(F.explode(F.arrays_zip("ids", "advantages")).alias("x")).select(F.col("x.ids").alias("event_id"), grid(F.col("x.advantages")).alias("advantage"))
+    return out.select(F.explode(F.arrays_zip("ids", "advantages", "returns")).alias("x")).select(F.col("x.ids").alias("event_id"), grid(F.col("x.advantages")).alias("advantage"), grid(F.col("x.returns")).alias("returns"))
+
+
+@query(GAE_SQL)
+def gae_long_sequences(spark, sf):
+    """The same by chunks of seven, as for sequences that no task holds."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf, "events").select("user_id", "event_id", "value", ((F.col("event_id") % 7) * 0.5 - 1).alias("v"), (F.row_number().over(w) - 1).alias("place"))
+    out = advantage.generalised_long(e, "user_id", "place", "value", "v", 0.9, 0.95, chunk=7)
+    return out.select("event_id", grid(F.col("advantage")).alias("advantage"), grid(F.col("returns")).alias("returns"))
 
 
 @query(f"""SELECT event_id, {g('sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS returns FROM events""")
@@ -652,6 +683,55 @@ def tool_loop(spark, sf):
     return out.select("idx", "rounds", answers.apply(answers.boxed_answer)("query").alias("answer"), "logprob", "length")
 
 
+def scripted_ids(asked: list[list[int]], budgets: list[int]) -> list[loop.Reply]:
+    """A stand-in generator of code points: asks for a program once or twice, then answers, or talks on beyond any budget."""
+    out = []
+    for ids in asked:
+        text = TOKENIZER.decode(ids)
+        n, calls = int(text[1 : text.index(":")]), text.count("```output")
+        if n % 4 == 3:
+            say = "talk " * 40
+        elif calls <= n % 4:
+            say = f"\n```python\nprint({n} * 2)\n```\n"
+        else:
+            say = f"\\boxed{{{blocks.program_output(text)}}}"
+        out.append(loop.Reply(TOKENIZER.encode(say)))
+    return out
+
+
+TOKENIZER = tokens.CodePoints()
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id AS idx FROM conversations), p AS (SELECT idx, idx % 4 AS k, chr(10) || '```python' || chr(10) || 'print(' || idx || ' * 2)' || chr(10) || '```' || chr(10) AS call, '```output' || chr(10) || (idx * 2) || chr(10) || '```' || chr(10) AS result, '\\boxed{' || (idx * 2) || '}' AS said FROM c),
+t AS (SELECT *, CASE k WHEN 3 THEN repeat('talk ', 40) WHEN 0 THEN call || result || said WHEN 1 THEN call || result || call || result || said ELSE call || result || call || result || call || result || said END AS whole,
+  CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS calls, length(call) AS n, length(result) AS m, length(said) AS s FROM p),
+-- the calls whose output has room, and whether the next reply fits
+f AS (SELECT *, CASE WHEN k = 3 THEN 0 ELSE least(calls, 99 // (n + m)) END AS done FROM t)
+SELECT idx, CASE WHEN k = 3 THEN left(whole, 100) WHEN done < calls THEN left(left(whole, (done * (n + m) + n)::BIGINT), 100) ELSE left(whole, 100) END AS response,
+  CAST(CASE WHEN k = 3 THEN 1 ELSE done + 1 END AS INT) AS rounds,
+  CASE WHEN k = 3 THEN 'budget' WHEN done < calls AND done * (n + m) + n >= 100 THEN 'budget' WHEN done < calls THEN 'output' WHEN done * (n + m) + s >= 100 THEN 'budget' ELSE 'stop' END AS ended FROM f""")
+def budget_loop(spark, sf):
+    """Answers, dropped outputs and cut replies under a budget of 100 tokens."""
+    p = read(spark, sf, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("idx"), F.concat(F.lit("q"), "conv_id", F.lit(":")).alias("query"))
+    return loop.rollout(p, scripted_ids, TOKENIZER, 100).select("idx", "response", "rounds", "ended")
+
+
+PIECE = r"\s*(?:[A-Za-z]+|\d|[^\sA-Za-z\d])|\s+"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END AS head, '```output' || chr(10) || turn || ' steps' || chr(10) || '```' || chr(10) AS block, CASE WHEN turn % 3 = 0 THEN 'then ' ELSE chr(10) || ' so ' END AS mid FROM conversations),
+n AS (SELECT *, len(regexp_extract_all(head || block || mid || block || 'end', '{PIECE}')) AS size, len(regexp_extract_all(head, '{PIECE}')) AS a, len(regexp_extract_all(block, '{PIECE}')) AS b, len(regexp_extract_all(head || block || mid, '{PIECE}')) AS c FROM c)
+SELECT conv_id, turn, CAST(size AS INT) AS n_tokens, CAST(len(list_filter(range(size), lambda i: i >= a AND i < a + b OR i >= c AND i < c + b)) AS INT) AS n_masked, CAST(list_sum(list_filter(range(size), lambda i: i >= a AND i < a + b OR i >= c AND i < c + b)) AS BIGINT) AS places FROM n""")
+def output_token_mask(spark, sf):
+    """Two tool outputs in a text: how many tokens are masked, and the sum of their places."""
+    t = F.col("turn")
+    block = F.concat(F.lit("```output\n"), t, F.lit(" steps\n```\n"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(t % 2 == 0, "\n").otherwise(""), block, F.when(t % 3 == 0, "then ").otherwise("\n so "), block, F.lit("end"))
+    d = tokens.with_output_mask(read(spark, sf, "conversations").select("conv_id", "turn", text.alias("whole")), "whole", tokens.Pieces())
+    gone = F.filter(F.transform("response_mask", lambda m, i: F.when(m == 0, i)), lambda i: i.isNotNull())
+    return d.select("conv_id", "turn", F.size("response_mask").alias("n_tokens"), F.size(gone).alias("n_masked"), F.aggregate(gone, F.lit(0).cast("long"), lambda a, i: a + i).alias("places"))
+
+
 @query(f"""SELECT event_id, {g('sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)')} AS value_so_far FROM events""")
 def running_totals(spark, sf):
     e = evaluation.running_totals(read(spark, sf, "events"), "user_id", [F.col("ts"), F.col("event_id")], ["value"])
@@ -746,17 +826,22 @@ def last_token_score(spark, sf):
     return d.select("vec_id", grid(F.col("x")[F.col("place")]).alias("score"), "place")
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM customer) SELECT CAST(r AS INT) AS rank, n // 7 AS dropped, (n + 6) // 7 AS recycled FROM n, range(7) t(r)""")
+@query("""WITH o AS (SELECT c_custkey AS row_id, row_number() OVER (ORDER BY md5('11/2/' || c_custkey), c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer)
+SELECT row_id, place, CAST(place % 7 AS INT) AS rank, true AS dropped FROM o WHERE place < n - n % 7 UNION ALL SELECT row_id, place, CAST(place % 7 AS INT), false FROM o
+UNION ALL SELECT row_id, place + n, CAST((place + n) % 7 AS INT), false FROM o WHERE place < (7 - n % 7) % 7""")
 def rank_batches(spark, sf):
+    """Which row goes to which rank, without the rest and with leading rows coming again."""
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
-    of = lambda drop, name: batch.rank_batches(c, 7, 11, epoch=2, drop_last=drop).groupBy("rank").agg(F.count("*").alias(name))
-    return of(True, "dropped").join(of(False, "recycled"), "rank")
+    of = lambda drop: batch.rank_batches(c, 7, 11, epoch=2, drop_last=drop).select("row_id", F.col("at").alias("place"), "rank", F.lit(drop).alias("dropped"))
+    return of(True).union(of(False))
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM customer) SELECT CAST(b AS BIGINT) AS batch, CAST(20 AS BIGINT) AS rows FROM n, range(10000000) t(b) WHERE b < n // 20""")
+@query("""WITH o AS (SELECT c_custkey AS row_id, row_number() OVER (ORDER BY md5('11/0/' || c_custkey), c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer)
+SELECT row_id, place, place // 20 AS batch FROM o WHERE place < n - n % 20""")
 def training_batches(spark, sf):
+    """Which row goes to which batch."""
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
-    return batch.training_batches(c, 16, 11, multiplier=1.25).groupBy("batch").agg(F.count("*").alias("rows"))
+    return batch.training_batches(c, 16, 11, multiplier=1.25).select("row_id", F.col("at").alias("place"), "batch")
 
 
 @query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
