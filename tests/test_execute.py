@@ -110,3 +110,36 @@ def test_splits_and_prompts(spark):
     with pytest.raises(Exception, match="template"):
         spark.range(1).select(prep.prompts(F.lit("q"), F.lit("x"), {"y": "{question}"})).collect()
     assert spark.range(1).select(prep.without_pad(F.array(F.lit("a<p>"), F.lit("<p>b")), "<p>").alias("t")).first().t == "a\nb"
+
+
+def test_a_grader_in_c_code_costs_its_row_only(spark):
+    def grade(given, wanted):
+        import ctypes
+        import os
+
+        if given == "13":
+            ctypes.CDLL(None).sleep(600)  # no signal handler of Python's runs here
+        if given == "17":
+            os._exit(3)
+        if given == "19":
+            raise KeyError
+        return given == wanted
+
+    df = spark.range(1000, numPartitions=3).selectExpr("CAST(id AS STRING) AS solution", "CAST(id - id % 2 AS STRING) AS truth", "'s' AS source")
+    graded = execute.verified(df, grade, seconds=1.0)
+    got = {r.solution: (r.correct, r.verify_error) for r in graded.collect()}
+    assert len(got) == 1000 and got["13"] == (None, "TimeoutError") and got["17"] == (None, "Crashed") and got["19"] == (None, "KeyError")
+    assert all(v == (int(k) % 2 == 0, None) for k, v in got.items() if k not in ("13", "17", "19"))
+    report = execute.verified_report(graded).first()
+    assert (report.sample_size, report.num_verify_error) == (997, 3) and abs(report.accuracy - 500 / 997) < 1e-12
+
+
+def test_an_executor_that_hangs(spark):
+    def run(code):
+        while code == "hang":
+            pass
+        return code.upper(), "Done"
+
+    df = spark.createDataFrame([(k, "hang" if k == 3 else f"p{k}") for k in range(20)], "id long, code string").repartition(2)
+    got = {r.id: tuple(r.outcome) for r in execute.executed(df, execute=run, seconds=0.5).collect()}
+    assert got == {k: ("", "Timeout Error") if k == 3 else (f"P{k}", "Done") for k in range(20)}

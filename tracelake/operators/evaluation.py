@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
 from ..sources.shared import keep
+from . import quantiles
 
 MISSING = -1.0
 QUERY_BLOCK, TILE, CANDIDATES = 4096, 128, 4096
@@ -82,11 +83,12 @@ def sequence_entropy(logprob: Column, length: Column) -> Column:
     return -F.exp(a) * a
 
 
-def entropy_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, population deviation, its ratio, range and quartiles by group."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (F.max(value) - F.min(value)).alias("range"), q.alias("_q"))
-    return out.select(group, "mean", "std", F.try_divide("std", "mean").alias("cv"), "range", *(F.get("_q", i).alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
+def entropy_stats(df: DataFrame, group: str, value: str, few: int = quantiles.FEW) -> DataFrame:
+    """Mean, population deviation, its ratio, range and exact quartiles by group; no task holds more than ``few`` values of a group."""
+    sums = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (F.max(value) - F.min(value)).alias("range"))
+    q = quantiles.exact_quantiles(df, group, value, [0.25, 0.5, 0.75], few).withColumnRenamed(group, "_q")
+    out = sums.join(q, F.col(group).eqNullSafe(F.col("_q")), "left")
+    return out.select(group, "mean", "std", F.try_divide("std", "mean").alias("cv"), "range", *(F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
 
 
 def offline_scores(df: DataFrame, scores: str) -> DataFrame:

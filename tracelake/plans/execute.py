@@ -7,10 +7,10 @@ and the size of numbers are bounded, so a program ends at the same place on ever
 from __future__ import annotations
 
 import ast
+import multiprocessing
 import operator
-import signal
+import os
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,65 +103,114 @@ def arithmetic(code: str) -> tuple[str, str]:
     return outcome(code)
 
 
-def executed(programs: DataFrame, code: str = "code", answer: str = "printed", of: str = "", execute: Callable[[str], tuple[str, str]] | None = None, out: str = "outcome") -> DataFrame:
+class Child:
+    """A function in a process of its own, so that a call that doesn't end can be killed, C code included.
+
+    The process is forked with the function in it and answers call after call; after a
+    killed or crashed call the next one gets a new process.  ``call`` gives (value, None), or
+    (None, why): the exception's name, ``TimeoutError`` or ``Crashed``.
+    """
+
+    def __init__(self, fn: Callable, seconds: float):
+        self.fn, self.seconds, self.process = fn, seconds, None
+
+    def _serve(self, pipe) -> None:
+        while True:
+            try:
+                arguments = pipe.recv()
+            except EOFError:
+                os._exit(0)
+            try:
+                answer = (self.fn(*arguments), None)
+            except BaseException as e:  # noqa: BLE001  whatever ends a call is its answer
+                answer = (None, type(e).__name__)
+            try:
+                pipe.send(answer)
+            except Exception as e:  # noqa: BLE001  a value that can't be sent
+                pipe.send((None, type(e).__name__))
+
+    def _start(self) -> None:
+        self.pipe, other = _fork.Pipe()
+        self.process = _fork.Process(target=self._run, args=(other, self.pipe), daemon=True)
+        self.process.start()
+        other.close()
+
+    def _run(self, pipe, parents) -> None:
+        parents.close()  # so that the end of the parent ends the child
+        self._serve(pipe)
+
+    def call(self, *arguments) -> tuple[object, str | None]:
+        if self.process is None:
+            self._start()
+        try:
+            self.pipe.send(arguments)
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            why = "TimeoutError"
+        except (EOFError, OSError):
+            why = "Crashed"
+        self.close()
+        return None, why
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.process.close()
+            self.pipe.close()
+            self.process = None
+
+
+_fork = multiprocessing.get_context("fork")
+
+
+def executed(programs: DataFrame, code: str = "code", answer: str = "printed", of: str = "", execute: Callable[[str], tuple[str, str]] | None = None, out: str = "outcome", seconds: float = 30.0) -> DataFrame:
     """Each row with ``out``: its program's ``(result, report)``, by ``execute`` or the evaluator.
 
-    Rows stay in place, in Arrow batches; a failing ``execute`` is its row's report.
+    Rows stay in place, in Arrow batches.  The evaluator is bounded in itself; ``execute`` runs
+    in a process beside the task and is killed after ``seconds``.  A failing, crashed or killed
+    one is its row's report (``Error: ...``, ``Timeout Error``), and the other rows are unharmed.
     """
     if answer not in ("printed", "symbol", "expression", "last_line"):
         raise ValueError(f"no way to answer: {answer}")
     ship_package(programs.sparkSession)
 
-    def one(text: str | None) -> tuple[str, str]:
-        if execute is None:
-            return outcome(text, answer, of)
-        try:
-            return execute(text)
-        except Exception as e:  # noqa: BLE001
-            return "", f"Error: {type(e).__name__}"
-
     @F.pandas_udf(OUTCOME)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["result", "report"])
-
-    return programs.withColumn(out, run(F.col(code)))
+        child = Child(execute, seconds) if execute else None
 
+        def one(text: str | None) -> tuple[str, str]:
+            if child is None:
+                return outcome(text, answer, of)
+            got, why = child.call(text)
+            return got if why is None else ("", "Timeout Error" if why == "TimeoutError" else f"Error: {why}")
 
-@contextmanager
-def seconds_limit(seconds: float):
-    """TimeoutError in the block after ``seconds``; for a worker's main thread, where its rows are graded."""
-
-    def ring(*_):
-        raise TimeoutError
+        try:
+            for texts in batches:
+                yield pd.DataFrame([one(t) for t in texts], columns=["result", "report"])
+        finally:
+            if child:
+                child.close()
 
-    before = signal.signal(signal.SIGALRM, ring)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        yield
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+    return programs.withColumn(out, run(F.col(code)))
 
 
 def verified(attempts: DataFrame, grade: Callable[[str | None, str | None], bool], solution: str = "solution", truth: str = "truth", seconds: float = 30.0) -> DataFrame:
     """Each row with ``correct`` and ``verify_error``: a grader's verdict, or null and why it gave none in time.
 
-    Row by row in Arrow batches, as graders are Python functions of one text.
+    A grader is a Python function of two texts.  It runs in a process beside the task and is
+    killed after ``seconds`` (``TimeoutError``); the row's verdict is lost, no other one.
     """
     ship_package(attempts.sparkSession)
 
-    def one(given: str | None, wanted: str | None) -> tuple[bool | None, str | None]:
-        try:
-            with seconds_limit(seconds):
-                return bool(grade(given, wanted)), None
-        except Exception as e:  # noqa: BLE001
-            return None, type(e).__name__
-
     @F.pandas_udf("correct boolean, verify_error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for given, wanted in batches:
-            yield pd.DataFrame([one(a, b) for a, b in zip(given, wanted)], columns=["correct", "verify_error"], dtype=object)
+        child = Child(lambda given, wanted: bool(grade(given, wanted)), seconds)
+        try:
+            for given, wanted in batches:
+                yield pd.DataFrame([child.call(a, b) for a, b in zip(given, wanted)], columns=["correct", "verify_error"], dtype=object)
+        finally:
+            child.close()
 
     graded = attempts.withColumn("_v", run(F.col(solution), F.col(truth)))
     return graded.withColumns({"correct": F.col("_v.correct"), "verify_error": F.col("_v.verify_error")}).drop("_v")
