@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import topk
-from tracelake.llm.sharding import ShardedTable, shard_index
+from tracelake.llm.sharding import Refused, ShardedTable, shard_index
 from tracelake.llm.storage import new_path
 
 from . import helpers as h
@@ -111,7 +111,7 @@ def test_splits_above_the_target_end_near_it(spark):
     for parts in (2, 16):  # splits of about five targets, and of 0.6 of one: no two fit
         docs = h.documents(spark, rows).repartition(parts)
         path = new_path(spark, "large")
-        got = shard_index(docs, path, target_bytes=target).collect()
+        got = shard_index(docs, path, target_bytes=target, arrivals=1).collect()
         assert sorted(x.doc_id for x in got) == list(range(2400))
         sizes = [s["bytes"] for s in ShardedTable(spark, path).manifest()["shards"]]
         assert all(0.75 * target <= n <= 1.25 * target for n in sizes), (parts, sizes)
@@ -122,3 +122,102 @@ def test_a_row_above_the_target_stays_alone(spark):
     rows = [(i, "".join(r.choice("abcdefgh") for _ in range(n)), None, None, None) for i, n in enumerate([400000, 50, 60, 70])]
     got = shard_index(h.documents(spark, rows).coalesce(1), new_path(spark, "row"), target_bytes=1 << 16).collect()
     assert sorted(x.doc_id for x in got) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("wide_first", [True, False])
+def test_columns_that_come_and_go(spark, wide_first):
+    narrow, wide = spark.range(0, 50).selectExpr("id", "id * 2 AS a"), spark.range(50, 100).selectExpr("id", "CAST(id AS STRING) AS b")
+    t = ShardedTable(spark, new_path(spark, "columns"), fanout=2, small_bytes=1 << 20)
+    for df in (wide, narrow) if wide_first else (narrow, wide):
+        t.append(df, arrivals=2)
+    t.append(spark.range(100, 110), arrivals=1)
+    before = {(r.id, r.a, r.b) for r in t.rows().collect()}
+    assert before == {(i, i * 2, None) for i in range(50)} | {(i, None, str(i)) for i in range(50, 100)} | {(i, None, None) for i in range(100, 110)}
+    assert t.settle()["version"] > 3 and {(r.id, r.a, r.b) for r in t.rows().collect()} == before
+    for bad in (spark.range(3).selectExpr("CAST(id AS STRING) AS id"), spark.range(3).selectExpr("id AS ID")):
+        with pytest.raises(ValueError):
+            t.append(bad)
+    assert t.rows().count() == 110
+
+
+def test_a_rename_whose_answer_is_lost(spark):
+    t = ShardedTable(spark, new_path(spark, "lost"))
+    rename = t._rename
+
+    def lost(source, target):
+        rename(source, target)
+        raise OSError("no answer")
+
+    t._rename = lost
+    assert t.append(spark.range(20))["version"] == 1 and t.rows().count() == 20
+
+    def never(source, target):
+        raise OSError("no connection")
+
+    t._rename = never
+    with pytest.raises(OSError):
+        t.append(spark.range(5))
+    t._rename = rename
+    assert t.rows().count() == 20 and t.append(spark.range(5))["version"] == 2 and t.rows().count() == 25
+
+
+def test_two_writers(spark):
+    path = new_path(spark, "writers")
+    a, b = ShardedTable(spark, path), ShardedTable(spark, path)
+    base = a.manifest()
+    a.append(spark.range(10))
+    b.manifest = lambda version=None: base if version is None else ShardedTable.manifest(b, version)
+    with pytest.raises(Refused):
+        b.append(spark.range(10, 30))
+    assert a.rows().count() == 10
+    files = {s.getPath().getName() for f in a.fs.listStatus(a._path("data")) for s in a.fs.listStatus(f.getPath()) if s.getPath().getName().endswith(".parquet")}
+    assert files == {s["file"].split("/")[-1] for s in a.manifest()["shards"]}
+
+
+def test_empty_partitions_leave_no_shards(spark):
+    t = ShardedTable(spark, new_path(spark, "holes"))
+    t.append(spark.range(100).repartition(8).where("id < 3"))
+    assert all(s["rows"] > 0 for s in t.manifest()["shards"]) and sum(s["rows"] for s in t.manifest()["shards"]) == 3
+    assert t.append(spark.range(0))["version"] == 2 and t.rows().count() == 3
+
+
+def test_index_against_the_files(spark):
+    """Every size goes through several versions and a merge; the index says for each row the file that holds it."""
+    import pyarrow.parquet as pq
+
+    rows = h.corpus(3)
+    path = new_path(spark, "files")
+    got = shard_index(h.documents(spark, rows), path).collect()
+    t = ShardedTable(spark, path)
+    m = t.manifest()
+    assert {r.version for r in got} == {m["version"]} and m["version"] >= 5 and max(s["level"] for s in m["shards"]) > 0
+    files = sorted(s["file"] for s in m["shards"])
+    want = collections.Counter()
+    for k, f in enumerate(files):
+        table = pq.read_table(f"{path}/{f}".removeprefix("file:"))
+        want.update((i, len((x or "").encode()), k, len(table)) for i, x in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()))
+    assert collections.Counter((r.doc_id, r.text_bytes, r.shard_no, r.shard_rows) for r in got) == want
+
+
+def test_repeated_query_ids(spark, monkeypatch):
+    """Each row that asks has an answer of its own, also where many rows share an id; blocks keep their bound."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(self, x))
+    assert search(spark, [(0, [1.0]), (0, [2.0]), (1, [1.0]), (2, [0.5]), (3, [0.25]), (4, [0.1])], k=3) == sorted([(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 3, 3, 16384), (0, 1, 1, 131072), (0, 2, 2, 65536), (0, 3, 3, 32768)])
+    r = random.Random(7)
+    rows = [(r.choice([0, 0, 0, 50, 7, 9, k]), [r.choice([0.0, 0.5, -0.25, 1.5]) for _ in range(4)]) for k in range(120)]
+    assert search(spark, rows) == brute(rows)
+    assert sent and all(len(x[0]) <= 3 for x in sent)
+
+
+def test_many_runs_of_one_job_stay_apart(spark):
+    """Several runs are merged in a job, each to a file of at most the target."""
+    r, target = random.Random(5), 1 << 18
+    text = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(1500))
+    docs = h.documents(spark, [(i, text(), None, None, None) for i in range(1600)]).repartition(8)
+    path = new_path(spark, "runs")
+    assert shard_index(docs, path, target_bytes=target).count() == 1600
+    shards = ShardedTable(spark, path).manifest()["shards"]
+    assert len(shards) >= 6 and max(s["bytes"] for s in shards) <= 1.25 * target and sum(s["bytes"] < target // 2 for s in shards) < 4

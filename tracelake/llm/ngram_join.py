@@ -33,6 +33,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ NARROWINGS = 2
 SMALL_GROUP = 32  # nodes of a signature's group up to which its pairs are looked at one by one
 BLOCK, SLICE = 256, 2048  # nodes of a block, elements of a matrix
 STAR_SIGNATURES = 64  # smallest signatures of a node that the first two rounds use; the last uses all
-SIGNATURE_NODES = 1024  # nodes of a chunk of signatures
+SIGNATURE_NODES, SIGNATURE_ELEMENTS = 1024, 400_000  # nodes of a chunk of signatures, and elements of their sets; a larger set is a chunk of its own
+MOST_TOLD = 200_000  # pairs that a task remembers to have told; beyond that one may be told again
 PAIR_BYTES = 8 << 20  # of sets that are verified in one group, on average
 BLOCK_FIELDS = "cluster long, apart boolean, block string, low_n int, high_n int, data binary"
 MASK = U64((1 << ORD_BITS) - 1)
@@ -363,8 +365,9 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, SIGNATURE_NODES):
-                part = batch.slice(a, SIGNATURE_NODES)
+            ends = np.cumsum(np.asarray(pa.compute.list_value_length(batch.column(2))).astype(np.int64))
+            for a, b in words.chunks(np.append(0, ends), SIGNATURE_NODES, SIGNATURE_ELEMENTS):
+                part = batch.slice(a, b - a)
                 part = part.take(pa.compute.sort_indices(part.column(0)))  # so that edges start at the smallest node
                 node, n, label = (np.asarray(part.column(i)) for i in (0, 1, 3))
                 sets = [np.asarray(x.values) for x in part.column(2)]
@@ -392,7 +395,7 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int, le
 
 
 def _candidates(percent: int, step: int, least: int):
-    """All packed rows of a bucket -> (kind, a, b): pairs to verify, and edges of large groups in the last round; each once a task."""
+    """All packed rows of a bucket -> (kind, a, b): pairs to verify, and edges of large groups in the last round; a task tells recent ones once."""
     told: dict[int, set] = {}
 
     def run(table: pa.Table) -> pa.Table:
@@ -429,6 +432,8 @@ def _candidates(percent: int, step: int, least: int):
             put(PAIRS, node[x], node[y])
             x, y = _edges(g, _mixed(g) & (g.times > least))
             put(EDGES, node[x], node[y])
+        if len(seen) > MOST_TOLD:
+            seen.clear()
         new = [t for t in zip(np.concatenate(kinds).tolist(), np.concatenate(xs).tolist(), np.concatenate(ys).tolist()) if t not in seen and not seen.add(t)]
         return pa.table({k: pa.array([t[i] for t in new], kind) for i, (k, kind) in enumerate((("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())))})
 
@@ -479,18 +484,19 @@ def similar_sets(nodes: DataFrame, percent: int) -> DataFrame:
         own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.hint("merge").join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"))
         sent = own.mapInArrow(words.tidy(_signature_rows(limits, percent, buckets, step, SMALL_GROUP, STAR_SIGNATURES)), SIGNATURE_DDL)
         found = keep(sent.groupBy("bucket").applyInArrow(_candidates(percent, step, SMALL_GROUP), "kind byte, a long, b long").distinct(), "candidates")
-        links = keep(verified(found.where(f"kind = {PAIRS}").select("a", "b"), nodes, percent, pair_bytes), "links")
+        own_links = [keep(verified(found.where(f"kind = {PAIRS}").select("a", "b"), nodes, percent, pair_bytes), "links")]
         if step == 2:
-            more = keep(_in_blocks(found.where(f"kind = {EDGES}").select("a", "b"), nodes, labels, percent), "links")
-            discard(found)
-            if links.isEmpty() and more.isEmpty():
-                discard(links, more)
-                return labels
-            links = links.union(more)
+            own_links.append(keep(_in_blocks(found.where(f"kind = {EDGES}").select("a", "b"), nodes, labels, percent), "links"))
+        discard(found)
+        if step == 2 and all(x.isEmpty() for x in own_links):
+            discard(*own_links)
+            return labels
+        links = reduce(DataFrame.union, own_links)
         before = labels
         if before is not None:
             links = links.union(before.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
+        discard(*own_links, *[before] * (before is not None))
     return labels
 
 

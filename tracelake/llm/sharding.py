@@ -9,8 +9,10 @@ large for two to fit one file, are dealt row by row over files near the target.
 renamed to its number without overwriting, which HDFS and local file systems do as a whole or refuse
 (object stores without an atomic rename need a committer of their own):
 readers see the state before or after, and of two writers with the same number one must try
-again.  Files that neither of the last two manifests lists are removed after a commit, so readers of the
-version before are not cut off; files of a refused commit go at once.
+again.  A manifest has the table's schema, so a shard without a column, or with more than
+another, reads alike in any order of arrival.  Files that neither of the last two manifests lists are removed after a commit, so readers of the
+version before are not cut off; files of a refused commit go at once, those of a commit whose
+outcome can't be seen stay.
 """
 
 from __future__ import annotations
@@ -21,11 +23,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import StructField, StructType
 
 RUNS_A_JOB = 100
 
 
+class Refused(Exception):
+    """Another writer committed the version first."""
+
+
 def shard_of_row() -> Column:
     """The file a row was read from; a function, so that no column's name can hide it."""
     return F.substring_index(F.input_file_name(), "/data/", -1)
@@ -57,48 +63,93 @@ class ShardedTable:
         """The manifest of a version, the last by default; version 0 is the empty table."""
         version = version if version is not None else (self.versions() or [0])[-1]
         if version == 0:
-            return {"version": 0, "shards": []}
+            return {"version": 0, "shards": [], "schema": None}
         stream = self.fs.open(self._path(f"manifests/v{version:08d}.json"))
         try:
             return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, base: dict, shards: list[dict]) -> dict:
-        """Make ``shards`` the version after ``base``; fails if that version exists."""
-        new = {"version": base["version"] + 1, "shards": shards}
-        aside = self._path(f"manifests/_{uuid.uuid4().hex}")
+    def commit(self, base: dict, shards: list[dict], schema: str | None = None) -> dict:
+        """Make ``shards`` the version after ``base``; ``Refused`` if another writer made that version."""
+        new = {"version": base["version"] + 1, "shards": shards, "schema": schema or base.get("schema"), "writer": uuid.uuid4().hex}
+        aside = self._path(f"manifests/_{new['writer']}")
         stream = self.fs.create(aside, False)
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri() if aside.toUri().getScheme() else self.fs.getUri(), self.conf)
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.NONE
         try:
-            context.rename(aside, self._path(f"manifests/v{new['version']:08d}.json"), options)
-        except Exception:
-            self.fs.delete(aside, False)
+            self._rename(aside, self._path(f"manifests/v{new['version']:08d}.json"))
+        except Exception as e:
+            # the rename may have succeeded with its answer lost: what the version holds decides
+            if new["version"] in self.versions():
+                if self.manifest(new["version"]).get("writer") == new["writer"]:
+                    return new
+                self.fs.delete(aside, False)
+                raise Refused(f"version {new['version']} exists") from e
             raise
         return new
 
+    def _rename(self, source, target) -> None:
+        """Rename without overwriting."""
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri() if source.toUri().getScheme() else self.fs.getUri(), self.conf)
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
+        context.rename(source, target, options)
+
     # --- writing ---
 
     def _written(self, df: DataFrame, tier: int) -> list[dict]:
+        """Shards of the rows, those that have any; counted from the files' footers."""
         folder = f"data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        files = [s for s in self.fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
-        return [{"file": f"{folder}/{s.getPath().getName()}", "bytes": s.getLen(), "level": tier} for s in sorted(files, key=lambda s: s.getPath().getName())]
+        written = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
+        rows = {r.f: r.n for r in written.groupBy(shard_of_row().alias("f")).agg(F.count("*").alias("n")).collect()}  # a row a file
+        out = []
+        for s in sorted(self.fs.listStatus(self._path(folder)), key=lambda s: s.getPath().getName()):
+            name = f"{folder}/{s.getPath().getName()}"
+            if name.removeprefix("data/") in rows:
+                out.append({"file": name, "bytes": s.getLen(), "level": tier, "rows": rows[name.removeprefix("data/")]})
+            elif name.endswith(".parquet"):
+                self.fs.delete(s.getPath(), False)
+        return out
 
     def append(self, df: DataFrame, arrivals: int | None = None) -> dict:
         """Add the rows of ``df`` as small shards, a file a partition of ``df`` (``arrivals`` of them on request, by round robin).
 
-        All columns are stored as they are, whatever their names, nulls and repeated rows
-        included; an empty ``df`` commits a version without new shards of rows.
+        All columns are stored as they are, nulls and repeated rows included.  Columns that
+        the table hasn't yet are added to its schema, and rows before them read as null; columns
+        that ``df`` lacks are null in its rows.  A column of another type than the table's, or
+        names that differ in case only, are refused before anything is written.  An empty
+        ``df`` commits a version without new shards.  If another writer commits first, the
+        append is undone and raises ``Refused``.
         """
         base = self.manifest()
+        schema = self._widened(base, df.schema)
         new = self._written(df if arrivals is None else df.repartition(arrivals), 0)
-        return self._commit_new(base, base["shards"], new)
+        return self._commit_new(base, base["shards"], new, schema)
+
+    def _widened(self, base: dict, more: StructType) -> str:
+        own = StructType.fromJson(json.loads(base["schema"])) if base.get("schema") else StructType([])
+        fields = {f.name: f for f in own.fields}
+        for f in more.fields:
+            if f.name not in fields:
+                fields[f.name] = StructField(f.name, f.dataType, True)
+            elif fields[f.name].dataType.simpleString() != f.dataType.simpleString():
+                raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+        if len({n.lower() for n in fields}) < len(fields):
+            raise ValueError("columns whose names differ in case only")
+        return StructType([*fields.values()]).json()
+
+    def _apart(self) -> SparkSession:
+        """A copy of the session in which a union of single partitions keeps them apart, a file each."""
+        copy = SparkSession(self.spark.sparkContext, jsparkSession=self.spark._jsparkSession.cloneSession())
+        copy.conf.set("spark.sql.unionOutputPartitioning", "false")
+        return copy
+
+    def _shards(self, m: dict, shards: list[dict], spark: SparkSession | None = None) -> DataFrame:
+        """The rows of some shards, with the manifest's columns."""
+        return (spark or self.spark).read.schema(StructType.fromJson(json.loads(m["schema"]))).parquet(*(f"{self.path}/{s['file']}" for s in shards))
 
     def tier(self, size: int) -> int:
         n, limit = 0, self.small
@@ -142,7 +193,12 @@ class ShardedTable:
         return [g for g in out if len(g) >= self.fanout or any(s["bytes"] > self.target for s in g)]
 
     def compact(self) -> dict:
-        """One round: merge the planned runs, a task a run, deal what can't be merged, and commit."""
+        """One round: merge the planned runs, a task a run, deal what can't be merged, and commit.
+
+        Rows, nulls, repeated ones and all columns stay as they are.  Without a full tier
+        nothing is written.  If another writer commits first, the round is undone and raises
+        ``Refused``; the shards that it read stay, whatever happens.
+        """
         base = self.manifest()
         runs = self.plan(base["shards"])
         gone = {s["file"] for r in runs for s in r}
@@ -151,28 +207,31 @@ class ShardedTable:
             return base
         gone |= {s["file"] for g in deals for s in g}
         level = 1 + max(s["level"] for r in runs + deals for s in r)
-        new = []
+        new, apart = [], self._apart()
         for g in deals:
             files = -(-sum(s["bytes"] for s in g) // self.target)
-            new += self._written(self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in g)).repartition(files), level)
+            new += self._written(self._shards(base, g).repartition(files), level)
         for at in range(0, len(runs), RUNS_A_JOB):  # a job writes many runs, a task each; plans stay small
-            parts = [self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in r)).coalesce(1) for r in runs[at : at + RUNS_A_JOB]]
+            parts = [self._shards(base, r, apart).coalesce(1) for r in runs[at : at + RUNS_A_JOB]]
             new += self._written(reduce(DataFrame.unionByName, parts), level)
         done = self._commit_new(base, [s for s in base["shards"] if s["file"] not in gone], new)
         self.clean()
         return done
 
-    def _commit_new(self, base: dict, kept: list[dict], new: list[dict]) -> dict:
-        """Commit; the new files go if another writer was first."""
+    def _commit_new(self, base: dict, kept: list[dict], new: list[dict], schema: str | None = None) -> dict:
+        """Commit; the new files go if another writer was first, and only then."""
         try:
-            return self.commit(base, kept + new)
-        except Exception:
+            return self.commit(base, kept + new, schema)
+        except Refused:
             for s in new:
                 self.fs.delete(self._path(s["file"]), False)
             raise
 
     def settle(self) -> dict:
-        """Compact until no tier is full; each round leaves fewer shards below the target or above it, so this ends."""
+        """Compact until no tier is full; each round leaves fewer shards below the target or above it, so this ends.
+
+        A table that is empty, or settled, stays at its version.
+        """
         while True:
             before = self.manifest()["version"]
             if self.compact()["version"] == before:
@@ -202,20 +261,24 @@ class ShardedTable:
 
     def rows(self, version: int | None = None) -> DataFrame | None:
         m = self.manifest(version)
-        return self.spark.read.parquet(*(f"{self.path}/{s['file']}" for s in m["shards"])) if m["shards"] else None
+        return self._shards(m, m["shards"]) if m["shards"] else None
 
 
-def shard_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fanout: int = 4, target_bytes: int = 32 << 20) -> DataFrame:
-    """Append ``docs``, compact, and return where each row is: ``doc_id, shard_no, shard_rows, text_bytes, version``.
+def shard_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fanout: int = 4, target_bytes: int = 32 << 20, arrivals: int = 4) -> DataFrame:
+    """Append ``docs`` in ``arrivals`` parts, compact, and return where each row is: ``doc_id, shard_no, shard_rows, text_bytes, version``.
 
+    Each arrival is an append of its own, of the rows whose hash falls to it, so that a table
+    of any size has several versions and goes through the tiers; together they are all rows.
     ``shard_no`` numbers the last manifest's shards by file, from 0.  A row for each row of
     ``docs``, nulls, repeats and empty or very long texts included; all columns are stored.
     Columns named as the index's own don't clash: the index reads id and text only.  An
-    empty table commits a version without shards and gives no rows.
+    empty table commits versions without shards and gives no rows.
     """
     spark = docs.sparkSession
     table = ShardedTable(spark, path, fanout, target_bytes)
-    table.append(docs)
+    arrival = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(arrivals))
+    for k in range(arrivals):
+        table.append(docs.where(arrival == k))
     m = table.settle()
     rows = table.rows()
     if rows is None:

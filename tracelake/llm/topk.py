@@ -7,7 +7,7 @@ both vectors' remaining masses (Cauchy-Schwarz on the dimensions not yet read).
 that can no longer reach a query's current k-th score are dropped and the rest compacted
 before the next block.  Dimensions are read in descending mass.
 
-Queries come in super-blocks of at most ``QUERY_BLOCK`` vectors: one is sent to all
+Queries are numbered and come in super-blocks of at most ``QUERY_BLOCK`` vectors: one is sent to all
 executors, every candidate is read once for it, each task keeps its k best for each query,
 and the k best of those are the answer.  Nothing depends on how many candidates there are.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship_package
 from . import words
-from .storage import keep
+from .storage import discard, keep
 
 QUERY_BLOCK, TILE, CANDIDATES, DIMS = 8192, 256, 8192, 16
 
@@ -129,7 +129,7 @@ def _search_large(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
         best.put(place, s, c_ids[other])
 
 
-def _task(sent, k: int, scale: int):
+def _task(sent, first: int, k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, by_length = sent.value
         best = Best(len(q_ids), k)
@@ -150,7 +150,7 @@ def _task(sent, k: int, scale: int):
         for d in list(held):
             flush(d)
         q, place = np.nonzero(best.score != best.none)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(best.id[q, place]), pa.array(best.score[q, place])], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(first + q), pa.array(q_ids[q]), pa.array(best.id[q, place]), pa.array(best.score[q, place])], names=["nth", "query_id", "vec_id", "score"])
 
     return run
 
@@ -160,30 +160,46 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
 
     Scores are inner products of ``floor(scale * x)``; ties go to the smaller id, ranks start
     at 1, and fewer rows come where there are fewer candidates.  A row is no candidate for
-    queries of its own id.  Rows with a null id or vector, or a null or non-finite component,
-    take no part.  Vectors of another length than the query's are no candidates, and rows
-    that repeat an id are candidates each.  Any finite component takes part; scores beyond a
-    long's range are cut to it and tie there.  Empty tables give none.  Other columns are
-    ignored, whatever their names.
+    queries of its own id.  Rows that repeat an id are candidates each, and queries each, with
+    ranks of their own.  Rows with a null id or vector, or a null or non-finite component,
+    take no part.  Vectors of another length than the query's are no candidates.  Any finite
+    component takes part; scores beyond a long's range are cut to it and tie there.  Empty
+    tables give none.  Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     data = finite_vectors(vectors, id_col, vector_col)
-    asked = finite_vectors(vectors.where(queries), id_col, vector_col)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked, count = _numbered(finite_vectors(vectors.where(queries), id_col, vector_col))
+    blocks = max(1, -(-count // QUERY_BLOCK))
     found = None
-    for b in range(blocks):  # blocks of queries, each bounded; not groups of the data
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        table = part.toArrow().combine_chunks()
-        ids, by_length = np.asarray(table["id"]), {}
+    for b in range(blocks):  # of queries by number, so each is bounded; not groups of the data
+        first = b * QUERY_BLOCK
+        table = asked.where(F.col("nth").between(first, first + QUERY_BLOCK - 1)).select("id", "v").toArrow().combine_chunks()
+        ids, by_length, at = np.asarray(table["id"]), {}, 0
         for batch in table.to_batches():
             lengths = np.diff(np.asarray(batch.column(1).offsets))
             for own, rows in _matrices(batch, scale):
-                by_length[rows.shape[1]] = (np.flatnonzero(lengths == rows.shape[1]), rows)
-        sent = spark.sparkContext.broadcast((ids, by_length))
-        got = data.mapInArrow(words.tidy(_task(sent, k, scale)), "query_id long, vec_id long, score long")
+                by_length.setdefault(rows.shape[1], []).append((at + np.flatnonzero(lengths == rows.shape[1]), rows))
+            at += batch.num_rows
+        sent = spark.sparkContext.broadcast((ids, {d: tuple(map(np.concatenate, zip(*parts))) for d, parts in by_length.items()}))
+        got = data.mapInArrow(words.tidy(_task(sent, first, k, scale)), "nth long, query_id long, vec_id long, score long")
         if blocks > 1:
             got = keep(got, "top-k")
         found = got if found is None else found.unionByName(got)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    discard(asked)
+    w = Window.partitionBy("nth").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _numbered(asked: DataFrame) -> tuple[DataFrame, int]:
+    """The queries, written with a number ``nth`` from 0 each, and how many they are."""
+    place = F.monotonically_increasing_id()
+    table = keep(asked.withColumn("p", F.shiftright(place, 33).cast("long")).withColumn("i", place.bitwiseAND(F.lit((1 << 33) - 1))), "queries")
+    before, total = [], 0
+    for r in table.groupBy("p").count().orderBy("p").collect():  # a row a partition that holds queries
+        before.append((r.p, total))
+        total += r["count"]
+    starts = asked.sparkSession.createDataFrame(before, "p long, before long")
+    out = table.join(F.broadcast(starts), "p").select((F.col("before") + F.col("i")).alias("nth"), "id", "v")
+    out.kept_path = table.kept_path
+    return out, total
