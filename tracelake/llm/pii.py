@@ -212,13 +212,13 @@ def added_spans(text: Column, kind: str, fitted: list, least: float) -> Column:
     """Candidates of a kind that score at least ``least``."""
     candidates = native.spans(text, GENERATORS[kind])
 
-    def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        before = F.substring(text, begin + 1, s["start"] - begin)
-        f = F.struct(*(c.alias(k) for k, c in features(s["value"], before).items()))
+    def scored(s: Column, cut: Column) -> Column:
+        f = F.struct(*(c.alias(k) for k, c in features(s["value"], native.before(cut, s["start"], CONTEXT)).items()))
         return F.struct(F.lit(ALL_KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), f.alias("f"))
 
-    rows = F.transform(candidates, scored)
+    with_context = lambda found: native.let(native.pieces(text), lambda cut: F.transform(found, lambda s: scored(s, cut)))
+    none = F.array().cast(f"array<struct<k:int,start:int,end:int,f:struct<{','.join(f'{k}:double' for k in FEATURES)}>>>")
+    rows = native.let(candidates, lambda found: F.when(F.size(found) > 0, with_context(found)).otherwise(none))
     rows = F.transform(rows, lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), trees.score_column(fitted, s["f"], FEATURES).alias("score")))
     sign = SIGNS[kind]
     return F.when(text.rlike(sign), F.filter(rows, lambda s: s["score"] >= least)).otherwise(F.array().cast("array<struct<k:int,start:int,end:int,score:double>>"))
@@ -227,19 +227,21 @@ def added_spans(text: Column, kind: str, fitted: list, least: float) -> Column:
 def _choose(both: Column) -> Column:
     """Spans by start: an added one goes if it meets a base span or a better added one.
 
-    ``reach`` is the largest end of the base spans so far, which may lie in one another.
+    Of added ones with equal scores the first stays.  ``reach`` is the largest end of the base
+    spans so far, which may lie in one another.
     """
-    start = F.struct(F.array().cast("array<struct<start:int,end:int,score:double,k:int>>").alias("out"), F.lit(0).alias("reach"))
+    out = native.Growing("struct<start:int,end:int,score:double,k:int>")
 
     def step(acc: Column, s: Column) -> Column:
         base = s["score"] >= 1e8
-        last = F.when(F.size(acc["out"]) > 0, F.element_at(acc["out"], -1))
+        last = F.when(F.size(acc["open"]) > 0, F.element_at(acc["open"], -1))
         meets = F.coalesce((last["end"] > s["start"]) & (last["score"] < 1e8), F.lit(False))  # the last added one
-        without = F.array_append(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), s)
-        out = F.when(~base & (acc["reach"] > s["start"]), acc["out"]).when(~meets, F.array_append(acc["out"], s)).when(base | (s["score"] > last["score"]), without).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.when(base, F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"]).alias("reach"))
+        reach = F.when(base, F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"]).alias("reach")
+        same = F.struct(acc["blocks"].alias("blocks"), acc["open"].alias("open"), reach)
+        more, instead = F.struct(*out.put(acc, s), reach), F.struct(*out.replace(acc, s), reach)
+        return F.when(~base & (acc["reach"] > s["start"]), same).when(~meets, more).when(base | (s["score"] > last["score"]), instead).otherwise(same)
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    return F.aggregate(both, F.struct(*out.start(), F.lit(0).alias("reach")), step, out.all)
 
 
 def _joined(spans: Column) -> Column:
@@ -253,8 +255,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A row for each row of ``docs``.  The counts and the hash are of the fixed formats;
     ``spans`` and ``found`` (kind number, start, end, in code points) also hold what the
-    trees added.  A null text is an empty one.  Null and repeated ids and other columns have
-    no influence.  No shuffle.
+    trees added; of overlapping added spans with equal scores the first stays.  A null or empty
+    text has none; a text of any length is searched whole, in time that grows with it and with
+    its matches.  Null and repeated ids, repeated rows and other columns have no influence.  An
+    empty table gives no rows.  No shuffle.
     """
     fitted = models(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), native.text_or_empty(F.col(text_col)).alias("t"))
@@ -269,17 +273,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact(text: Column, found: Column) -> Column:
     """The text with each found span replaced by ``<KIND>``; overlapping spans by the first one's."""
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+    mark = lambda s: F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, ALL_KINDS)), s["k"] + 1)), F.lit(">"))
+    join = lambda chars, a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, ALL_KINDS)), s["k"] + 1)), F.lit(">"))
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        end = F.greatest(acc["at"], s["end"])
-        return F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), F.concat(acc["out"], gap, mark).alias("out"))).otherwise(F.struct(end.alias("at"), acc["out"].alias("out")))
+    def cut(chars: Column, spans: Column, ends: Column) -> Column:
+        """``ends`` are the largest ends up to each span; what lies between them and the next start stays."""
+        def one(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+            return F.when(s["start"] >= at, F.concat(join(chars, at, s["start"]), mark(s))).otherwise(F.lit(""))
 
-    ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(ordered, none, step, done)).otherwise(text)
+        return F.concat(F.array_join(F.transform(spans, one), ""), join(chars, F.element_at(ends, -1), F.size(chars)))
+
+    largest = lambda spans: native.running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    whole = native.let(F.split(text, "", -1), lambda chars: native.let(ordered, lambda spans: native.let(largest(spans), lambda ends: cut(chars, spans, ends))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

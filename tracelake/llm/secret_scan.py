@@ -1,7 +1,8 @@
 """Secret scans of whole texts: credential-like strings, false positives removed by a random forest.
 
 Method.  Candidates are unbroken runs of 16 or more key characters, of any length, that hold
-a digit, or a capital inside, or follow a key word; and dotted keys of known prefixes.  "="
+a digit, or a capital inside, or follow a key word; dotted keys of known prefixes; values of
+any length that a key word and "=" or ":" stand before; and passwords within URLs.  "="
 belongs to a run as padding at its end only, so that a value starts after its name.  The forest looks at the candidate's length, its
 transitions between lower case, capitals, digits and signs, how much of it dictionary
 syllables cover, whether it stands in a path or URL, and the words next to it.  It is fitted
@@ -23,19 +24,22 @@ from . import native, trees
 KEY = r"A-Za-z0-9+/_-"
 KEY_WORD = r"token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|bearer|private|credential|client[_ -]?secret"
 #: Dotted keys: SendGrid's, and web tokens of two or three parts.
-DOTTED = r"SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{13,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?"
+DOTTED = r"ya29\.[A-Za-z0-9_-]{16,}+|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{13,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?"
 MIXED = rf"(?=[A-Za-z+/_-]*+[0-9]|[{KEY}][a-z0-9+/_-]*+[A-Z])"
 AFTER_KEY = rf"(?<=(?i:{KEY_WORD})[A-Za-z0-9_\x20\"'=:-]{{0,12}})"
-CANDIDATE = rf"(?<![{KEY}])(?:{DOTTED}|(?=[{KEY}]{{16}})(?:{MIXED}|{AFTER_KEY})[{KEY}]++(?:={{1,2}}+(?![={KEY}]))?)"
-#: A cheap test of whether a text can hold a candidate: the run that each of them has.
-SIGN = rf"(?<![{KEY}])[{KEY}]{{16}}|SG\."
+#: Right after a key word and its sign; right after the user of a URL.
+ASSIGNED = rf"(?<=(?i:{KEY_WORD})[A-Za-z0-9_-]{{0,12}}[\"']?\x20{{0,2}}[=:]\x20{{0,2}}[\"']?)"
+IN_URL = r"(?<=://[^\s:/@]{1,64}:)[^\s@/]++(?=@)"
+CANDIDATE = rf"{IN_URL}|(?<![{KEY}])(?:{DOTTED}|(?=[{KEY}]{{16}})(?:{MIXED}|{AFTER_KEY})[{KEY}]++(?:={{1,2}}+(?![={KEY}]))?|{ASSIGNED}[!@#$%^&*.?~{KEY}]++)"
+#: A cheap test of whether a text can hold a candidate: the run, or the sign, that each of them has.
+SIGN = rf"(?<![{KEY}])[{KEY}]{{16}}|SG\.|ya29\.|://[^\s:/@]++:|(?i:{KEY_WORD})[A-Za-z0-9_-]{{0,12}}[\"']?\x20{{0,2}}[=:]"
 CONTEXT, TRAINING, PRECISION = 32, 3000, 0.95
-FEATURES = ("length", "digits", "capitals", "signs", "transitions", "hex", "covered", "vowels", "distinct", "in_path", "after_key", "after_other", "assigned", "quoted", "prefixed", "dashes")
+FEATURES = ("length", "digits", "capitals", "signs", "transitions", "hex", "covered", "vowels", "distinct", "in_path", "after_key", "after_other", "assigned", "quoted", "prefixed", "dashes", "in_url", "runs", "named")
 #: Common syllables and words whose share marks prose and identifiers.
 DICTIONARY = r"(?i)(tion|ing|the|and|ent|ment|able|version|config|class|file|image|data|name|user|test|value|index|http|www|page|content|style|script|node|module|build|release|commit|sha|uuid|model|order|part|item)"
 NEAR_KEY = rf"(?i)({KEY_WORD})"
 NEAR_OTHER = r"(?i)(commit|sha1|sha256|md5|checksum|digest|revision|hash|uuid|guid|build|version|isbn|order|invoice|serial|etag|integrity|card|number)"
-PREFIXED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abp]-|sk_live_|sk-|rk_live_|AIza|eyJ|SG\.|npm_|pypi-)"
+PREFIXED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|xapp-|ya29\.|hf_|sk_live_|sk-|rk_live_|AIza|eyJ|SG\.|npm_|pypi-)"
 
 
 def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -49,7 +53,8 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "in_path": (before.rlike(r"[/\\.:]$|://\S*$") | after.rlike(r"^[/\\.]\w")).cast("int"),
         "after_key": before.rlike(NEAR_KEY).cast("int"), "after_other": before.rlike(NEAR_OTHER).cast("int"),
         "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("int"), "quoted": before.rlike("[\"']$").cast("int"),
-        "prefixed": value.rlike(PREFIXED).cast("int"), "dashes": without("-"),
+        "prefixed": value.rlike(PREFIXED).cast("int"), "dashes": without("-"), "in_url": (before.rlike(r"://[^\s:/@]+:$") & after.startswith("@")).cast("int"),
+        "runs": without(r"(?s)(.)\1\1+") / n, "named": before.rlike(rf"(?i)({KEY_WORD})[A-Za-z0-9_-]{{0,12}}[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?$").cast("int"),
     }
     return {k: out[k].cast("double") for k in FEATURES}
 
@@ -63,9 +68,22 @@ def findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     prose = lambda: " ".join(word() for _ in range(4)) + " "
     keys = ["token = \"", "api_key: ", "password=", "secret = '", "Authorization: Bearer ", "access_key=\"", "client_secret: \"", "auth token ", "TOKEN = \"", "API_KEY=", "export AUTH_TOKEN="]
     other = ["commit ", "sha1 ", "md5: ", "checksum = ", "uuid ", "build ", "order number ", "serial ", "etag \"", "invoice ", "card number "]
+    assigned = ["password: ", "passwd=", "pwd = \"", "db_password: '", "secret=", "API_KEY: ", "token=", "client-secret = "]
     out = []
     for _ in range(n):
         yes = r.random() < 0.5
+        if r.random() < 0.25:  # short values, and those in URLs
+            mixed = lambda: "".join(r.sample(pick(lower, r.randint(2, 7)) + pick(upper, r.randint(1, 3)) + pick(digits, r.randint(1, 4)) + pick("!@#$%&*", r.randint(2, 3)), k=6) if r.random() < 0.3 else [word()[:7].capitalize() if r.random() < 0.5 else word(), pick(digits, r.randint(1, 4)), r.choice(["", "!", "#", "$", word()[:6]])])
+            if r.random() < 0.25:
+                value = mixed() if r.random() < 0.8 else word() + word()
+                before, after = prose() + r.choice(["postgres", "https", "mysql", "amqp"]) + "://" + word() + ":", "@" + word() + "/"
+                if not yes:
+                    value, before, after = r.choice([pick(digits, 4), pick(digits, 5), "xxxxxx", "*****"]), prose() + "http://" + word() + ":", "@" + word()
+            else:
+                value = mixed() if yes else r.choice([word(), word(), "true", "none", "null", "string", "required", "optional", "x" * r.randint(4, 12), "*" * r.randint(4, 12), pick(digits, r.randint(1, 4)), r.choice("A0x") * r.randint(16, 40), word() + ".", "None", "False"])
+                before, after = prose() + r.choice(assigned), r.choice([" ", "\n", "'", '"', ","])
+            out.append((before[-CONTEXT:], value, after, int(yes)))
+            continue
         if yes:
             value = r.choice([pick(digits + "abcdef", 40), pick(digits + "ABCDEF", 40), pick(digits + "abcdef", 32), pick(lower + upper + digits, r.randint(20, 64)), pick(lower + upper + digits + "+/", 40), "AKIA" + pick(upper + digits, 16), "ghp_" + pick(lower + upper + digits, 36), "sk_live_" + pick(lower + upper + digits, 24),
                 pick(lower + upper, r.randint(20, 40)), pick(lower, r.randint(20, 40)), pick(lower + upper + digits + "+/", r.randint(200, 2000)), "SG." + pick(lower + upper + digits, 22) + "." + pick(lower + upper + digits, 43), ".".join("eyJ" * (i < 2) + pick(lower + upper + digits + "-_", r.randint(17, 43)) for i in range(3))])
@@ -103,20 +121,22 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets of whole texts: ``doc_id, n_candidates, n_secrets, spans, found``.
 
     A row for each row of ``docs``.  ``spans`` lists ``start:end`` of secrets in code points,
-    end exclusive, comma-joined; ``found`` holds them with their scores.  A null text is an
-    empty one.  Null and repeated ids and other columns have no influence.  No shuffle.
+    end exclusive, comma-joined; ``found`` holds them with their scores.  Candidates never
+    overlap.  A null or empty text has none; a text of any length is searched whole, in time
+    that grows with it and with its candidates.  Null and repeated ids, repeated rows and other
+    columns have no influence.  An empty table gives no rows.  No shuffle.
     """
     forest, least = model(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), native.text_or_empty(F.col(text_col)).alias("t"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     d = d.withColumn("c", F.when(F.col("t").rlike(SIGN), native.spans(F.col("t"), CANDIDATE)).otherwise(none))
 
-    def with_features(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        f = features(s["value"], F.substring(F.col("t"), begin + 1, s["start"] - begin), F.substring(F.col("t"), s["end"] + 1, F.lit(12)))
+    def with_features(s: Column, cut: Column) -> Column:
+        f = features(s["value"], native.before(cut, s["start"], CONTEXT), native.after(cut, s["end"], 12))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.struct(*(c.alias(k) for k, c in f.items())).alias("f"))
 
-    d = d.withColumn("c", F.transform("c", with_features))
+    cut = F.when(F.size("c") > 0, native.pieces(F.col("t")))
+    d = d.withColumn("c", native.let(cut, lambda cut: F.transform("c", lambda s: with_features(s, cut))))
     d = d.select("doc_id", F.size("c").cast("long").alias("n_candidates"), F.transform("c", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), trees.score_column(forest, s["f"], FEATURES).alias("score"))).alias("c"))
     d = d.withColumn("found", F.filter("c", lambda s: s["score"] >= least))
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
