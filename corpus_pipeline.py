@@ -10,7 +10,7 @@ from tracelake.llm.mixing import mixed_documents
 from tracelake.llm.ngram_join import ngram_jaccard_components
 from tracelake.llm.pii import redact_documents
 from tracelake.llm.quality import quality_rules, without_lines
-from tracelake.llm.storage import keep
+from tracelake.llm.storage import discard, keep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +39,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     columns are carried along, whatever their names.
     """
     text = F.col("text").cast("string")
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("_key"))
+    # two hashes: rows that differ and share the first one are both kept
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("_key"), F.xxhash64(F.lit("row"), text, F.col("doc_id").cast("long")).alias("_more"))
     keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("_key"), text.alias("text"), F.col("doc_id").cast("long").alias("id"))
     classes = keep(ngram_jaccard_components(keyed, "_key").select(F.col("doc_id").alias("_key"), "component_id").distinct(), "classes")
     ids = keyed.select("_key", "id").distinct()
     first = classes.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_key"))["_key"].alias("_key"))
     first = keep(first.select("_key"), "first-of-class")
-    repeated = keep(row.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    repeated = keep(row.groupBy("_key", "_more").count().where("count > 1").select("_key", "_more"), "repeated")
     kept = row.join(first, "_key", "left_semi")
     if repeated.isEmpty():
         return kept.select("_row.*")
-    once = kept.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row"))
-    return kept.join(repeated, "_key", "left_anti").select("_row.*").union(once.select("_row.*"))
+    once = kept.join(repeated, ["_key", "_more"], "left_semi").groupBy("_key", "_more").agg(F.first("_row").alias("_row"))
+    return kept.join(repeated, ["_key", "_more"], "left_anti").select("_row.*").union(once.select("_row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,6 +89,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if n:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
