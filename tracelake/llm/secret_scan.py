@@ -27,12 +27,12 @@ KEY_WORD = r"token|secret|password|passwd|pwd|api[_ -]?key|apikey|access[_ -]?ke
 DOTTED = r"ya29\.[A-Za-z0-9_-]{16,}+|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]{13,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?"
 MIXED = rf"(?=[A-Za-z+/_-]*+[0-9]|[{KEY}][a-z0-9+/_-]*+[A-Z])"
 AFTER_KEY = rf"(?<=(?i:{KEY_WORD})[A-Za-z0-9_\x20\"'=:-]{{0,12}})"
-#: Right after a key word and its sign; right after the user of a URL.
-ASSIGNED = rf"(?<=(?i:{KEY_WORD})[A-Za-z0-9_-]{{0,12}}[\"']?\x20{{0,2}}[=:]\x20{{0,2}}[\"']?)"
-IN_URL = r"(?<=://[^\s:/@]{1,64}:)[^\s@/]++(?=@)"
+#: Right after a key word and its sign; right after the user of a URL.  A look at one character comes before the long look behind.
+ASSIGNED = rf"(?<=[=:]\x20{{0,2}}[\"']?)(?<=(?i:{KEY_WORD})[A-Za-z0-9_-]{{0,12}}[\"']?\x20{{0,2}}[=:]\x20{{0,2}}[\"']?)"
+IN_URL = r"(?<=:)(?<=://[^\s:/@]{1,64}:)[^\s@/]++(?=@)"
 CANDIDATE = rf"{IN_URL}|(?<![{KEY}])(?:{DOTTED}|(?=[{KEY}]{{16}})(?:{MIXED}|{AFTER_KEY})[{KEY}]++(?:={{1,2}}+(?![={KEY}]))?|{ASSIGNED}[!@#$%^&*.?~{KEY}]++)"
 #: A cheap test of whether a text can hold a candidate: the run, or the sign, that each of them has.
-SIGN = rf"(?<![{KEY}])[{KEY}]{{16}}|SG\.|ya29\.|://[^\s:/@]++:|(?i:{KEY_WORD})[A-Za-z0-9_-]{{0,12}}[\"']?\x20{{0,2}}[=:]"
+SIGN = rf"(?<![{KEY}])[{KEY}]{{16}}|SG\.|ya29\.|:(?<=://[^\s:/@]{{1,64}}:)|[=:](?<=(?i:{KEY_WORD})[A-Za-z0-9_-]{{0,12}}[\"']?\x20{{0,2}}[=:])"
 CONTEXT, TRAINING, PRECISION = 32, 3000, 0.95
 FEATURES = ("length", "digits", "capitals", "signs", "transitions", "hex", "covered", "vowels", "distinct", "in_path", "after_key", "after_other", "assigned", "quoted", "prefixed", "dashes", "in_url", "runs", "named")
 #: Common syllables and words whose share marks prose and identifiers.
