@@ -194,6 +194,28 @@ def test_small_tries_and_blocks(monkeypatch):
     assert got == Counter({k: n for k, n in count.items() if df[k[:2]] >= 5})
 
 
+def test_rows_of_a_task_do_not_grow_with_its_blocks():
+    """Many blocks make the rows of one: a row for each pair, and each source's best terms of all blocks."""
+    r = random.Random(4)
+    sources, terms = ["a", "b", "c"], [f"t{k:03d}" for k in range(300)]
+    counts = {t: [r.randint(0, 9) for _ in sources] for t in terms}
+    totals = [sum(c[k] for c in counts.values()) for k in range(3)]
+    fields = pa.schema([*source_tries.BLOCK.remove(3).remove(2).insert(2, pa.field("names", pa.list_(pa.string()))), source_tries.BLOCK.field("sources"), source_tries.BLOCK.field("totals"), pa.field("kept", pa.int64())])
+
+    def made(size):
+        dealt = r.sample(range(0, 300, size), 300 // size)
+        rows = []
+        for a in dealt:
+            own = terms[a : a + size]
+            cells = [[k for k in range(3) if counts[t][k]] for t in own]
+            rows.append({"lang": "x", "terms": own, "names": sources, "sizes": [len(c) for c in cells], "groups": sum(cells, []), "counts": [counts[t][k] for t, c in zip(own, cells) for k in c], "sources": sources, "totals": totals, "kept": 300})
+        batches = (pa.RecordBatch.from_pylist(rows[k : k + 4], fields) for k in range(0, len(rows), 4))
+        return sorted(tuple(x.values()) for b in source_tries._compared(7)(batches) for x in b.to_pylist())
+
+    assert len(made(300)) == 3 * 2 + 3 * 7
+    assert made(5) == made(300)
+
+
 @given(st.lists(st.binary(max_size=6), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_trie(terms):

@@ -7,7 +7,8 @@ leaves its task in UTF-8 order, cut into the subtries below each short prefix.
 these by ranges of the prefix and sorts them, and a task adds up subtries of a few prefixes
 after the other, so it never holds a whole range.  Reading them in order streams the kept
 terms as blocks of rows: sums of p differences for each pair of sources, and each source's best
-candidates of a block, are then made block by block and added, or ranked, by Spark.
+candidates, are then made block by block.  A task adds up its blocks before it returns them, so
+its rows depend on the sources only; Spark adds, or ranks, those of all tasks.
 
 All numbers are exact: products that don't fit 64 bits are made with Python's integers.
 """
@@ -284,6 +285,23 @@ def shares(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
     return np.array([1 + SCALE * (c + MORE) // below for c in counts.tolist()], np.int64)
 
 
+class _Best:
+    """A source's terms of largest value, equal ones by their bytes, of any number of blocks."""
+
+    def __init__(self, most: int):
+        self.most, self.terms, self.values = most, [], []
+
+    def add(self, terms: pa.Array, values: np.ndarray) -> None:
+        self.terms += terms.to_pylist()
+        self.values += values.tolist()
+        if len(self.terms) > 4 * self.most:
+            self.cut()
+
+    def cut(self) -> None:
+        order = sorted(range(len(self.terms)), key=lambda k: (-self.values[k], self.terms[k].encode()))[: self.most]
+        self.terms, self.values = [self.terms[k] for k in order], [self.values[k] for k in order]
+
+
 def _compared(most_ranks: int):
     def pairs(lang: str, sources: list[str], sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k, source in enumerate(sources):
@@ -291,8 +309,17 @@ def _compared(most_ranks: int):
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(others), pa.string()) for x in (lang, source, "pair")] + [pa.array([sources[x] for x in others], pa.string()), pa.array(sums[k, others])], schema=OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of the blocks' differences for each pair of a lang's sources, and each source's best terms of a block."""
+        """Sums of the task's differences for each pair of a lang's sources, and each source's best terms."""
         added: dict[str, tuple[list[str], np.ndarray]] = {}
+        ranked: dict[tuple[str, str], _Best] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for name, own in added.items():
+                yield from pairs(name, *own)
+            for (lang, source), own in ranked.items():
+                own.cut()
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(own.terms), pa.string()) for x in (lang, source, "term")] + [pa.array(own.terms, pa.string()), pa.array(own.values, pa.int64())], schema=OUT)
+
         for batch in batches:
             for lang, terms, names, sizes, groups, counts, sources, totals, kept in zip(*(batch.column(k) for k in range(9))):
                 lang, sources, totals, kept = lang.as_py(), sources.as_py(), totals.as_py(), kept.as_py()
@@ -314,13 +341,12 @@ def _compared(most_ranks: int):
                         best = np.flatnonzero(gap > 0)
                         best = best[np.argsort(-gap[best], kind="stable")][:most_ranks]  # the terms are in order
                         if len(best):
-                            yield pa.RecordBatch.from_arrays([pa.array([x] * len(best), pa.string()) for x in (lang, source, "term")] + [terms.take(pa.array(best + at)).cast(pa.string()), pa.array(gap[best])], schema=OUT)
+                            ranked.setdefault((lang, source), _Best(most_ranks)).add(terms.take(pa.array(best + at)), gap[best])
                 if sum(x.size for _, x in added.values()) > 16 * BLOCK_CELLS:
-                    for name, own in added.items():
-                        yield from pairs(name, *own)
-                    added = {}
-        for name, own in added.items():
-            yield from pairs(name, *own)
+                    yield from sent()
+                    added.clear()
+                    ranked.clear()
+        yield from sent()
 
     return words.tidy(run)
 
@@ -354,7 +380,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     sums = blocks.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.totals").alias("total"))
     kept = blocks.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"))
     langs = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("own")).join(kept, "lang")
-    salts = max(8, buckets // 4)  # so that the blocks of one lang meet its row in several tasks
+    salts = buckets // 4  # so that the blocks of one lang meet its row in several tasks, each with some ranges' blocks
     spread = langs.select("lang", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "own", "kept")
     salted = blocks.withColumnRenamed("sources", "names").withColumn("salt", F.pmod(F.hash(F.get("terms", F.lit(0))), F.lit(salts)))
     pairs = salted.join(spread, ["lang", "salt"]).select("lang", "terms", "names", "sizes", "groups", "counts", F.col("own.source").alias("sources"), F.col("own.total").alias("totals"), "kept")
