@@ -83,6 +83,65 @@ def test_components_around_the_threshold(spark, monkeypatch):
     assert order((x.doc_id, x.n_shingles, x.component_id) for x in got) == order(h.classes(rows))
 
 
+def test_crowd_with_a_common_line(spark, monkeypatch):
+    """Texts that share a line only aren't compared with each other, and their near copies are found."""
+    r = random.Random(3)
+    line = [f"line{k}" for k in range(14)]
+    rows = []
+    for i in range(150):
+        own = [f"w{i}x{k}" for k in range(r.randint(20, 40))]
+        rows.append((2 * i, " ".join(line + own), None, None, None))
+        rows.append((2 * i + 1, " ".join(line + own[: r.randint(len(own) - 12, len(own) - 1)]), None, None, None))
+    base = [f"b{k}" for k in range(60)]
+    rows += [(1000 + i, " ".join(base[:k] + [f"c{i}"] + base[k + 1 :] if i else base), None, None, None) for i, k in enumerate(r.choices(range(60), k=50))]
+    met = []
+    in_blocks = ngram_join._in_blocks
+    monkeypatch.setattr(ngram_join, "_in_blocks", lambda edges, *a: met.append(edges.selectExpr("explode(array(a, b)) node").distinct().count()) or in_blocks(edges, *a))
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 8)
+    got = ngram_jaccard_components(h.documents(spark, rows).repartition(3)).collect()
+    assert order(map(tuple, got)) == order(h.classes(rows))
+    assert sum(met) < 100  # of 350 texts
+
+
+@pytest.mark.parametrize("percent", [50, 60, 75])
+def test_similar_sets_share_a_rare_element(spark, percent):
+    r = random.Random(percent)
+    sets = []
+    for _ in range(25):
+        base = r.sample(range(60), r.randint(1, 40))
+        sets += [frozenset(x for x in base if r.random() > 0.1) | {r.randrange(90)} for _ in range(3)]
+    sets = [*set(sets)]
+    alone = [r.randint(0, len(s) // 5) for s in sets]
+    rows = [(k, len(s) + a, sorted(s)) for k, (s, a) in enumerate(zip(sets, alone)) if 100 * len(s) >= percent * (len(s) + a)]
+    got = {x.node: set(x.prefix) for x in ngram_join.rarest(spark.createDataFrame(rows, "node long, n int, shared array<bigint>"), percent).collect()}
+    linked = 0
+    for k, n, s in rows:
+        for j, m, t in rows[:k]:
+            common = len(set(s) & set(t))
+            if j < k and 100 * common >= percent * (n + m - common):
+                linked += 1
+                assert got[k] & got[j]
+    assert linked > 10
+
+
+def test_known_entries_are_few_rows(spark, monkeypatch):
+    """Shared shingles leave a bucket together; they were a row for each two buckets."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 300)), None, None, None) for i in range(200)]
+    seen, keep = [], ngram_join.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "shared-shingles":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    monkeypatch.setattr(ngram_join, "bucket_count", lambda df: 40)
+    got = ngram_jaccard_components(h.documents(spark, rows).repartition(5)).collect()
+    assert order(map(tuple, got)) == order(h.classes(rows))
+    assert seen[0] < 200  # 40 x 40
+
+
 def test_signatures_are_shared_by_similar_sets():
     """Every pair at the threshold shares a signature, whatever its size."""
     r = np.random.default_rng(1)

@@ -23,9 +23,13 @@ Method (PartEnum, after Arasu, Ganti and Kaushik, "Efficient exact set-similarit
    each chunk first, so one that millions of nodes share reaches its bucket as one node a
    chunk.
 5. By all signatures, groups that still hold several components are searched whole: those of at most
-   ``SMALL_GROUP`` nodes pair by pair, larger ones block against block, where nodes of a
-   cluster's largest component need no comparison with each other.  A group of copies thus
-   costs its length, not its square.
+   ``SMALL_GROUP`` nodes pair by pair.  The nodes of larger ones mostly share a common line
+   only, so they meet once more, by their rarest elements (prefix filter): where all elements
+   are ordered from rare to frequent, similar sets share one of the first
+   ``n - ceil(t * n) + 1``.  Groups by these are searched in the same way; what is still
+   larger goes block against block, where nodes of a cluster's largest component need no
+   comparison with each other.  A group of copies thus costs its length, not its square, and
+   a line that many different texts hold costs nothing where they have enough rarer elements.
 """
 
 from __future__ import annotations
@@ -49,6 +53,7 @@ from .storage import bucket_count, discard, keep
 U64 = np.uint64
 ORD_BITS = 12  # documents of a chunk; the other 52 bits of an entry are the shingle's hash
 CHUNK_WORDS = 1_000_000
+BUCKET_ENTRIES, DONE_ENTRIES = 1_000_000, 1 << 18  # shared shingles of a bucket of nodes, and of a packed row of them
 NARROWINGS = 2
 SMALL_GROUP = 32  # nodes of a signature's group up to which its pairs are looked at one by one
 BLOCK, SLICE = 256, 2048  # nodes of a block, elements of a matrix
@@ -116,13 +121,33 @@ def _entries(e: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, buckets: int)
     keys, ords = e & ~MASK, (e & MASK).astype(np.int64)
     ask, done, seen = packed.local_split(keys, nodes[ords], later=False)
     out = list(packed.send(packed.ASK, keys[ask], ords[ask], None, nodes, sizes, buckets))
-    out += packed.send(packed.DONE, keys[done], ords[done], None, nodes, sizes, buckets, by_owner=True)
+    if len(keys):
+        out += _done(keys[done], ords[done], nodes, sizes, int(words.mix(nodes[:1] + nodes[-1:])[0] % U64(buckets)))
     if len(seen):
         which, bounds = packed.cut(seen, buckets)
         out += (packed.row(packed.SEEN, int(w), keys=seen[i:j]) for w, i, j in zip(which, bounds[:-1], bounds[1:]))
     return out
 
 
+def _done(keys: np.ndarray, ords: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, bucket: int) -> Iterator[dict]:
+    """Rows of entries whose answer is known; they aren't dealt by owner yet, as that would be a row for each two buckets."""
+    for a in range(0, len(keys), DONE_ENTRIES):
+        own, local = packed.compact(ords[a : a + DONE_ENTRIES])
+        yield packed.row(packed.DONE, bucket, keys[a : a + DONE_ENTRIES], local.astype(np.uint32), None, nodes[own], sizes[own])
+
+
+def _dealt(buckets: int):
+    """Packed rows of known entries, by their owner's bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                e = packed.Entries(pa.Table.from_batches([batch.slice(k, 1)]), packed.DONE, U64)
+                yield packed.batch(list(packed.send(packed.DONE, e.keys, e.ords, None, e.owners, e.sizes, buckets, by_owner=True)))
+
+    return run
+
+
 def _node_rows(buckets: int):
     """Entries of the shared parts of nodes."""
 
@@ -143,7 +168,8 @@ def _shared(buckets: int):
         e = packed.Entries(table, packed.ASK, U64)
         seen = [packed.unplanes(x, U64) for x in table.filter(pa.compute.equal(table["kind"], packed.SEEN))["keys"].to_pylist()]
         packed.shared_entries(e, np.concatenate(seen) if seen else np.zeros(0, U64))
-        yield from packed.send(packed.DONE, e.keys, e.ords, None, e.owners, e.sizes, buckets, by_owner=True)
+        if len(e.keys):
+            yield from _done(e.keys, e.ords, e.owners, e.sizes, int((e.keys[0] >> U64(32)) * U64(buckets) >> U64(32)))
         yield from table.filter(pa.compute.greater_equal(table["kind"], packed.DONE)).to_pylist()
 
     return run
@@ -221,6 +247,12 @@ def signatures(n: int, shared: np.ndarray, limits: list[int], percent: int) -> n
     return np.concatenate(out)
 
 
+def prefix_signatures(n: int, prefix: np.ndarray, limits: list[int], percent: int) -> np.ndarray:
+    """Of a set of size ``n``: its rarest elements, in its band and the next."""
+    band = int(np.searchsorted(limits, n))
+    return np.concatenate([words.mix(prefix.astype(U64) + U64((at + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) for at in (band, band + 1)])
+
+
 PAIRS, ENTRIES, EDGES = 0, 1, 2
 SIGNATURE_SCHEMA = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("sigs", pa.binary()), ("ords", pa.binary()), ("nodes", pa.binary()), ("n", pa.binary()), ("s", pa.binary()), ("labels", pa.binary())])
 SIGNATURE_DDL = "kind byte, bucket int, sigs binary, ords binary, nodes binary, n binary, s binary, labels binary"
@@ -361,7 +393,10 @@ def _packed_pairs(kind: int, node: np.ndarray, x: np.ndarray, y: np.ndarray, buc
 
 
 def _signature_rows(limits: list[int], percent: int, buckets: int, step: int, least: int, few: int):
-    """Packed signatures of nodes ``(node, n, shared, label)``, reduced in each chunk; ``step`` counts the rounds, 2 is the last."""
+    """Packed signatures of nodes ``(node, n, shared, label)``, reduced in each chunk; ``step`` counts the rounds, 2 is the last.
+
+    Nodes with a fifth column, ``prefix``, have signatures of these elements instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +406,10 @@ def _signature_rows(limits: list[int], percent: int, buckets: int, step: int, le
                 part = part.take(pa.compute.sort_indices(part.column(0)))  # so that edges start at the smallest node
                 node, n, label = (np.asarray(part.column(i)) for i in (0, 1, 3))
                 sets = [np.asarray(x.values) for x in part.column(2)]
-                sigs = [words.mix(signatures(int(k), x, limits, percent)) for k, x in zip(n, sets)]
+                if part.num_columns > 4:
+                    sigs = [words.mix(prefix_signatures(int(k), np.asarray(x.values), limits, percent)) for k, x in zip(n, part.column(4))]
+                else:
+                    sigs = [words.mix(signatures(int(k), x, limits, percent)) for k, x in zip(n, sets)]
                 if step < 2:
                     sigs = [np.partition(x, few)[:few] if len(x) > few else x for x in sigs]
                 own = np.repeat(np.arange(len(node)), list(map(len, sigs)))
@@ -482,11 +520,10 @@ def similar_sets(nodes: DataFrame, percent: int) -> DataFrame:
     pair_bytes, labels = 16 * total / count, None
     for step in range(3):
         own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.hint("merge").join(labels, "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label"))
-        sent = own.mapInArrow(words.tidy(_signature_rows(limits, percent, buckets, step, SMALL_GROUP, STAR_SIGNATURES)), SIGNATURE_DDL)
-        found = keep(sent.groupBy("bucket").applyInArrow(_candidates(percent, step, SMALL_GROUP), "kind byte, a long, b long").distinct(), "candidates")
-        own_links = [keep(verified(found.where(f"kind = {PAIRS}").select("a", "b"), nodes, percent, pair_bytes), "links")]
+        found = _found(own, limits, percent, buckets, step)
+        own_links = [keep(verified(_of(found, PAIRS), nodes, percent, pair_bytes), "links")]
         if step == 2:
-            own_links.append(keep(_in_blocks(found.where(f"kind = {EDGES}").select("a", "b"), nodes, labels, percent), "links"))
+            own_links += _in_crowds(_of(found, EDGES), nodes, labels, limits, percent, pair_bytes)
         discard(found)
         if step == 2 and all(x.isEmpty() for x in own_links):
             discard(*own_links)
@@ -500,6 +537,45 @@ def similar_sets(nodes: DataFrame, percent: int) -> DataFrame:
     return labels
 
 
+def _found(own: DataFrame, limits: list[int], percent: int, buckets: int, step: int) -> DataFrame:
+    """Pairs to verify of nodes that share a signature, and edges of large groups in the last round."""
+    sent = own.mapInArrow(words.tidy(_signature_rows(limits, percent, buckets, step, SMALL_GROUP, STAR_SIGNATURES)), SIGNATURE_DDL)
+    return keep(sent.groupBy("bucket").applyInArrow(_candidates(percent, step, SMALL_GROUP), "kind byte, a long, b long").distinct(), "candidates")
+
+
+def _of(found: DataFrame, kind: int) -> DataFrame:
+    return found.where(f"kind = {kind}").select("a", "b")
+
+
+def rarest(nodes: DataFrame, percent: int) -> DataFrame:
+    """``(node, n, shared)`` -> ``(node, prefix)``: of each node the first elements from rare to frequent, of which similar nodes share one.
+
+    Elements that no other of the nodes has come first; they fill a prefix and are left out.
+    """
+    items = nodes.select("node", F.explode("shared").alias("item"))
+    often = items.groupBy("item").agg(F.count("*").alias("often"))
+    order = items.join(often.hint("merge"), "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"))
+    length = f"size(shared) - cast((cast(n as long) * {percent} + 99) div 100 as int) + 1"  # the unshared n - size(shared) come first
+    prefix = F.expr(f"transform(filter(slice(order, 1, {length}), x -> x.often > 1), x -> x.item)")
+    return nodes.select("node", "n", "shared").join(order, "node").select("node", prefix.alias("prefix")).where("size(prefix) > 0")
+
+
+def _in_crowds(edges: DataFrame, nodes: DataFrame, labels: DataFrame, limits: list[int], percent: int, pair_bytes: float) -> list[DataFrame]:
+    """Links between components that share large groups of signatures; edges connect the nodes of each."""
+    if edges.isEmpty():
+        return []
+    crowd = keep(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.hint("merge"), "node").join(labels.hint("merge"), "node", "left").select("node", "n", "shared", F.coalesce("label", "node").alias("label")), "crowds")
+    prefixes = keep(rarest(crowd, percent), "prefixes")
+    total = prefixes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    own = crowd.join(prefixes.hint("merge"), "node").select("node", "n", "shared", "label", "prefix")
+    found = _found(own, limits, percent, max(8, -(-16 * total // (1 << 20))), 2)
+    links = [keep(verified(_of(found, PAIRS), nodes, percent, pair_bytes), "links")]
+    if not _of(found, EDGES).isEmpty():
+        links.append(keep(_in_blocks(_of(found, EDGES), nodes, labels, percent), "links"))
+    discard(crowd, prefixes, found)
+    return links
+
+
 def _in_blocks(edges: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between components that share large groups.
 
@@ -591,11 +667,19 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     hits = keep(packed.by_bucket(entries, _shared(buckets)), "shared-shingles")
     member = hits.where(f"kind = {packed.MEMBER}").select("keys", "extra", "sizes")
     members = keep(member.mapInArrow(_member_rows, "doc_id long, n_shingles long, node long"), "members")
-    nodes = keep(packed.by_bucket(hits.where(f"kind = {packed.DONE}"), _nodes(percent), node_fields), "shared-nodes")
+
+    def shared_parts(known: DataFrame, total: int) -> DataFrame:
+        dealt = known.mapInArrow(words.tidy(_dealt(max(8, -(-total // BUCKET_ENTRIES)))), packed.DDL)
+        return keep(packed.by_bucket(dealt, _nodes(percent), node_fields), "shared-nodes")
+
+    known = hits.where(f"kind = {packed.DONE}")
+    nodes = shared_parts(known, (known.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // 8)
     discard(hits)
     for _ in range(NARROWINGS):  # shingles whose other owners are gone aren't shared any more
+        total = nodes.agg(F.sum(F.size("shared"))).first()[0] or 0
+        buckets = max(8, -(-total // BUCKET_ENTRIES))
         entries = nodes.mapInArrow(words.tidy(_node_rows(buckets)), packed.DDL)
-        fewer = keep(packed.by_bucket(packed.by_bucket(entries, _shared(buckets)), _nodes(percent), node_fields), "shared-nodes")
+        fewer = shared_parts(packed.by_bucket(entries, _shared(buckets)), total)
         discard(nodes)
         nodes = fewer
     labels = similar_sets(nodes, percent)
