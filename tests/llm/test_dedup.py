@@ -124,6 +124,30 @@ def test_similar_sets_share_a_rare_element(spark, percent):
     assert linked > 10
 
 
+def most_rows(plan):
+    """The most rows that an operator of an executed plan, its stages' plans included, has made."""
+    made = plan.metrics().get("numOutputRows")
+    inner = [plan.children().apply(i) for i in range(plan.children().size())]
+    inner += [getattr(plan, k)() for k, kind in (("executedPlan", "AdaptiveSparkPlanExec"), ("plan", "QueryStageExec")) if plan.getClass().getSimpleName().endswith(kind)]
+    return max([made.get().value() if made.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_rarest_elements_are_found_in_few_rows(spark):
+    """They were found by a row for each element of each node."""
+    sets = [sorted({0, *range(1000 * (k // 2) + 1, 1000 * (k // 2) + 201)}) for k in range(200)]  # pairs, and an element of all
+    got = ngram_join.rarest(spark.createDataFrame([(k, len(s), s) for k, s in enumerate(sets)], "node long, n int, shared array<bigint>"), 75)
+    assert {x.node: x.prefix for x in got.collect()} == {k: s[1:52] for k, s in enumerate(sets)}
+    assert most_rows(got._jdf.queryExecution().executedPlan()) < 2000  # of 40200 elements
+
+
+def test_elements_of_one_component_are_no_meeting_place(spark):
+    rows = [(1, 4, [1, 2, 3, 4], 1), (2, 4, [1, 2, 3, 5], 1), (3, 4, [2, 3, 4, 6], 3), (4, 4, [7, 8, 9, 10], 4), (5, 4, [7, 8, 9, 10], 4), (6, 4, [], 6)]
+    frame = spark.createDataFrame(rows, "node long, n int, shared array<bigint>, label long")
+    # 2, 3 and 4 are of two labels, 4 of fewer nodes than 2 and 3; a set of 4 needs 3 in common with another
+    assert {x.node: x.prefix for x in ngram_join.rarest(frame, 75).collect()} == {1: [4], 3: [4]}
+    assert ngram_join.rarest(frame.where("label = 6"), 75).collect() == ngram_join.rarest(frame.where("label = 4"), 75).collect() == []
+
+
 def test_known_entries_are_few_rows(spark, monkeypatch):
     """Shared shingles leave a bucket together; they were a row for each two buckets."""
     rows = [(i, " ".join(f"w{k}" for k in range(i, i + 300)), None, None, None) for i in range(200)]

@@ -26,7 +26,8 @@ Method (PartEnum, after Arasu, Ganti and Kaushik, "Efficient exact set-similarit
    ``SMALL_GROUP`` nodes pair by pair.  The nodes of larger ones mostly share a common line
    only, so they meet once more, by their rarest elements (prefix filter): where all elements
    are ordered from rare to frequent, similar sets share one of the first
-   ``n - ceil(t * n) + 1``.  Groups by these are searched in the same way; what is still
+   ``n - ceil(t * n) + 1``.  Elements of one component's nodes come first of all, as no pair
+   of two components has them in common.  Groups by these are searched in the same way; what is still
    larger goes block against block, where nodes of a cluster's largest component need no
    comparison with each other.  A group of copies thus costs its length, not its square, and
    a line that many different texts hold costs nothing where they have enough rarer elements.
@@ -551,13 +552,81 @@ def rarest(nodes: DataFrame, percent: int) -> DataFrame:
     """``(node, n, shared)`` -> ``(node, prefix)``: of each node the first elements from rare to frequent, of which similar nodes share one.
 
     Elements that no other of the nodes has come first; they fill a prefix and are left out.
+    With a column ``label``, only nodes of different labels are to meet, and elements that
+    nodes of one label have come first.  Nodes are dealt into parts of about
+    ``BUCKET_ENTRIES`` elements; a part sends an element once, with its count, and gets its
+    total back, so an element that all nodes have costs an entry a part.
     """
-    items = nodes.select("node", F.explode("shared").alias("item"))
-    often = items.groupBy("item").agg(F.count("*").alias("often"))
-    order = items.join(often.hint("merge"), "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("order"))
-    length = f"size(shared) - cast((cast(n as long) * {percent} + 99) div 100 as int) + 1"  # the unshared n - size(shared) come first
-    prefix = F.expr(f"transform(filter(slice(order, 1, {length}), x -> x.often > 1), x -> x.item)")
-    return nodes.select("node", "n", "shared").join(order, "node").select("node", prefix.alias("prefix")).where("size(prefix) > 0")
+    total = nodes.agg(F.sum(F.size("shared"))).first()[0] or 0
+    parts = max(8, -(-total // BUCKET_ENTRIES))
+    label = F.col("label" if "label" in nodes.columns else "node")
+    own = nodes.select(F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"), "node", "n", "shared", label.alias("label"))
+    counts = own.groupBy("part").applyInArrow(_counts(parts), "part int, bucket int, items binary, often binary, low binary, high binary")
+    totals = counts.groupBy("bucket").applyInArrow(_totals, "part int, items binary, often binary")
+    return own.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(_prefixes(percent), "node long, prefix array<bigint>")
+
+
+def _flat(sets: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a table of sets, and the row of each."""
+    lists = sets["shared"].combine_chunks()
+    return np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists)))
+
+
+def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(packed.unplanes(x, dtype) for x in column.to_pylist())])
+
+
+def _counts(buckets: int):
+    """Nodes of a part -> for each bucket of elements: how many of the nodes have them, and their least and greatest labels."""
+
+    def run(sets: pa.Table) -> pa.Table:
+        items, row = _flat(sets)
+        order = np.argsort(items, kind="stable")
+        items, label = items[order], np.asarray(sets["label"])[row[order]]
+        at = packed.runs(items)
+        columns = {"items": items[at], "often": np.diff(np.append(at, len(items))), "low": np.minimum.reduceat(label, at), "high": np.maximum.reduceat(label, at)}
+        which, bounds = packed.cut(columns["items"].astype(U64) << U64(ORD_BITS), buckets)
+        cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        cells = {k: pa.array([packed.planes(v[i:j]) for i, j in cuts], pa.binary()) for k, v in columns.items()}
+        return pa.table({"part": pa.array([sets["part"][0].as_py()] * len(cuts), pa.int32()), "bucket": pa.array(which.astype(np.int32)), **cells})
+
+    return run
+
+
+def _totals(counts: pa.Table) -> pa.Table:
+    """Counts of a bucket's elements -> for each part the totals of its elements that nodes of two labels have."""
+    items, often, low, high = (_joined(counts[k], np.int64) for k in ("items", "often", "low", "high"))
+    row = np.repeat(np.arange(len(counts)), [len(x) // 8 for x in counts["items"].to_pylist()])
+    order = np.argsort(items, kind="stable")
+    at = packed.runs(items[order])
+    total, several = np.zeros(len(items), np.int64), np.zeros(len(items), bool)
+    times = np.diff(np.append(at, len(items)))
+    total[order] = np.repeat(np.add.reduceat(often[order], at), times)
+    several[order] = np.repeat(np.minimum.reduceat(low[order], at) != np.maximum.reduceat(high[order], at), times)
+    items, total, row = items[several], total[several], row[several]
+    bounds = np.searchsorted(row, np.arange(len(counts) + 1))
+    cells = lambda v: pa.array([packed.planes(v[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+    return pa.table({"part": counts["part"], "items": cells(items), "often": cells(total)})
+
+
+def _prefixes(percent: int):
+    def run(sets: pa.Table, totals: pa.Table) -> pa.Table:
+        known, often = _joined(totals["items"], np.int64), _joined(totals["often"], np.int64)
+        order = np.argsort(known)
+        known, often = known[order], often[order]
+        items, row = _flat(sets)
+        good = packed.among(known, items)
+        items, row = items[good], row[good]
+        order = np.lexsort((items, often[np.searchsorted(known, items)], row))
+        items, row = items[order], row[order]
+        n, count = np.asarray(sets["n"]).astype(np.int64), np.bincount(row, minlength=len(sets))
+        length = np.maximum(0, count - (n * percent + 99) // 100 + 1)  # all other elements come first
+        items = items[np.arange(len(items)) - np.repeat(np.cumsum(count) - count, count) < length[row]]
+        some = length > 0
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length[some])).astype(np.int32)), pa.array(items))
+        return pa.table({"node": pa.array(np.asarray(sets["node"])[some]), "prefix": lists})
+
+    return run
 
 
 def _in_crowds(edges: DataFrame, nodes: DataFrame, labels: DataFrame, limits: list[int], percent: int, pair_bytes: float) -> list[DataFrame]:
